@@ -29,17 +29,18 @@ def crawl_summary(found: DataFrame, extracted: DataFrame, scored: bool = False,
 
     The page list itself (url, title, score) is the ``extracted`` frame; it is not folded into the summary row.
     """
-    pages = found.groupBy(*keys).agg(F.count("*").alias("pages_found"))
-    mean = F.coalesce(F.avg("relevance_score"), F.lit(1.0)) if scored else F.lit(1.0)
-    done = extracted.groupBy(*keys).agg(
-        F.count("*").alias("pages_extracted"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("total_content_length"),
-        F.coalesce(F.floor(F.sum("length") / F.count("*")), F.lit(0)).cast("long").alias("average_page_size"),
+    # One aggregation over both inputs tagged by origin: no join, and empty inputs still give a row.
+    tagged = found.select(*keys, F.lit(0).alias("done"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("double").alias("score"))
+    tagged = tagged.unionByName(
+        extracted.select(*keys, F.lit(1).alias("done"), F.col("length").cast("long").alias("length"), F.col("relevance_score").cast("double").alias("score"))
+    )
+    done = F.sum("done")
+    total = F.coalesce(F.sum("length"), F.lit(0))
+    mean = F.coalesce(F.avg("score"), F.lit(1.0)) if scored else F.lit(1.0)
+    return tagged.groupBy(*keys).agg(
+        F.coalesce(F.sum(1 - F.col("done")), F.lit(0)).alias("pages_found"),
+        F.coalesce(done, F.lit(0)).alias("pages_extracted"),
+        total.alias("total_content_length"),
+        F.when(done > 0, F.floor(total / done)).otherwise(0).cast("long").alias("average_page_size"),
         mean.alias("average_relevance_score"),
     )
-    if keys:
-        return pages.join(done, list(keys), "left").fillna(
-            {"pages_extracted": 0, "total_content_length": 0, "average_page_size": 0, "average_relevance_score": 1.0}
-        )
-    on_one = F.lit(1).alias("_one")
-    return pages.select("*", on_one).join(done.select("*", on_one), "_one").drop("_one")

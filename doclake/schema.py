@@ -16,7 +16,7 @@ TABLES = {
     ),
     "documents": (
         "context_id string, doc_id string, url string, title string, content string, "
-        "metadata map<string,string>, indexed_at timestamp, source_type string"
+        "metadata map<string,string>, indexed_at timestamp, source_type string, chunk_count int"
     ),
     "raw_documents": "context_id string, doc_id string, raw_content string, created_at timestamp",
     "chunks": (
