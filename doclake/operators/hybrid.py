@@ -78,7 +78,7 @@ def hybrid_search(
     """Best chunks by hybrid score, with the fields of their documents."""
     hits = hybrid_hits(chunks, query, vector, limit, weights, **options)
     columns = [c for c in CHUNK_COLUMNS if c in chunks.columns]
-    detailed = chunks.select("chunk_id", "doc_id", *columns).join(F.broadcast(hits), "chunk_id")
+    detailed = chunks.select("chunk_id", "doc_id", *columns).join(hits, "chunk_id")
     return ranked(with_document(detailed, documents))
 
 
@@ -93,7 +93,7 @@ def hybrid_search_code(
 ) -> DataFrame:
     hits = hybrid_hits(snippets, query, vector, limit, weights, "snippet_id", **options)
     columns = [c for c in ("content", "metadata") if c in snippets.columns]
-    detailed = snippets.select("snippet_id", "doc_id", *columns).join(F.broadcast(hits), "snippet_id")
+    detailed = snippets.select("snippet_id", "doc_id", *columns).join(hits, "snippet_id")
     return ranked(code_fields(detailed, documents), "snippet_id")
 
 

@@ -93,11 +93,14 @@ def cleaned_content(df: DataFrame, text: str = "content", doc: str = "doc_id", m
     return with_snippets.withColumn("cleaned_content", placeholder_text(text, "snippets", mode))
 
 
-def placeholder_links(content, char_start, char_end) -> Column:
-    """Ids of the placeholders of a cleaned text that a span of it touches, in order."""
-    start, end = column(char_start), column(char_end)
-    spans = code.matches(content, code.PLACEHOLDER, 1)
-    hit = F.filter(spans, lambda s: (s["start_pos"] < end) & (s["end_pos"] > start))
+def placeholder_spans(content) -> Column:
+    """Spans of the placeholders of a cleaned text; ``inner`` is the snippet id."""
+    return code.matches(content, code.PLACEHOLDER, 1)
+
+
+def links_within(spans: Column, char_start: Column, char_end: Column) -> Column:
+    """Ids of the placeholders that a span of the cleaned text touches, in order."""
+    hit = F.filter(spans, lambda s: (s["start_pos"] < char_end) & (s["end_pos"] > char_start))
     return F.array_distinct(F.transform(hit, lambda s: s["inner"]))
 
 
