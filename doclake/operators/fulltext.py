@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.text import STOP_WORDS, lexemes, query_lexemes
-from doclake.operators.vector_search import CHUNK_COLUMNS, LIMIT, best_per_query, code_fields, ranked, with_document
+from doclake.operators.vector_search import CHUNK_COLUMNS, LIMIT, best_per_query, by_score, code_fields, ranked, with_document
 
 K1 = 1.2
 B = 0.75
@@ -82,7 +82,7 @@ def fulltext_hits(
     else:
         parts = [F.lit(1.0) + F.log(count_of(t)) for t in terms]
     score = squash(reduce(lambda a, b: a + b, parts)).alias("score")
-    hits = narrow.select(id_col, *columns, score).orderBy(F.desc("score"), id_col)
+    hits = narrow.select(id_col, *columns, score).orderBy(*by_score(id_col))
     return hits if limit is None else hits.limit(limit)
 
 
@@ -190,7 +190,7 @@ def postings_search(
     part = weight * tf * F.lit(K1 + 1) / (tf + norm)
     matched = own.groupBy(id_col).agg(F.count("*").alias("_n"), F.sum(part).alias("_s"))
     hits = matched.where(F.col("_n") == len(terms)).select(id_col, squash(F.col("_s")).alias("score"))
-    hits = hits.orderBy(F.desc("score"), id_col)
+    hits = hits.orderBy(*by_score(id_col))
     return hits if limit is None else hits.limit(limit)
 
 

@@ -11,6 +11,7 @@ from doclake.operators.fulltext import fulltext_hits
 from doclake.operators.vector_search import (
     CHUNK_COLUMNS,
     LIMIT,
+    SCORE_DIGITS,
     SEARCH_MIN_SIMILARITY,
     best_per_query,
     code_fields,
@@ -46,8 +47,9 @@ def merge_hits(
         F.coalesce("_v", zero).alias("vector_score"),
         F.coalesce("_f", zero).alias("fulltext_score"),
     ).withColumn("hybrid_score", F.col("vector_score") * weights[0] + F.col("fulltext_score") * weights[1])
-    order = [F.desc("hybrid_score"), F.desc_nulls_last("_v"), F.desc("fulltext_score"), F.col(id_col)]
-    return scored.orderBy(*order).limit(limit).drop("_v").withColumn("score", F.col("hybrid_score"))
+    digits = lambda c: F.round(c, SCORE_DIGITS)
+    order = [digits("hybrid_score").desc(), digits("_v").desc_nulls_last(), digits("fulltext_score").desc()]
+    return scored.orderBy(*order, id_col).limit(limit).drop("_v").withColumn("score", F.col("hybrid_score"))
 
 
 def hybrid_hits(

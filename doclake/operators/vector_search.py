@@ -18,6 +18,14 @@ SEARCH_MIN_SIMILARITY = 0.1
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
 
 
+#: Scores are compared to this many digits, so equal texts or vectors tie exactly and the id decides.
+SCORE_DIGITS = 9
+
+
+def by_score(id_col: str = "chunk_id", score: str = "score") -> list[Column]:
+    return [F.desc(F.round(score, SCORE_DIGITS)), F.col(id_col)]
+
+
 def vector_hits(
     items: DataFrame,
     query: Sequence[float],
@@ -33,7 +41,7 @@ def vector_hits(
     scored = items.where(F.col("embedding").isNotNull()).select(
         id_col, *columns, cosine_to("embedding", query).alias("score")
     )
-    hits = scored.where(F.col("score") > min_similarity).orderBy(F.desc("score"), id_col)
+    hits = scored.where(F.col("score") > min_similarity).orderBy(*by_score(id_col))
     return hits if limit is None else hits.limit(limit)
 
 
@@ -57,7 +65,7 @@ def with_document(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def ranked(hits: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    return hits.orderBy(F.desc("score"), id_col)
+    return hits.orderBy(*by_score(id_col))
 
 
 def vector_search(
@@ -93,6 +101,7 @@ def code_fields(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties by id; ``scores`` has no NaN."""
+    scores = np.round(scores, SCORE_DIGITS)
     if len(scores) > k:
         bar = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= bar)
@@ -138,7 +147,7 @@ def _score_block(items: DataFrame, names: list, block: np.ndarray, k: int, floor
 
 
 def best_per_query(scored: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    order = Window.partitionBy("query_id").orderBy(*by_score(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -173,7 +182,3 @@ def vector_search_batch(
     for part in parts[1:]:
         scored = scored.unionByName(part)
     return best_per_query(scored, limit, id_col)
-
-
-def score_column(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0.0))

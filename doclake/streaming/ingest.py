@@ -12,10 +12,10 @@ from doclake.sources.corpus import Corpus
 PAGE_SCHEMA = "url string, html string"
 
 
-def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of fetched pages (url, html) as they arrive."""
+def page_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000, names: str = "*.parquet") -> DataFrame:
+    """Parquet files of fetched pages (url, html) as they arrive in a folder."""
     reader = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.option("pathGlobFilter", names).parquet(folder)
 
 
 def ingest_stream(
