@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclake.functions.patterns import SPACE, re2
+from doclake.functions.patterns import re2
+from doclake.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for CPU-heavy work: over all slots even when the file has a single row group."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # Pieces of SQL text ---------------------------------------------------------------------------------------------------
 
 
@@ -99,7 +105,7 @@ _MIDDLE = "\n\n\n\nsee [empty]( ) and ***bold*** ..... what??? yes!!\n[![b](i)](
 
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     number = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit(_HEAD),
@@ -126,5 +132,3 @@ md AS (
   FROM documents
 )
 """
-
-__all__ = ["SPACE"]

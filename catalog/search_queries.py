@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.registry import DOCS_SQL, MARKDOWN_SQL, corpus_documents, markdown_documents, query, sql_lines, table
+from catalog.registry import DOCS_SQL, MARKDOWN_SQL, corpus_documents, markdown_documents, query, sql_lines, table, texts
 from catalog.text_queries import _SNIPPETS_SQL
 from doclake.functions.patterns import WORD
 from doclake.functions.text import STOP_WORDS, query_lexemes
@@ -171,15 +171,17 @@ def _fulltext_stemmed(spark, sf):
     """,
 )
 def _postings(spark, sf):
-    p = FT.build_postings(table(spark, sf, "documents"), "doc_id", "text")
+    p = FT.build_postings(texts(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
     return p.select("lexeme", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "text_length")
 
 
-def _stored_postings(spark, sf, df: DataFrame, id_col: str, text: str):
-    """Postings written below the shared folder, and their statistics row."""
+def _stored_postings(spark, sf):
+    """Postings of the documents, written below the shared folder, and their statistics row."""
     path = shared_dir(spark, "postings")
-    FT.write_postings(FT.build_postings(df, id_col, text), path)
-    return spark.read.parquet(path), FT.text_statistics(df, text).first()
+    documents = texts(spark, sf, "documents", "doc_id", "text")
+    FT.write_postings(FT.build_postings(documents, "doc_id", "text"), path)
+    stored = spark.read.parquet(path)
+    return stored, FT.posting_statistics(stored, table(spark, sf, "documents")).first()
 
 
 @query(
@@ -190,7 +192,7 @@ def _stored_postings(spark, sf, df: DataFrame, id_col: str, text: str):
     """,
 )
 def _postings_search(spark, sf):
-    postings, stats = _stored_postings(spark, sf, table(spark, sf, "documents"), "doc_id", "text")
+    postings, stats = _stored_postings(spark, sf)
     hits = FT.postings_search(postings, stats, _QUERY, 20, "doc_id")
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -227,8 +229,7 @@ _BATCH_FT_SQL = f"""
     """,
 )
 def _fulltext_batch(spark, sf):
-    postings = FT.build_postings(table(spark, sf, "documents"), "doc_id", "text")
-    stats = FT.text_statistics(table(spark, sf, "documents"), "text").first()
+    postings, stats = _stored_postings(spark, sf)
     hits = FT.fulltext_search_batch(postings, stats, batch_queries(spark, sf), 10, "doc_id")
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -325,9 +326,8 @@ def _search_modes(spark, sf):
 def _hybrid_batch(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
     by_vector = V.vector_search_batch(e, query_vectors(spark, sf), 20, 0.1, "doc_id")
-    d = table(spark, sf, "documents")
-    postings = FT.build_postings(d, "doc_id", "text")
-    by_text = FT.fulltext_search_batch(postings, FT.text_statistics(d, "text").first(), batch_queries(spark, sf), 20, "doc_id")
+    postings, stats = _stored_postings(spark, sf)
+    by_text = FT.fulltext_search_batch(postings, stats, batch_queries(spark, sf), 20, "doc_id")
     return H.hybrid_batch(by_vector, by_text, 10, id_col="doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -18,6 +18,7 @@ from catalog.registry import (
     sql_strip,
     table,
     text_literal,
+    texts,
 )
 from doclake.functions import chunks as K
 from doclake.functions import cleaning as C
@@ -98,7 +99,7 @@ def _valid_url(spark, sf):
 
 @query("pages_markdown")
 def _pages_markdown(spark, sf):
-    return pages_to_markdown(table(spark, sf, "pages"))
+    return pages_to_markdown(texts(spark, sf, "pages", "page_id", "url", "html"))
 
 
 @query(
@@ -111,7 +112,7 @@ def _pages_markdown(spark, sf):
     """,
 )
 def _page_titles(spark, sf):
-    return pages_to_markdown(table(spark, sf, "pages")).select("page_id", "title")
+    return pages_to_markdown(texts(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "title")
 
 
 @query("quality_filter", f"SELECT doc_id, n_chars FROM documents WHERE length({sql_strip('text')}) >= 75")
@@ -165,7 +166,7 @@ def _crawl_summary(spark, sf):
 
 @query("scored_pages")
 def _scored_pages(spark, sf):
-    pages = pages_to_markdown(table(spark, sf, "pages"))
+    pages = pages_to_markdown(texts(spark, sf, "pages", "page_id", "url", "html"))
     return score_pages(filter_quality(pages), ["docs", "the", "que"]).drop("markdown", "error")
 
 
@@ -426,7 +427,7 @@ def _overlap_link(spark, sf):
 
 @query("chunks")
 def _chunks(spark, sf):
-    d = table(spark, sf, "documents").withColumnRenamed("text", "content")
+    d = texts(spark, sf, "documents", "doc_id", "source", "text").withColumnRenamed("text", "content")
     return chunk_documents(d, keys=("doc_id", "source"))
 
 
@@ -545,7 +546,7 @@ def _prepare_text(spark, sf):
 
 @query("embed_text")
 def _embed_text(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents", "doc_id", "text")
     return d.select("doc_id", embed("text", text_embedder()).alias("embedding"))
 
 
@@ -574,7 +575,7 @@ _LEAD = (
     """,
 )
 def _title_and_summary(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents", "doc_id", "text")
     return d.select("doc_id", title_and_summary("text", LeadSummarizer()).alias("t")).select("doc_id", "t.*")
 
 

@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doclake.functions.patterns import BLANK, SPACE, column, is_blank, jvm, replace, rstrip, strip
+from doclake.functions.patterns import column, is_blank, jvm, let, replace, rstrip, strip, where_found
 
-# Text removed anywhere, in this order (flags i and m).
+# Text removed anywhere, in this order (flags i and m), each with words one of which it needs to match.
 NAVIGATION_PATTERNS = [
     r"(?:^|\n)(?:home|contents?|index|navigation|nav|menu)\s*[:\-]?\s*$",
     r"(?:^|\n)(?:previous|next|back|forward)\s*[:\|\-]?\s*.*$",
@@ -32,6 +32,22 @@ NOISE_PATTERNS = [
     r"(?:^|\n)see also\s*[:\-]?\s*$",
     r"\n?copy\s*$",
 ]
+NEEDED_WORDS = [
+    ["home", "content", "index", "nav", "menu"],
+    ["previous", "next", "back", "forward"],
+    ["breadcrumb"],
+    ["table of content", "toc"],
+    ["on this page"],
+    ["edit on github"],
+    ["improve this page"],
+    ["last updated"],
+    ["copyright", "©"],
+    ["print this page"],
+    ["share this"],
+    ["feedback"],
+    ["see also"],
+    ["copy"],
+]
 # A line containing one of these is dropped.
 NOISE_PHRASES = [
     "edit this page",
@@ -47,7 +63,7 @@ NOISE_PHRASES = [
     "page source",
     "contribute",
 ]
-# Left-over markup removed after the line pass, in this order.
+# Left-over markup removed after the line pass, in this order, each with text it needs to match.
 ARTIFACT_PATTERNS = [
     r"\[!\[.*?\]\(.*?\)\]\(.*?\)",
     r"\[\s*\]",
@@ -55,10 +71,11 @@ ARTIFACT_PATTERNS = [
     r"\n\s*\|\s*\n",
     r"\n\s*\-{3,}\s*\n",
 ]
+NEEDED_MARKUP = [["[!["], ["["], ["!["], ["|"], ["---"]]
 # A line of bars, dashes, arrows and brackets only; a short line of word characters, blanks and dashes.
 RULE_LINE = r"^[\s\|\-><\[\]]+$"
 SHORT_LINE = r"^[\w\s\-]+$"
-# Per-line replacements, in this order.
+# Per-line replacements, in this order, each with text it needs to match.
 LINE_RULES = [
     (r"\*{3,}", "**"),
     (r"_{3,}", "__"),
@@ -67,11 +84,26 @@ LINE_RULES = [
     (r"!{2,}", "!"),
     (r"\?{2,}", "?"),
 ]
+NEEDED_MARKS = [["***"], ["___"], ["]("], ["..."], ["!!"], ["??"]]
+# Letters that equal an ASCII letter when case is ignored.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
 
 
 def strip_noise(c) -> Column:
-    """Remove navigation and noise passages from the whole text."""
-    return reduce(lambda t, p: replace(t, p, "", "im"), NAVIGATION_PATTERNS + NOISE_PATTERNS, column(c))
+    """Remove navigation and noise passages from the whole text.
+
+    A passage starts a line (or is the word "copy") and ends one, so removing it cannot form a new word: the words a
+    pattern needs are looked for in the original text.
+    """
+
+    def apply(s: Column) -> Column:
+        def step(text: Column, rule: tuple[str, list[str]]) -> Column:
+            return where_found(text, rule[1], lambda t: replace(t, rule[0], "", "im"), s["low"])
+
+        return reduce(step, zip(NAVIGATION_PATTERNS + NOISE_PATTERNS, NEEDED_WORDS), s["text"])
+
+    low = F.lower(F.translate(column(c), *FOLDED))
+    return let(F.struct(column(c).alias("text"), low.alias("low")), apply)
 
 
 def is_noise_line(line: Column) -> Column:
@@ -82,7 +114,11 @@ def is_noise_line(line: Column) -> Column:
 
 
 def normalize_line(line: Column) -> Column:
-    return rstrip(reduce(lambda t, r: replace(t, *r), LINE_RULES, line))
+    def step(text: Column, rule) -> Column:
+        (pattern, new), needed = rule
+        return where_found(text, needed, lambda t: replace(t, pattern, new))
+
+    return rstrip(reduce(step, zip(LINE_RULES, NEEDED_MARKS), line))
 
 
 def _map_lines(c, body) -> Column:
@@ -108,22 +144,27 @@ def collapse_blanks(c) -> Column:
 
 def _collapse_empty(text: Column) -> Column:
     # Lines are non-blank or empty here, so runs of newlines are runs of empty lines.
-    text = F.regexp_replace(text, r"\A\n+", "")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{2,}\z", "\n"), r"\n{3,}", "\n\n")
+    def tail(t: Column) -> Column:
+        return F.when(t.endswith("\n\n"), F.concat(F.rtrim(t, F.lit("\n")), F.lit("\n"))).otherwise(t)
+
+    ends = let(F.ltrim(text, F.lit("\n")), tail)
+    return where_found(ends, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def clean_lines(c) -> Column:
     """Noise lines, line normalisation and blank collapse in one pass over the lines."""
 
     def body(x: Column) -> Column:
-        kept = F.nullif(normalize_line(x), F.lit(""))
-        return F.when(is_blank(x), "").when(~is_noise_line(x), kept)
+        return F.when(is_blank(x), "").when(~is_noise_line(x), F.nullif(normalize_line(x), F.lit("")))
 
     return _collapse_empty(_map_lines(c, body))
 
 
 def strip_artifacts(c) -> Column:
-    return reduce(lambda t, p: replace(t, p, ""), ARTIFACT_PATTERNS, column(c))
+    def step(text: Column, rule) -> Column:
+        return where_found(text, rule[1], lambda t: replace(t, rule[0], ""))
+
+    return reduce(step, zip(ARTIFACT_PATTERNS, NEEDED_MARKUP), column(c))
 
 
 def normalize_whitespace(c) -> Column:
@@ -132,9 +173,9 @@ def normalize_whitespace(c) -> Column:
     A heading match takes the newline after it, so the second of two adjacent headings gets no blank line behind it.
     """
     text = replace(c, r"\n\s*\n\s*\n+", "\n\n")
-    text = F.regexp_replace(text, jvm(f"[{BLANK}]+$", "m"), "")
-    text = replace(text, r"\n(#+\s+.*?)\n", "\n\n$1\n\n")
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+    text = _map_lines(text, rstrip)
+    text = where_found(text, ["\n#"], lambda t: replace(t, r"\n(#+\s+.*?)\n", "\n\n$1\n\n"))
+    return where_found(text, ["\n\n\n"], lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def clean_markdown(c) -> Column:
@@ -142,18 +183,3 @@ def clean_markdown(c) -> Column:
     text = column(c)
     cleaned = strip(normalize_whitespace(strip_artifacts(clean_lines(strip_noise(text)))))
     return F.when(text.isNull() | is_blank(text), "").otherwise(cleaned)
-
-
-__all__ = [
-    "SPACE",
-    "clean_lines",
-    "clean_markdown",
-    "collapse_blanks",
-    "drop_noise_lines",
-    "is_noise_line",
-    "normalize_line",
-    "normalize_lines",
-    "normalize_whitespace",
-    "strip_artifacts",
-    "strip_noise",
-]

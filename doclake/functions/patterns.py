@@ -6,6 +6,8 @@ members out, so one pattern means the same thing in the JVM and in an RE2 engine
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,20 @@ def replace(c, pattern: str, replacement: str, flags: str = "") -> Column:
     return F.regexp_replace(column(c), F.lit(jvm(pattern, flags)), F.lit(replacement))
 
 
+#: The members of SPACE as text, for trimming: only the ends of a string are looked at.
+SPACE_CHARS = "".join(chr(n) for n in range(0x110000) if chr(n).isspace())
+
+
 def strip(c) -> Column:
-    return replace(c, r"^\s+|\s+\z", "")
+    return F.trim(column(c), F.lit(SPACE_CHARS))
 
 
 def rstrip(c) -> Column:
-    return replace(c, r"\s+\z", "")
+    return F.rtrim(column(c), F.lit(SPACE_CHARS))
 
 
 def is_blank(c) -> Column:
-    return ~column(c).rlike(jvm(r"[^\s]"))
+    return F.ltrim(column(c), F.lit(SPACE_CHARS)) == ""
 
 
 def let(value: Column, body) -> Column:
@@ -75,3 +81,17 @@ def let(value: Column, body) -> Column:
     Inside a lambda Catalyst re-evaluates an outer expression for every element; a lambda variable is evaluated once.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def where_found(text: Column, needles: list[str], step, searched: Column | None = None) -> Column:
+    """``step(text)`` where one of the needles occurs, else the text as it is.
+
+    A substring test costs far less than a regular expression that starts an attempt at every character.
+    """
+
+    def choose(t: Column) -> Column:
+        where = t if searched is None else searched
+        found = reduce(lambda a, b: a | b, [where.contains(n) for n in needles])
+        return F.when(found, step(t)).otherwise(t)
+
+    return let(text, choose)

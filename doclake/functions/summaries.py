@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doclake.functions.patterns import column, is_blank, let, replace, strip
+from doclake.functions.patterns import column, is_blank, jvm, let, replace, strip
 from doclake.functions.text import parse_title_summary
 
 # Shortest text that gets a title, longest text that needs no summary, input cut, shortest summary.
@@ -41,11 +41,14 @@ class LeadSummarizer:
         return strip(replace(text, r"\s+", " "))
 
     def summaries(self, text: Column) -> Column:
-        pieces = F.regexp_extract_all(self._plain(text), F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0))
-        return F.array_join(F.transform(F.slice(pieces, 1, self.sentences), strip), " ")
+        # The pattern ends with the last wanted sentence; the rest of a long text is not looked at.
+        lead = F.regexp_extract(strip(text), rf"\A[.!?]*((?:[^.!?]+(?:[.!?]+|$)){{1,{self.sentences}}})", 1)
+        pieces = F.regexp_extract_all(self._plain(lead), F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0))
+        return F.array_join(F.transform(pieces, strip), " ")
 
     def replies(self, text: Column) -> Column:
-        title = F.array_join(F.slice(F.split(self._plain(text), " "), 1, self.title_words), " ")
+        words = jvm(rf"\A[^\s]+(?:\s+[^\s]+){{0,{self.title_words - 1}}}")
+        title = self._plain(F.regexp_extract(strip(text), words, 0))
         reply = F.concat(F.lit("Title: "), title, F.lit("\nSummary: "), self.summaries(text))
         return F.when(text.isNotNull(), reply)
 

@@ -135,13 +135,15 @@ def _slot(term: str, dim: int) -> tuple[int, float]:
 
 
 def _hash_batch(texts: list[str], dim: int, ngrams: int) -> np.ndarray:
-    out = np.zeros((len(texts), dim), dtype=np.float64)
+    out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
         words = re.findall(r"\w+", text.lower())
-        for n in range(1, ngrams + 1):
-            for i in range(len(words) - n + 1):
-                slot, sign = _slot(" ".join(words[i : i + n]), dim)
-                out[row, slot] += sign
+        terms = list(words)
+        for n in range(2, ngrams + 1):
+            terms += map(" ".join, zip(*(words[i:] for i in range(n))))
+        if terms:
+            slots, signs = zip(*(_slot(t, dim) for t in terms))
+            out[row] = np.bincount(slots, weights=signs, minlength=dim)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
 

@@ -154,11 +154,12 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.hint("rebalance", F.col("term_bucket")).write.mode("overwrite").partitionBy("term_bucket").parquet(path)
 
 
-def text_statistics(items: DataFrame, text: str = "content", stemming: bool = False, stop_words=STOP_WORDS) -> DataFrame:
-    """Number of texts and mean number of lexemes, one row, stored beside the postings."""
-    return items.agg(
-        F.count("*").alias("n_texts"), F.avg(F.size(lexemes(text, stop_words, stemming))).alias("mean_length")
-    )
+def posting_statistics(postings: DataFrame, items: DataFrame) -> DataFrame:
+    """Number of texts and mean number of lexemes, one row. The lexemes are counted from the stored postings."""
+    total = postings.agg(F.sum("tf").cast("double").alias("lexemes"), F.lit(0).cast("long").alias("texts"))
+    n = items.agg(F.lit(0.0).alias("lexemes"), F.count("*").alias("texts"))
+    both = total.unionByName(n).agg(F.sum("texts").alias("n_texts"), F.sum("lexemes").alias("_lexemes"))
+    return both.select("n_texts", (F.col("_lexemes") / F.greatest("n_texts", F.lit(1))).alias("mean_length"))
 
 
 def postings_search(

@@ -52,3 +52,12 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast only where the estimate is below ``limit``; otherwise leave the join to Catalyst and AQE."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all task slots when a small input has fewer splits than that; otherwise ``df`` itself.
+
+    For steps that are heavy on the CPU. A large input has more splits than slots and is never shuffled by this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
