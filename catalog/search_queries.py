@@ -17,7 +17,7 @@ from doclake.operators import vector_search as V
 from doclake.operators.documents import attach_snippets
 from doclake.operators.snippets import extract_snippets
 from doclake.plans.search import search_code_frames, search_frames
-from doclake.session import shared_dir
+from doclake.session import shared_dir, spread
 
 _QUERY = "the tion ment est"
 
@@ -25,7 +25,7 @@ _QUERY = "the tion ment est"
 def chunk_frame(spark, sf) -> DataFrame:
     """One chunk per document that has a vector."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = corpus_documents(spark, sf).select("doc_id", "context_id", "content")
+    d = spread(corpus_documents(spark, sf).select("doc_id", "context_id", "content"))
     return d.join(e, "doc_id").withColumn("chunk_id", F.col("doc_id"))
 
 
@@ -135,7 +135,7 @@ _TERMS = query_lexemes(_QUERY)
 )
 def _fulltext_topk(spark, sf):
     d = corpus_documents(spark, sf)
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), "doc_id", "content")
+    chunks = spread(d.select(F.col("doc_id").alias("chunk_id"), "doc_id", "content"))
     hits = FT.fulltext_search(chunks, d, _QUERY, 10)
     return hits.select("chunk_id", "doc_id", "title", "url", F.round("score", 6).alias("score"))
 
@@ -175,12 +175,18 @@ def _postings(spark, sf):
     return p.select("lexeme", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "text_length")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def _stored_postings(spark, sf):
-    """Postings of the documents, written below the shared folder, and their statistics row."""
-    path = shared_dir(spark, "postings")
-    documents = texts(spark, sf, "documents", "doc_id", "text")
-    FT.write_postings(FT.build_postings(documents, "doc_id", "text"), path)
-    stored = spark.read.parquet(path)
+    """Postings of the documents and their statistics row; the index is written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = shared_dir(spark, "postings")
+        documents = texts(spark, sf, "documents", "doc_id", "text")
+        FT.write_postings(FT.build_postings(documents, "doc_id", "text"), path)
+        _INDEXES[key] = path
+    stored = spark.read.parquet(_INDEXES[key])
     return stored, FT.posting_statistics(stored, table(spark, sf, "documents")).first()
 
 

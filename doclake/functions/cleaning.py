@@ -107,10 +107,10 @@ def strip_noise(c) -> Column:
 
 
 def is_noise_line(line: Column) -> Column:
-    low = F.lower(line)
-    phrase = reduce(lambda a, b: a | b, [low.contains(p) for p in NOISE_PHRASES])
-    bare = strip(line)
-    return phrase | line.rlike(jvm(RULE_LINE)) | ((F.length(bare) < 3) & bare.rlike(jvm(SHORT_LINE)))
+    """A phrase of the noise list, a line of rule characters only, or a word of one or two characters."""
+    has_phrase = let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in NOISE_PHRASES]))
+    is_short = let(strip(line), lambda bare: (F.length(bare) < 3) & bare.rlike(jvm(SHORT_LINE)))
+    return has_phrase | line.rlike(jvm(RULE_LINE)) | is_short
 
 
 def normalize_line(line: Column) -> Column:

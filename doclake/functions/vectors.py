@@ -46,7 +46,6 @@ def cosine_to(vector_col, query: Sequence[float]) -> Column:
     q = np.asarray(query, dtype=np.float64)
     dim, norm = len(q), float(np.linalg.norm(q))
 
-    @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
         out = np.full(len(vectors), np.nan)
         if norm > 0 and len(vectors):
@@ -55,7 +54,9 @@ def cosine_to(vector_col, query: Sequence[float]) -> Column:
             out[at] = np.einsum("ij,j->i", unit_rows(rows), q / norm)
         return pa.array(out, from_pandas=True)
 
-    return score(column(vector_col))
+    # Declared non-deterministic so that a threshold on the score stays above it: pushed down, the filter would
+    # compute every score a second time.
+    return F.arrow_udf(score, "double").asNondeterministic()(column(vector_col))
 
 
 def cosine(a, b) -> Column:

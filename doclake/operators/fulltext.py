@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.functions.patterns import let
 from doclake.functions.text import STOP_WORDS, lexemes, query_lexemes
 from doclake.operators.vector_search import CHUNK_COLUMNS, LIMIT, best_per_query, by_score, code_fields, ranked, with_document
 
@@ -62,11 +63,18 @@ def fulltext_hits(
     if not terms:
         return _nothing(items.select(id_col, *columns))
     words = lexemes(text, stop_words, stemming)
-    count_of = lambda t: F.size(F.filter("_lex", lambda x: x == t)).cast("double")
+
+    def counted(lex: Column) -> Column:
+        wanted = F.array(*[F.lit(t) for t in terms])
+        tf = F.transform(wanted, lambda t: F.size(F.filter(lex, lambda x: x == t)).cast("double"))
+        return F.struct(F.size(lex).alias("length"), tf.alias("tf"))
 
     narrow = items if stemming else items.where(reduce(lambda a, b: a & b, [F.lower(text).contains(t) for t in terms]))
-    narrow = narrow.select(id_col, *columns, words.alias("_lex"))
-    narrow = narrow.where(reduce(lambda a, b: a & b, [F.array_contains("_lex", t) for t in terms]))
+    # One predicate over one expression: Catalyst pushes it below the projection, and the text is still cut into
+    # lexemes once for the test and once more only for the few texts that match.
+    narrow = narrow.select(id_col, *columns, let(words, counted).alias("_m"))
+    narrow = narrow.where(F.forall("_m.tf", lambda n: n > 0))
+    tf_of = lambda i: F.get(F.col("_m.tf"), F.lit(i))
     if ranker == "bm25":
         flags = [F.count_if(F.array_contains("_lex", t)).alias(f"df{i}") for i, t in enumerate(terms)]
         totals = items.select(words.alias("_lex")).agg(
@@ -77,10 +85,10 @@ def fulltext_hits(
             return _nothing(items.select(id_col, *columns))
         mean = stats["mean"] or 1.0
         parts = [
-            _bm25(count_of(t), F.size("_lex"), mean, idf(stats["n"], stats[f"df{i}"])) for i, t in enumerate(terms)
+            _bm25(tf_of(i), F.col("_m.length"), mean, idf(stats["n"], stats[f"df{i}"])) for i in range(len(terms))
         ]
     else:
-        parts = [F.lit(1.0) + F.log(count_of(t)) for t in terms]
+        parts = [F.lit(1.0) + F.log(tf_of(i)) for i in range(len(terms))]
     score = squash(reduce(lambda a, b: a + b, parts)).alias("score")
     hits = narrow.select(id_col, *columns, score).orderBy(*by_score(id_col))
     return hits if limit is None else hits.limit(limit)
@@ -89,7 +97,8 @@ def fulltext_hits(
 def fulltext_search(chunks: DataFrame, documents: DataFrame, query: str, limit: int = LIMIT, **options) -> DataFrame:
     """Best chunks with the fields of their documents."""
     columns = ("doc_id", *(c for c in CHUNK_COLUMNS if c in chunks.columns))
-    return ranked(with_document(fulltext_hits(chunks, query, limit, "chunk_id", columns, **options), documents))
+    hits = fulltext_hits(chunks, query, limit, "chunk_id", columns, **options)
+    return ranked(with_document(hits, documents), limit)
 
 
 def fulltext_search_code(
@@ -97,7 +106,7 @@ def fulltext_search_code(
 ) -> DataFrame:
     columns = tuple(c for c in ("doc_id", "content", "metadata") if c in snippets.columns)
     hits = fulltext_hits(snippets, query, limit, "snippet_id", columns, **options)
-    return ranked(code_fields(hits, documents), "snippet_id")
+    return ranked(code_fields(hits, documents), limit, "snippet_id")
 
 
 def build_postings(

@@ -81,7 +81,7 @@ def hybrid_search(
     hits = hybrid_hits(chunks, query, vector, limit, weights, **options)
     columns = [c for c in CHUNK_COLUMNS if c in chunks.columns]
     detailed = chunks.select("chunk_id", "doc_id", *columns).join(hits, "chunk_id")
-    return ranked(with_document(detailed, documents))
+    return ranked(with_document(ranked(detailed, limit), documents), limit)
 
 
 def hybrid_search_code(
@@ -96,7 +96,7 @@ def hybrid_search_code(
     hits = hybrid_hits(snippets, query, vector, limit, weights, "snippet_id", **options)
     columns = [c for c in ("content", "metadata") if c in snippets.columns]
     detailed = snippets.select("snippet_id", "doc_id", *columns).join(hits, "snippet_id")
-    return ranked(code_fields(detailed, documents), "snippet_id")
+    return ranked(code_fields(ranked(detailed, limit, "snippet_id"), documents), limit, "snippet_id")
 
 
 def hybrid_batch(

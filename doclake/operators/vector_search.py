@@ -64,8 +64,10 @@ def with_document(hits: DataFrame, documents: DataFrame) -> DataFrame:
     return hits.join(fields, "doc_id")
 
 
-def ranked(hits: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    return hits.orderBy(*by_score(id_col))
+def ranked(hits: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """Hits in order. The limit is that of the search already; repeating it spares a range-partitioned sort and
+    tells Catalyst that the frame is small enough to broadcast."""
+    return hits.orderBy(*by_score(id_col)).limit(limit)
 
 
 def vector_search(
@@ -77,7 +79,8 @@ def vector_search(
 ) -> DataFrame:
     """Best chunks with the fields of their documents; the documents join sees ``limit`` rows only."""
     columns = ("doc_id", *(c for c in CHUNK_COLUMNS if c in chunks.columns))
-    return ranked(with_document(vector_hits(chunks, query, limit, min_similarity, "chunk_id", columns), documents))
+    hits = vector_hits(chunks, query, limit, min_similarity, "chunk_id", columns)
+    return ranked(with_document(hits, documents), limit)
 
 
 def vector_search_code(
@@ -90,7 +93,7 @@ def vector_search_code(
     """Best snippets with URL and line count."""
     columns = tuple(c for c in ("doc_id", "content", "metadata") if c in snippets.columns)
     hits = vector_hits(snippets, query, limit, min_similarity, "snippet_id", columns)
-    return ranked(code_fields(hits, documents), "snippet_id")
+    return ranked(code_fields(hits, documents), limit, "snippet_id")
 
 
 def code_fields(hits: DataFrame, documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from doclake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans, c
 from doclake.operators.documents import latest_documents, with_chunk_counts
 from doclake.operators.quality import WORD_COUNT_THRESHOLD, filter_quality, score_pages
 from doclake.operators.snippets import links_within, placeholder_spans, placeholder_text, snippet_array
-from doclake.session import shared_dir
+from doclake.session import shared_dir, spread
 from doclake.sources.corpus import Corpus
 from doclake.sources.pages import pages_to_markdown
 
@@ -143,7 +143,7 @@ def store_processed(
     work = shared_dir(spark, "ingest")
 
     prepare_documents(df, context, source_type, moment, size, overlap, mode).write.parquet(f"{work}/documents")
-    prepared = spark.read.parquet(f"{work}/documents")
+    prepared = spread(spark.read.parquet(f"{work}/documents"))
     done = prepared.where(F.col("status") == "processed")
     ids = done.select("context_id", "doc_id")
 
