@@ -119,9 +119,18 @@ def refresh_counts(contexts: DataFrame, documents: DataFrame, chunks: DataFrame)
     return with_document_counts(contexts, documents), with_chunk_counts(documents, chunks)
 
 
-def attach_snippets(rows: DataFrame, snippets: DataFrame, fields: tuple[str, ...] = ("content", "preview")) -> DataFrame:
-    """Rows (chunk_id, code_snippet_ids, ...) with an array of snippet structs, in link order; one join for all rows."""
-    links = rows.select("chunk_id", F.posexplode("code_snippet_ids").alias("_pos", "snippet_id"))
+def attach_snippets(
+    rows: DataFrame,
+    snippets: DataFrame,
+    fields: tuple[str, ...] = ("content", "preview"),
+    links_from: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (chunk_id, code_snippet_ids, ...) with an array of snippet structs, in link order; one join for all rows.
+
+    ``rows`` is read twice. Where it is costly, ``links_from`` names a cheaper frame with the same chunks.
+    """
+    source = rows if links_from is None else links_from
+    links = source.select("chunk_id", F.posexplode("code_snippet_ids").alias("_pos", "snippet_id"))
     own = snippets.select("snippet_id", F.struct(F.col("snippet_id").alias("id"), *fields).alias("_snippet"))
     nested = (
         links.join(own, "snippet_id")
@@ -150,10 +159,10 @@ def chunk_details(
     chosen = with_ids(chunks.drop("embedding"), ids, "chunk_id")
     if context_id is not None:
         chosen = chosen.where(F.col("context_id") == context_id)
-    siblings = chunks.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    siblings = chunks.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_semi")
     totals = siblings.groupBy("doc_id").agg(F.count("*").cast("int").alias("parent_total_chunks"))
     detailed = chosen.join(_document_fields(documents), "doc_id").join(totals, "doc_id")
-    return attach_snippets(detailed, snippets, ("content", "snippet_type", "preview"))
+    return attach_snippets(detailed, snippets, ("content", "snippet_type", "preview"), links_from=chosen)
 
 
 def snippet_details(snippets: DataFrame, documents: DataFrame, ids, context_id: str | None = None) -> DataFrame:

@@ -71,7 +71,9 @@ def search(
     schema.check_choice(form, ("standard", "compact"), "form")
     context = corpus.context_id(name)
     documents = corpus.read("documents", context)
-    hits = search_frames(corpus.read("chunks", context), documents, query, mode, limit, **options)
+    found = search_frames(corpus.read("chunks", context), documents, query, mode, limit, **options)
+    # At most MAX_LIMIT rows. Fetched once, the search does not run again for each use of its result.
+    hits = corpus.spark.createDataFrame(found.collect(), found.schema)
     full = attach_snippets(hits, corpus.read("code_snippets", context))
     if form == "compact":
         return shaping.compact(full).orderBy(full["score"].desc(), "chunk_id")
