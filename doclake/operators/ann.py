@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 from doclake.operators.vector_search import LIMIT, MIN_SIMILARITY, vector_hits
 
 
-def train_cells(items: DataFrame, cells: int, seed: int = 7, iterations: int = 10, fraction: float = 1.0) -> KMeansModel:
+def _usable(items: DataFrame, dim: int | None) -> DataFrame:
+    """Rows with a non-zero vector of ``dim`` numbers, by default of the largest size that occurs."""
+    if dim is None:
+        dim = items.agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+    return items.where((F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
+
+
+def train_cells(
+    items: DataFrame, cells: int, seed: int = 7, iterations: int = 10, fraction: float = 1.0, dim: int | None = None
+) -> KMeansModel:
     """Cell centres by cosine k-means. ``fraction`` below 1 trains on part of the vectors; all of them are indexed."""
-    usable = items.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    vectors = usable.select(array_to_vector("embedding").alias("features"))
+    vectors = _usable(items, dim).select(array_to_vector("embedding").alias("features"))
     if fraction < 1.0:
         vectors = vectors.sample(fraction=fraction, seed=seed)
     return KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(vectors)
@@ -24,8 +32,7 @@ def train_cells(items: DataFrame, cells: int, seed: int = 7, iterations: int = 1
 
 def assign_cells(items: DataFrame, model: KMeansModel) -> DataFrame:
     """Every row with a usable vector and its ``cell``."""
-    usable = items.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    featured = usable.withColumn("features", array_to_vector("embedding"))
+    featured = _usable(items, len(model.clusterCenters()[0])).withColumn("features", array_to_vector("embedding"))
     return model.transform(featured).drop("features").withColumnRenamed("prediction", "cell")
 
 
