@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -672,8 +673,18 @@ def _new_corpus(spark, sf) -> Corpus:
     return corpus
 
 
+_CORPORA: dict[tuple[str, str], Corpus] = {}
+
+
+def filled_corpus(spark, sf) -> Corpus:
+    """Documents, chunks and snippets of every source, stored once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CORPORA:
+        _CORPORA[key] = _fill(_new_corpus(spark, sf), sf)
+    return _CORPORA[key]
+
+
 def _fill(corpus: Corpus, sf: str) -> Corpus:
-    """Documents, chunks and snippets appended under ids of the corpus."""
     spark = corpus.spark
     owner = schema.context_id("context_id").alias("context_id")
     docs = corpus_documents(spark, sf).select("doc_id", owner, F.concat("url", F.lit("-"), "doc_id").alias("url"), "title", "content", "indexed_at", F.lit("file").alias("source_type"))
@@ -688,11 +699,12 @@ def _fill(corpus: Corpus, sf: str) -> Corpus:
     f"WITH {DOCS_SQL} SELECT context_id AS name, count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars FROM docs GROUP BY 1",
 )
 def _corpus_sink(spark, sf):
-    corpus = _fill(_new_corpus(spark, sf), sf)
+    corpus = filled_corpus(spark, sf)
     sized = corpus.read("documents").groupBy("context_id").agg(
         F.count("*").alias("documents"), F.sum(F.length("content")).alias("chars")
     )
-    return corpus.read("contexts").join(sized, "context_id").select("name", "documents", "chars")
+    sources = corpus.read("contexts").where(F.col("name").startswith("src"))
+    return sources.join(sized, "context_id").select("name", "documents", "chars")
 
 
 @query(
@@ -705,7 +717,7 @@ def _corpus_sink(spark, sf):
     """,
 )
 def _export_manifest(spark, sf):
-    corpus = _fill(_new_corpus(spark, sf), sf)
+    corpus = filled_corpus(spark, sf)
     out = bundle.export_context(corpus, "src0", shared_dir(spark, "bundle"), now=_NOW)
     return out.select("name", "schema_version", "total_documents", "total_chunks", "total_code_snippets")
 
@@ -719,11 +731,12 @@ def _export_manifest(spark, sf):
     """,
 )
 def _import_bundle(spark, sf):
-    corpus = _fill(_new_corpus(spark, sf), sf)
-    path = shared_dir(spark, "bundle")
+    corpus = filled_corpus(spark, sf)
+    path, copy = shared_dir(spark, "bundle"), f"copy-{uuid.uuid4().hex}"
     bundle.export_context(corpus, "src0", path, "parquet", _NOW)
-    bundle.import_context(corpus, path, form="parquet", name="copy", now=_NOW)
-    return corpus.statistics().where(F.col("name") == "copy").drop("context_id")
+    bundle.import_context(corpus, path, form="parquet", name=copy, now=_NOW)
+    mine = corpus.statistics().where(F.col("name") == copy)
+    return mine.drop("context_id").withColumn("name", F.lit("copy"))
 
 
 @query(
@@ -736,8 +749,9 @@ def _import_bundle(spark, sf):
     """,
 )
 def _merge_contexts(spark, sf):
-    corpus = _fill(_new_corpus(spark, sf), sf)
-    return merge_contexts(corpus, ["src0", "src5"], "both", now=_NOW).drop("mode")
+    corpus = filled_corpus(spark, sf)
+    merged = merge_contexts(corpus, ["src0", "src5"], f"both-{uuid.uuid4().hex}", now=_NOW)
+    return merged.drop("mode").withColumn("target", F.lit("both"))
 
 
 _STORED_SQL = f"""

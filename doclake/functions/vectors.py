@@ -34,6 +34,18 @@ def matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[finite], good[finite]
 
 
+#: Rows turned into one matrix at a time, so that a large Arrow batch of long vectors stays small as float64.
+ROWS_AT_ONCE = 1024
+
+
+def matrix_blocks(vectors: pa.Array, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batch as matrices of bounded height, with the positions of their rows in the batch."""
+    for low in range(0, len(vectors), ROWS_AT_ONCE):
+        rows, at = matrix(vectors.slice(low, ROWS_AT_ONCE), dim)
+        if len(at):
+            yield rows, at + low
+
+
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; a zero row becomes NaN and so scores as nothing."""
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -48,10 +60,9 @@ def cosine_to(vector_col, query: Sequence[float]) -> Column:
 
     def score(vectors: pa.Array) -> pa.Array:
         out = np.full(len(vectors), np.nan)
-        if norm > 0 and len(vectors):
-            rows, at = matrix(vectors, dim)
-            # einsum sums every row in the same order, so equal vectors get equal scores.
-            out[at] = np.einsum("ij,j->i", unit_rows(rows), q / norm)
+        if norm > 0:
+            for rows, at in matrix_blocks(vectors, dim):
+                out[at] = unit_rows(rows) @ (q / norm)
         return pa.array(out, from_pandas=True)
 
     # Declared non-deterministic so that a threshold on the score stays above it: pushed down, the filter would

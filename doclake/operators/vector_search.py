@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclake.functions.vectors import cosine_to, matrix, unit_rows
+from doclake.functions.vectors import cosine_to, matrix, matrix_blocks, unit_rows
 
 LIMIT = 10
 MIN_SIMILARITY = 0.7
@@ -118,6 +118,7 @@ def _score_block(items: DataFrame, names: list, block: np.ndarray, k: int, floor
     dim = block.shape[1]
     sent = items.sparkSession.sparkContext.broadcast((names, unit_rows(block)))
     id_type = items.schema[id_col].dataType.simpleString()
+    slack = 10.0**-SCORE_DIGITS
 
     def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
@@ -125,18 +126,20 @@ def _score_block(items: DataFrame, names: list, block: np.ndarray, k: int, floor
         arrow_id = None
         for batch in batches:
             arrow_id = batch.column(0).type
-            rows, at = matrix(batch.column(1), dim)
-            if not len(at):
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            scores = np.einsum("nd,qd->qn", unit_rows(rows), queries, optimize=True)
-            for q in range(len(names)):
-                good = np.flatnonzero(scores[q] > floor)  # NaN is never above the floor
-                if len(good):
-                    s = np.concatenate([best[q][0], scores[q][good]])
-                    i = np.concatenate([best[q][1], ids[good]])
-                    top = _best(s, i, k)
-                    best[q] = (s[top], i[top])
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, at in matrix_blocks(batch.column(1), dim):
+                ids, scores = all_ids[at], queries @ unit_rows(rows).T
+                for q in range(len(names)):
+                    held_scores, held_ids = best[q]
+                    good = scores[q] > floor  # NaN is never above the floor
+                    if len(held_scores) == k:
+                        good &= scores[q] >= held_scores[-1] - slack
+                    good = np.flatnonzero(good)
+                    if len(good):
+                        s = np.concatenate([held_scores, scores[q][good]])
+                        i = np.concatenate([held_ids, ids[good]])
+                        top = _best(s, i, k)
+                        best[q] = (s[top], i[top])
         rows_out = [(names[q], i, s) for q, (ss, ii) in enumerate(best) for s, i in zip(ss, ii)]
         if rows_out:
             q_out, i_out, s_out = zip(*rows_out)

@@ -77,15 +77,18 @@ class Corpus:
     def append(self, table: str, df: DataFrame) -> None:
         self._write(table, self._bucketed(table, self._conform(table, df)), self.location(table), "append")
 
-    def _partitions(self, location: str, depth: int) -> set[str]:
+    def _children(self, location: str) -> list[str]:
         fs, path = self._fs(location)
         if not fs.exists(path):
-            return set()
-        found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and "=" in s.getPath().getName()]
-        if depth == 1:
-            return {p.getName() for p in found}
-        inner = {p.getName(): self._partitions(p.toString(), depth - 1) for p in found}
-        return {f"{outer}/{name}" for outer, names in inner.items() for name in names}
+            return []
+        return [n for n in (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if "=" in n]
+
+    def _partitions(self, table: str, location: str, contexts: list[str] | None) -> set[str]:
+        """Partition folders of a table, only those of the given contexts if there are any."""
+        if "context_id" not in self._keys(table):
+            return set(self._children(location))
+        outer = self._children(location) if contexts is None else [f"context_id={c}" for c in contexts]
+        return {f"{o}/{inner}" for o in outer for inner in self._children(f"{location}/{o}")}
 
     def _scope(self, table: str, touched: DataFrame) -> tuple[list[int], list[str] | None]:
         """Buckets, and contexts if they are few, that a set of rows lies in; both lists are bounded."""
@@ -103,15 +106,10 @@ class Corpus:
         """Replace the partitions in scope by ``df``; partitions of the scope without rows disappear."""
         staging = f"{self.path}/_staging/{table}-{uuid.uuid4().hex}"
         self._write(table, df, staging, "overwrite")
-        keys, target = self._keys(table), self.location(table)
-
-        def in_scope(name: str) -> bool:
-            parts = dict(p.split("=", 1) for p in name.split("/"))
-            known = contexts is None or parts.get("context_id") in contexts
-            return int(parts["bucket"]) in buckets and known
-
-        fresh = self._partitions(staging, len(keys))
-        stale = {p for p in self._partitions(target, len(keys)) if in_scope(p)}
+        target = self.location(table)
+        fresh = self._partitions(table, staging, None)
+        inside = {f"bucket={b}" for b in buckets}
+        stale = {p for p in self._partitions(table, target, contexts) if p.rsplit("/", 1)[-1] in inside}
         for name in sorted(fresh | stale):
             fs, there = self._fs(f"{target}/{name}")
             if fs.exists(there):

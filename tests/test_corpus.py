@@ -189,3 +189,17 @@ def test_stream_of_pages(corpus, spark, tmp_path):
     # A second run over the same folder from scratch changes nothing.
     ingest_stream(corpus, "b", source, str(tmp_path / "check2"), **options).awaitTermination()
     assert counts(corpus, "b") == (6, 6, 6, 0)
+
+
+def test_indexes(corpus, spark):
+    from doclake.plans.indexes import index_text, index_vectors, indexed_search
+
+    index_text(corpus, "a")
+    index_vectors(corpus, "a", cells=2)
+    for query in ("tables", "window join", "word table"):
+        scan = search(corpus, "a", query, "fulltext", 3, embedder=TEXT, stemming=True).collect()
+        index = indexed_search(corpus, "a", query, limit=3).collect()
+        assert [(r["chunk_id"], round(r["score"], 6)) for r in index] == [(r["chunk_id"], round(r["score"], 6)) for r in scan]
+        both = search(corpus, "a", query, "hybrid", 3, embedder=TEXT, stemming=True).collect()
+        near = indexed_search(corpus, "a", query, TEXT.query(query), probes=2, limit=3).collect()
+        assert [(r["chunk_id"], round(r["score"], 6)) for r in near] == [(r["chunk_id"], round(r["score"], 6)) for r in both]
