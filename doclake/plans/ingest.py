@@ -155,12 +155,13 @@ def store_processed(
     snippet_rows(prepared, snippet_embedder or code_embedder(), moment).write.parquet(f"{work}/snippets")
     snippets = spark.read.parquet(f"{work}/snippets")
 
-    corpus.replace_documents("code_snippets", snippets, ids)
-    corpus.replace_documents("chunks", chunks, ids)
+    scope = corpus.scope_of(ids)
+    corpus.replace_documents("code_snippets", snippets, ids, scope)
+    corpus.replace_documents("chunks", chunks, ids, scope)
     raw = done.select("context_id", "doc_id", "raw_content", F.col("indexed_at").alias("created_at"))
-    corpus.replace_documents("raw_documents", raw, ids)
+    corpus.replace_documents("raw_documents", raw, ids, scope)
     kept = ["context_id", "url", "title", "content", "metadata", "indexed_at", "source_type", "doc_id"]
-    corpus.upsert_documents(with_chunk_counts(done.select(*kept), chunks))
+    corpus.upsert_documents(with_chunk_counts(done.select(*kept), chunks), scope)
 
     per_document = with_chunk_counts(prepared, chunks)
     return per_document.select(

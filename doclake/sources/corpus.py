@@ -18,8 +18,8 @@ from doclake import schema
 from doclake.operators import contexts as ctx_ops
 from doclake.operators import documents as doc_ops
 
-#: Contexts named one by one in a partition filter; a batch over more of them is pruned by bucket only.
-CONTEXT_FILTER_LIMIT = 1000
+#: Partitions named one by one in a filter; a batch that touches more of them is pruned by bucket only.
+PARTITION_FILTER_LIMIT = 10_000
 
 
 class Corpus:
@@ -92,11 +92,16 @@ class Corpus:
 
     def _scope(self, table: str, touched: DataFrame) -> tuple[list[int], list[str] | None]:
         """Buckets, and contexts if they are few, that a set of rows lies in; both lists are bounded."""
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
-        if "context_id" not in self._keys(table):
-            return buckets, None
-        some = touched.select("context_id").distinct().limit(CONTEXT_FILTER_LIMIT + 1).collect()
-        return buckets, [r["context_id"] for r in some] if len(some) <= CONTEXT_FILTER_LIMIT else None
+        keys = self._keys(table)
+        places = touched.select(*keys).distinct().limit(PARTITION_FILTER_LIMIT + 1).collect()
+        if len(places) > PARTITION_FILTER_LIMIT:
+            return [r["bucket"] for r in touched.select("bucket").distinct().collect()], None
+        contexts = sorted({r["context_id"] for r in places}) if "context_id" in keys else None
+        return sorted({r["bucket"] for r in places}), contexts
+
+    def scope_of(self, doc_ids: DataFrame) -> tuple[list[int], list[str] | None]:
+        """Where documents (context_id, doc_id) lie, the same in every table."""
+        return self._scope("documents", self._bucketed("documents", doc_ids.select("context_id", "doc_id")))
 
     def _within(self, df: DataFrame, buckets: list[int], contexts: list[str] | None) -> DataFrame:
         df = df.where(F.col("bucket").isin(buckets))
@@ -120,14 +125,14 @@ class Corpus:
         fs, path = self._fs(staging)
         fs.delete(path, True)
 
-    def replace_documents(self, table: str, rows: DataFrame, doc_ids: DataFrame) -> None:
+    def replace_documents(self, table: str, rows: DataFrame, doc_ids: DataFrame, scope=None) -> None:
         """Rows of the listed documents (context_id, doc_id) give way to ``rows``; all other rows stay.
 
         ``rows`` and ``doc_ids`` should come from written tables; they are read more than once.
         """
         rows = self._bucketed(table, self._conform(table, rows))
         listed = self._bucketed(table, doc_ids.select("context_id", "doc_id"))
-        scope = self._scope(table, listed)
+        scope = scope or self._scope(table, listed)
         current = self._within(self.read(table, bucket=True), *scope)
         kept = current.join(listed.select("context_id", "doc_id"), ["context_id", "doc_id"], "left_anti")
         self._swap(table, kept.select(*rows.columns).unionByName(rows), *scope)
@@ -172,10 +177,10 @@ class Corpus:
 
     # Documents ---------------------------------------------------------------------------------------------------
 
-    def upsert_documents(self, df: DataFrame) -> None:
+    def upsert_documents(self, df: DataFrame, scope=None) -> None:
         """Upsert rows (context_id, url, title, content, metadata, source_type, indexed_at)."""
         incoming = self._bucketed("documents", self._conform("documents", doc_ops.latest_documents(df)))
-        scope = self._scope("documents", incoming)
+        scope = scope or self._scope("documents", incoming)
         current = self._within(self.read("documents", bucket=True), *scope)
         self._swap("documents", doc_ops.upsert_documents(current, incoming), *scope)
 
@@ -196,9 +201,10 @@ class Corpus:
         cid = self.context_id(name)
         gone = ids.select(F.col(ids.columns[0]).alias("doc_id"), F.lit(cid).alias("context_id"))
         deleted = doc_ops.deleted_count(self.read("documents", cid), cid, gone.select("doc_id")).first()["deleted"]
+        scope = self.scope_of(gone)
         for table in ("code_snippets", "chunks", "raw_documents", "documents"):
             if self._exists(self.location(table)):
-                self.replace_documents(table, self.read(table).limit(0), gone)
+                self.replace_documents(table, self.read(table).limit(0), gone, scope)
         return deleted
 
     def statistics(self) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,43 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _shape(spark.read.format("binaryFile").load(paths))
 
 
+def _hidden_paths(spark: SparkSession, root: str) -> list[str]:
+    """Files that Spark's sources do not list: a part of their path below the root starts with "_" or "."."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        below = name.split(root.rstrip("/"), 1)[-1].strip("/").split("/")
+        if any(p.startswith(("_", ".")) for p in below):
+            found.append(name)
+    return found
+
+
+def _read_bytes(paths: DataFrame) -> DataFrame:
+    """Files (path) with length, modificationTime and content, read in the tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                info = system.get_file_info(name)
+                with system.open_input_stream(name) as stream:
+                    data = stream.read()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path]),
+                        pa.array([len(data)], pa.int64()),
+                        pa.array([info.mtime], pa.timestamp("us", "UTC")),
+                        pa.array([data], pa.binary()),
+                    ],
+                    names=["path", "length", "modificationTime", "content"],
+                )
+
+    return paths.mapInArrow(read, "path string, length long, modificationTime timestamp, content binary")
+
+
 def _any_glob(column: Column, patterns: list[str]) -> Column:
     regexes = [fnmatch.translate(p).replace(r"\Z", r"\z") for p in patterns]
     return reduce(lambda a, b: a | b, [column.rlike(rf"\A{r}") for r in regexes], F.lit(False))
@@ -98,22 +139,31 @@ def read_directory(
     exclude: list[str] | None = None,
     max_files: int | None = MAX_FILES,
     prune_dirs: bool = False,
+    hidden: bool | None = None,
 ) -> DataFrame:
     """Text files below a directory as documents.
 
     With ``max_files`` the first paths are chosen from the listing alone (file contents are not read for that) and
-    only those files are opened; ``max_files=None`` reads every match in one pass. Spark lists no file or directory
-    whose name starts with "_" or ".".
+    only those files are opened; ``max_files=None`` reads every match in one pass. Spark's sources list no file or
+    directory whose name starts with "_" or "."; ``hidden`` adds these from a listing by the driver, by default where
+    ``max_files`` bounds the read.
     """
     root = root.removeprefix("file://")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     chosen = select_files(listing, root, include, exclude, prune_dirs)
-    if max_files is None:
+    with_hidden = max_files is not None if hidden is None else hidden
+    unseen = [(p,) for p in _hidden_paths(spark, root)] if with_hidden else []
+    extra = select_files(spark.createDataFrame(unseen, "path string"), root, include, exclude, prune_dirs)
+    if max_files is not None:
+        listed = chosen.select("path", F.lit(False).alias("unseen"))
+        both = listed.unionByName(extra.select("path", F.lit(True).alias("unseen")))
+        first = both.orderBy(_plain_path(F.col("path"))).limit(max_files).collect()
+        plain = [r["path"] for r in first if not r["unseen"]]
+        chosen = spark.read.format("binaryFile").load(plain) if plain else chosen.limit(0)
+        extra = spark.createDataFrame([(r["path"],) for r in first if r["unseen"]], "path string")
+    if not unseen:
         return _shape(chosen)
-    paths = [r["path"] for r in chosen.select("path").orderBy("path").limit(max_files).collect()]
-    if not paths:
-        return _shape(chosen)
-    return _shape(spark.read.format("binaryFile").load(paths))
+    return _shape(chosen.select("path", "length", "modificationTime", "content").unionByName(_read_bytes(extra)))
 
 
 def file_report(results: DataFrame) -> DataFrame:

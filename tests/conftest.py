@@ -10,7 +10,7 @@ from doclake.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = local_session(8, "tests", partitions=4)
     yield session
     session.stop()
 

@@ -18,6 +18,9 @@ def root(tmp_path_factory):
         "sub/b.Markdown": b"b text here\nok\n",
         "sub/c.py": "print('é')".encode(),
         "dist": b"a file of that name",
+        "pkg/__init__.py": b"version = 1\r\n",
+        ".github/note.md": b"hidden note\n\nHome\n",
+        ".env": b"x",
     }
     for name, data in files.items():
         path = base / name
@@ -42,12 +45,18 @@ def names(df, root):
 
 def test_globs(spark, root):
     found = names(read_directory(spark, root), root)
-    assert found == {"a.md", "My  File<1>.TXT.txt", "latin.rst", "node_modules/lib/x.js", "sub/c.py"}
+    hidden = {"pkg/__init__.py", ".github/note.md"}
+    assert found == {"a.md", "My  File<1>.TXT.txt", "latin.rst", "node_modules/lib/x.js", "sub/c.py"} | hidden
     assert names(read_directory(spark, root, prune_dirs=True), root) == found - {"node_modules/lib/x.js"}
-    assert names(read_directory(spark, root, max_files=None), root) == found
-    assert names(read_directory(spark, root, max_files=2), root) == {"My  File<1>.TXT.txt", "a.md"}
-    assert names(read_directory(spark, root, ["*.py"], ["sub/*"]), root) == set()
+    assert names(read_directory(spark, root, max_files=None), root) == found - hidden
+    assert names(read_directory(spark, root, max_files=None, hidden=True), root) == found
+    got = {r["title"]: r for r in read_directory(spark, root).collect()}
+    assert (got["init"]["content"], got["init"]["file_size"]) == ("version = 1\n", 13)
+    assert got["note"]["content"] == "hidden note"
+    assert names(read_directory(spark, root, max_files=2), root) == {".github/note.md", "My  File<1>.TXT.txt"}
+    assert names(read_directory(spark, root, ["*.py"], ["sub/*"]), root) == {"pkg/__init__.py"}
     assert names(read_directory(spark, root, ["?.[!p]*"], []), root) == {"a.md", "sub/b.Markdown", "node_modules/lib/x.js"}
+    assert ".env" in names(read_directory(spark, root, [".e*"], []), root)
     assert read_directory(spark, root, ["*.none"]).count() == 0
 
 
