@@ -431,6 +431,34 @@ def _chunks(spark, sf):
     return chunk_documents(d, keys=("doc_id", "source"))
 
 
+@query(
+    "chunk_cover",
+    f"""
+    WITH d AS (SELECT doc_id, text, {sql_strip('text')} AS body FROM documents)
+    SELECT doc_id, CAST(instr(text, body) - 1 AS INT) AS char_start,
+      CAST(instr(text, body) - 1 + length(body) AS INT) AS char_end, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS moved,
+      CAST(CASE WHEN length(text) <= 4000 THEN 1 ELSE 0 END AS BIGINT) AS only_chunk FROM d WHERE body <> ''
+    """,
+)
+def _chunk_cover(spark, sf):
+    """Chunks reach from the first to the last character, none is too long, each is the text at its offsets."""
+    d = texts(spark, sf, "documents", "doc_id", "text").withColumnRenamed("text", "content")
+    chunks = chunk_documents(d)
+    whole = d.select("doc_id", F.col("content").alias("whole"))
+    there = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return (
+        chunks.join(whole, "doc_id")
+        .groupBy("doc_id")
+        .agg(
+            F.min("char_start").alias("char_start"),
+            F.max("char_end").alias("char_end"),
+            F.count_if(F.length("content") > 4000).alias("oversize"),
+            F.count_if(F.col("content") != there).alias("moved"),
+            F.when(F.max(F.length("whole")) <= 4000, F.count("*")).otherwise(0).alias("only_chunk"),
+        )
+    )
+
+
 @query("chunks_small")
 def _chunks_small(spark, sf):
     d = table(spark, sf, "conversations").withColumnRenamed("text", "content")

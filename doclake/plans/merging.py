@@ -30,13 +30,13 @@ def merge_contexts(
 
     work = shared_dir(spark, "merge")
     stored = {t: corpus.read(t, into) for t in ("documents", "raw_documents", "chunks", "code_snippets")}
-    chosen = m.collect_documents(corpus.read("documents"), ids, mode)
+    chosen = m.collect_documents(corpus.read("documents", ids), ids, mode)
     m.map_to_target(chosen, stored["documents"], into).write.parquet(f"{work}/documents")
     mapped = spark.read.parquet(f"{work}/documents")
     moves = m.id_map(mapped).where(F.col("doc_id") != F.col("new_doc_id"))
 
     def of_sources(table: str) -> DataFrame:
-        return corpus.read(table).where(F.col("context_id").isin(ids))
+        return corpus.read(table, ids)
 
     snippets = of_sources("code_snippets")
     pairs = m.snippet_id_pairs(moves, snippets)

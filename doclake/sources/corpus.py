@@ -47,15 +47,27 @@ class Corpus:
         owner = {"contexts": "context_id", "job_events": "job_id"}.get(table, "doc_id")
         return df.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(self.buckets)).cast("int"))
 
-    def read(self, table: str, context_id: str | None = None, bucket: bool = False) -> DataFrame:
-        """A table, or one context of it (a pruned partition). Nothing stored yet gives an empty frame."""
-        columns = schema.TABLES[table]
-        if self._exists(self.location(table)):
-            df = self.spark.read.schema(f"{columns}, bucket int").parquet(self.location(table))
+    def _load(self, table: str, folders: list[str] | None) -> DataFrame:
+        """The table, or only the listed partition folders of it; nothing there gives an empty frame."""
+        columns, home = f"{schema.TABLES[table]}, bucket int", self.location(table)
+        paths = [home] if folders is None else [f"{home}/{f}" for f in folders]
+        if folders is None and not self._exists(home):
+            paths = []
+        if not paths:
+            return self.spark.createDataFrame([], columns)
+        return self.spark.read.schema(columns).option("basePath", home).parquet(*paths)
+
+    def read(self, table: str, context_id: str | list[str] | None = None, bucket: bool = False) -> DataFrame:
+        """A table, or one or more contexts of it; then only the folders of these contexts are listed."""
+        if context_id is None:
+            df = self._load(table, None)
         else:
-            df = self.spark.createDataFrame([], f"{columns}, bucket int")
-        if context_id is not None:
-            df = df.where(F.col("context_id") == context_id)
+            wanted = [context_id] if isinstance(context_id, str) else list(dict.fromkeys(context_id))
+            if "context_id" in self._keys(table):
+                folders = [f"context_id={c}" for c in wanted]
+                df = self._load(table, [f for f in folders if self._exists(f"{self.location(table)}/{f}")])
+            else:
+                df = self._load(table, None).where(F.col("context_id").isin(wanted))
         return df if bucket else df.drop("bucket")
 
     def _conform(self, table: str, df: DataFrame) -> DataFrame:
@@ -103,9 +115,13 @@ class Corpus:
         """Where documents (context_id, doc_id) lie, the same in every table."""
         return self._scope("documents", self._bucketed("documents", doc_ids.select("context_id", "doc_id")))
 
-    def _within(self, df: DataFrame, buckets: list[int], contexts: list[str] | None) -> DataFrame:
-        df = df.where(F.col("bucket").isin(buckets))
-        return df if contexts is None else df.where(F.col("context_id").isin(contexts))
+    def _read_scope(self, table: str, buckets: list[int], contexts: list[str] | None) -> DataFrame:
+        """The stored rows of a scope. Known contexts are read folder by folder, others by a bucket filter."""
+        if contexts is None:
+            return self._load(table, None).where(F.col("bucket").isin(buckets))
+        inside = {f"bucket={b}" for b in buckets}
+        found = self._partitions(table, self.location(table), contexts)
+        return self._load(table, sorted(p for p in found if p.rsplit("/", 1)[-1] in inside))
 
     def _swap(self, table: str, df: DataFrame, buckets: list[int], contexts: list[str] | None) -> None:
         """Replace the partitions in scope by ``df``; partitions of the scope without rows disappear."""
@@ -133,7 +149,7 @@ class Corpus:
         rows = self._bucketed(table, self._conform(table, rows))
         listed = self._bucketed(table, doc_ids.select("context_id", "doc_id"))
         scope = scope or self._scope(table, listed)
-        current = self._within(self.read(table, bucket=True), *scope)
+        current = self._read_scope(table, *scope)
         kept = current.join(listed.select("context_id", "doc_id"), ["context_id", "doc_id"], "left_anti")
         self._swap(table, kept.select(*rows.columns).unionByName(rows), *scope)
 
@@ -172,7 +188,7 @@ class Corpus:
                 mine = self.read(table, bucket=True).where(F.col("context_id") == cid)
                 scope = self._scope(table, mine)
                 if scope[0]:
-                    current = self._within(self.read(table, bucket=True), *scope)
+                    current = self._read_scope(table, *scope)
                     self._swap(table, ctx_ops.delete_context(current, cid), *scope)
 
     # Documents ---------------------------------------------------------------------------------------------------
@@ -181,19 +197,19 @@ class Corpus:
         """Upsert rows (context_id, url, title, content, metadata, source_type, indexed_at)."""
         incoming = self._bucketed("documents", self._conform("documents", doc_ops.latest_documents(df)))
         scope = scope or self._scope("documents", incoming)
-        current = self._within(self.read("documents", bucket=True), *scope)
+        current = self._read_scope("documents", *scope)
         self._swap("documents", doc_ops.upsert_documents(current, incoming), *scope)
 
     def upsert_raw(self, df: DataFrame) -> None:
         incoming = self._bucketed("raw_documents", self._conform("raw_documents", df))
         scope = self._scope("raw_documents", incoming)
-        current = self._within(self.read("raw_documents", bucket=True), *scope)
+        current = self._read_scope("raw_documents", *scope)
         self._swap("raw_documents", doc_ops.upsert_raw(current, incoming), *scope)
 
     def upsert_chunks(self, df: DataFrame) -> None:
         incoming = self._bucketed("chunks", self._conform("chunks", df))
         scope = self._scope("chunks", incoming)
-        current = self._within(self.read("chunks", bucket=True), *scope)
+        current = self._read_scope("chunks", *scope)
         self._swap("chunks", doc_ops.upsert_chunks(current, incoming), *scope)
 
     def delete_documents(self, name: str, ids: DataFrame) -> int:

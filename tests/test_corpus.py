@@ -1,3 +1,4 @@
+import shutil
 from datetime import datetime
 
 import pytest
@@ -33,12 +34,19 @@ def counts(corpus, name):
     return tuple(corpus.read(t, cid).count() for t in TABLES)
 
 
-@pytest.fixture
-def corpus(spark, tmp_path):
-    c = Corpus(spark, str(tmp_path / "corpus"), buckets=2)
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("base") / "corpus")
+    c = Corpus(spark, path, buckets=2)
     c.register(spark.createDataFrame([("a",), ("b",)], "name string"), NOW)
     put(c, "a", pages(spark, ("http://x/1/", "One", GUIDE), ("http://x/2", "Two", "a page about windows " * 5)))
-    return c
+    return path
+
+
+@pytest.fixture
+def corpus(spark, stored, tmp_path):
+    shutil.copytree(stored, tmp_path / "corpus")
+    return Corpus(spark, str(tmp_path / "corpus"), buckets=2)
 
 
 def test_store_and_repeat(corpus, spark):
