@@ -1,4 +1,4 @@
-"""Session set-up, the shared scratch folder and size checks used before broadcasting."""
+"""Session set-up, and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast, or brought to the driver, only when its estimated size is below this many bytes.
-BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", app: str = "doclake", partitions: int | None = None) -> SparkSession:
@@ -30,30 +26,27 @@ def local_session(cpus: int | str = "*", app: str = "doclake", partitions: int |
     return spark
 
 
+#: Scratch folders of local sessions that name none themselves, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only a local master may run without that setting; it then gets a folder of its own, once per session.
+    Only a local master may run without that setting; it then gets a folder of its own, once per application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        name = context.applicationId
+        if name not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[name] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _LOCAL_ROOTS[name]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate for the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only where the estimate is below ``limit``; otherwise leave the join to Catalyst and AQE."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out over all task slots when a small input has fewer splits than that; otherwise ``df`` itself.
 
