@@ -35,7 +35,7 @@ def prefix_sums(steps: Column, block: int = 256) -> Column:
     def running(values: Column) -> Column:
         start = F.array().cast("array<bigint>")
         return F.aggregate(
-            values, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x))
+            values, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
         )
 
     blocks = F.transform(
@@ -44,7 +44,7 @@ def prefix_sums(steps: Column, block: int = 256) -> Column:
     )
 
     def shifted(parts: Column) -> Column:
-        totals = running(F.transform(parts, lambda p: F.element_at(p, -1)))
+        totals = running(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1))))
         return F.flatten(
             F.zip_with(parts, F.concat(F.array(F.lit(0).cast("bigint")), totals), _shift)
         )
@@ -52,7 +52,7 @@ def prefix_sums(steps: Column, block: int = 256) -> Column:
     empty = F.array().cast("array<bigint>")
     # One-element arrays bind an expression to a lambda variable, so that it is computed once.
     bound = F.transform(F.array(blocks), shifted)
-    return F.when(F.coalesce(F.size(steps), F.lit(0)) > 0, F.element_at(bound, 1)).otherwise(empty)
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) > 0, F.get(bound, F.lit(0))).otherwise(empty)
 
 
 def _shift(part: Column, start: Column) -> Column:

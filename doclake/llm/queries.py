@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import exact_dedup
+from doclake.llm import exact_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
