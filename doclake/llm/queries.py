@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import exact_dedup, pii
+from doclake.llm import exact_dedup, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +45,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
