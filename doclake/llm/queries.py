@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import exact_dedup, pii, secrets
+from doclake.llm import exact_dedup, licenses, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,3 +50,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_licenses")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
