@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import exact_dedup, licenses, pii, secrets
+from doclake.llm import exact_dedup, licenses, pii, secrets, warc
+from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op2_warc",
+    """
+    WITH t AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS owner FROM t)
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((CAST('0x' || substr(h, 5 * CAST(i // 4 AS INT) + 1, 5) AS INT) >> CAST(5 * (3 - i % 4) AS INT)) & 31) + 1, 1)), '')
+        AS payload_digest,
+      CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+    FROM g
+    """,
+)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
