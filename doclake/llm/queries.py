@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import exact_dedup, licenses, pii, secrets, warc
+from doclake.llm import ann, exact_dedup, licenses, pii, secrets, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     WITH t AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
     g AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS owner FROM t)
     SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
-      array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         ((CAST('0x' || substr(h, 5 * CAST(i // 4 AS INT) + 1, 5) AS INT) >> CAST(5 * (3 - i % 4) AS INT)) & 31) + 1, 1)), '')
         AS payload_digest,
       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
@@ -74,3 +74,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_licenses")
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ann")
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), ann.by_twenty)
