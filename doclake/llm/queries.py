@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import ann, exact_dedup, licenses, pii, secrets, warc
+from doclake.llm import ann, exact_dedup, licenses, pii, secrets, sentencepiece_codec, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ann")
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), ann.by_twenty)
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_codec.load_pieces(sentencepiece_codec.MODEL)
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces)
