@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import ann, exact_dedup, licenses, pii, secrets, sentencepiece_codec, warc
+from doclake.llm import ann, exact_dedup, licenses, pii, secrets, sentencepiece_codec, toxicity, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,9 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece_codec.load_pieces(sentencepiece_codec.MODEL)
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), pieces)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
