@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import ann, exact_dedup, licenses, mixing, pii, secrets, sentencepiece_codec, toxicity, warc
+from doclake.llm import ann, exact_dedup, licenses, mixing, near_dups, pii, secrets, sentencepiece_codec, toxicity, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_groups(table(spark, sf_dir, "documents"))
