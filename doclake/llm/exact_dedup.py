@@ -171,9 +171,8 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("doc_id").alias("_kept_id"), F.col("n_chars").alias("_kept_chars"))
     )
     has_id = df.where(F.col(id_col).isNotNull())
-    chars = F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    stays = has_id.join(
-        kept, (F.col(id_col).cast("long") == F.col("_kept_id")) & (chars == F.col("_kept_chars")), "left_semi"
-    )
+    chars = F.char_length(F.coalesce(has_id[text_col], F.lit(""))).cast("long")
+    same = (has_id[id_col].cast("long") == kept["_kept_id"]) & (chars == kept["_kept_chars"])
+    stays = has_id.join(kept, same, "left_semi")
     # Only rows that repeat an id are still there twice.
     return stays.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))

@@ -163,11 +163,9 @@ def mixed_documents(
     """The rows of ``df`` that are drawn, with all of their columns. Texts are not shuffled."""
     cells = fitted(features(df, id_col, text_col), powers, targets)
     cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
-    keys = {
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
-        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
-        "_topic": topic_of(F.col(text_col).cast("string")),
-    }
-    joined = df.withColumns(keys).join(cells, list(keys), "left")
-    kept = uniform(F.col(id_col).cast("long"), seed) < F.coalesce("_probability", F.lit(1.0))
-    return joined.where(kept).select(*df.columns)
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    keys = {"_source": known("source"), "_lang": known("lang"), "_topic": topic_of(F.col(text_col).cast("string"))}
+    rows = df.select(F.struct(*df.columns).alias("_row"), *[value.alias(name) for name, value in keys.items()])
+    joined = rows.join(cells, list(keys), "left")
+    kept = uniform(F.col("_row")[id_col].cast("long"), seed) < F.coalesce("_probability", F.lit(1.0))
+    return joined.where(kept).select("_row.*")

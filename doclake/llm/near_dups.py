@@ -401,3 +401,12 @@ def near_groups(
     return grouped.select("doc_id", "class_id", "n_links", "n_shingles").unionByName(
         alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles")
     )
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group, that with the smallest id, with all of its columns. Rows without an id stay."""
+    first = near_groups(df, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_first"))
+    has_id = df.where(F.col(id_col).isNotNull())
+    stays = has_id.join(first, has_id[id_col].cast("long") == first["_first"], "left_semi")
+    # Only rows that repeat an id are still there twice.
+    return stays.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))

@@ -132,7 +132,7 @@ def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``df`` with every span of a score of ``least`` or more replaced by ``[kind]``; overlaps go to the earlier span."""
-    rows = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = with_spans(rows, KINDS, "_text")
     every = F.filter(F.concat(*[F.col(f"spans_{k.name}") for k in KINDS]), lambda s: s["score"] >= least)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
@@ -145,5 +145,5 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     folded = F.aggregate(F.array_sort(every), start, step)
     clean = F.concat(folded["out"], F.substr(F.col("_text"), folded["at"].cast("int") + 1))
     out = found.withColumn("_clean", clean)
-    return out.select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return out.select(*[F.col("_clean").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns])
 

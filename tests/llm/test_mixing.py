@@ -104,3 +104,8 @@ def test_uniform_numbers(spark):
 
     u = np.array([r[0] for r in spark.range(5000).select(M.uniform(F.col("id"))).collect()])
     assert u.min() >= 0 and u.max() < 1 and abs(u.mean() - 0.5) < 0.02
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "en", "s", "mine")], "doc_id long, text string, lang string, source string, _source string")
+    assert [tuple(r) for r in M.mixed_documents(df).collect()] == [(1, "a", "en", "s", "mine")]

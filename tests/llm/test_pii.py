@@ -81,7 +81,7 @@ def test_iban_and_scores(spark):
 
 def test_redaction_and_odd_tables(spark):
     df = spark.createDataFrame([(1, "mail a@b.org now", "s"), (None, None, None), (1, "mail a@b.org now", "s")],
-                               "doc_id long, text string, spans string")
+                               "doc_id long, text string, spans_email string")
     assert sorted(r.text for r in redact(df).collect()) == ["", "mail [email] now", "mail [email] now"]
     assert redact(df).columns == df.columns
     assert pii_digest(df).count() == 3
