@@ -795,7 +795,7 @@ def _ledger_stream(spark, sf):
     twice = batch.repartitionByRange(4, "ts").select(F.explode(F.array_repeat(F.struct("*"), 2)).alias("e")).select("e.*")
     twice.write.parquet(source)
     events = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    ledger_stream(spark, events, target, lateness="60 days").awaitTermination()
+    ledger_stream(spark, events, target).awaitTermination()
     state = read_state(spark, target)
     return state.select(
         "job_id", "status", F.round("progress", 6).alias("progress"), "error_message", _stamp("started_at"), _stamp("updated_at"), _stamp("completed_at")

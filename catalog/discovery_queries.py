@@ -151,7 +151,7 @@ def _sitemap_entries(spark, sf):
 def _sitemap_expand(spark, sf):
     files = sitemap_files(spark, sf)
     start = files.where(~F.col("sitemap").startswith("bad")).select("sitemap")
-    return _shown(D.expand_sitemaps(start, D.parse_sitemaps(files)))
+    return _shown(D.expand_sitemaps(start, D.parse_sitemaps(files), max_depth=3))
 
 
 @query(

@@ -23,10 +23,10 @@ _QUERY = "the tion ment est"
 
 
 def chunk_frame(spark, sf) -> DataFrame:
-    """One chunk per document that has a vector."""
+    """One chunk per document, with its vector where it has one."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     d = spread(corpus_documents(spark, sf).select("doc_id", "context_id", "content"))
-    return d.join(e, "doc_id").withColumn("chunk_id", F.col("doc_id"))
+    return d.join(e, "doc_id", "left").withColumn("chunk_id", F.col("doc_id"))
 
 
 def query_vector(spark, sf) -> list[float]:
@@ -49,7 +49,7 @@ class FixedEmbedder:
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[]))"
 _VECTOR_SQL = f"""
   {DOCS_SQL}, ch AS (SELECT d.doc_id AS chunk_id, d.doc_id, d.context_id, d.content, e.embedding,
-    {_COS} AS cos FROM embeddings e JOIN docs d ON d.doc_id = e.vec_id)
+    {_COS} AS cos FROM docs d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
 """
 
 
@@ -91,11 +91,15 @@ def _cosine_pairs(spark, sf):
     return e.join(following, "vec_id").select("vec_id", F.round(cosine("embedding", "other"), 6).alias("score"))
 
 
-@query("vector_text_form", "SELECT vec_id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 4) AS first FROM embeddings")
+@query(
+    "vector_text_form",
+    "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',') "
+    "AS millionths FROM embeddings",
+)
 def _vector_text_form(spark, sf):
     back = parse_vector(vector_text("embedding"))
-    first = F.round(F.get(back, F.lit(0)).cast("double"), 4)
-    return table(spark, sf, "embeddings").select("vec_id", F.size(back).alias("dim"), first.alias("first"))
+    whole = F.transform(back, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return table(spark, sf, "embeddings").select("vec_id", F.array_join(whole, ",").alias("millionths"))
 
 
 # Full text ------------------------------------------------------------------------------------------------------------
@@ -204,16 +208,12 @@ def _postings_search(spark, sf):
 
 
 def batch_queries(spark, sf) -> DataFrame:
-    """Two words of every benchmark text as a query."""
-    words = F.split("text", " ")
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(3))).alias("text")
-    )
+    """Every benchmark text as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _BATCH_FT_SQL = f"""
-  q AS (SELECT item_id AS query_id, list_distinct({_lexemes_sql("string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[4]")})
-    AS terms FROM benchmark),
+  q AS (SELECT item_id AS query_id, list_distinct({_lexemes_sql('text')}) AS terms FROM benchmark),
   qt AS (SELECT query_id, len(terms) AS wanted, unnest(terms) AS lexeme FROM q),
   l AS (SELECT doc_id, {_lexemes_sql('text')} AS lex FROM documents),
   st AS (SELECT count(*) AS n, avg(len(lex)) AS mean FROM l),
@@ -243,18 +243,16 @@ def _fulltext_batch(spark, sf):
 # Batch and hybrid -----------------------------------------------------------------------------------------------------
 
 _BATCH_V_SQL = """
-  qv AS (SELECT label AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qe FROM embeddings e
-    WHERE vec_id = (SELECT min(vec_id) FROM embeddings x WHERE x.label = e.label)),
+  qv AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qe FROM embeddings e),
   sc AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS score FROM embeddings, qv),
-  vs AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc
+  vs AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM sc
     WHERE score > 0.1)
 """
 
 
 def query_vectors(spark, sf) -> DataFrame:
-    """The first vector of every label as a query."""
-    e = table(spark, sf, "embeddings")
-    return e.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    """Every vector as a query."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(
@@ -359,15 +357,15 @@ def _ivf_cells_all(spark, sf):
 
 
 def snippet_frame(spark, sf) -> DataFrame:
-    """Snippets of the derived markdown, each with the vector of its document."""
+    """Snippets of the derived markdown, each with the vector of its document where it has one."""
     found = extract_snippets(markdown_documents(spark, sf))
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return found.join(e, "doc_id").drop("ordinal", "original")
+    return found.join(e, "doc_id", "left").drop("ordinal", "original")
 
 
 _CODE_TERMS = query_lexemes("rows print")
 _CODE_SQL = f"""
-  {_SNIPPETS_SQL}, {DOCS_SQL}, sn AS (SELECT s.*, {_COS} AS cos FROM snips s JOIN embeddings e ON e.vec_id = s.doc_id)
+  {_SNIPPETS_SQL}, {DOCS_SQL}, sn AS (SELECT s.*, {_COS} AS cos FROM snips s LEFT JOIN embeddings e ON e.vec_id = s.doc_id)
 """
 
 

@@ -581,7 +581,7 @@ def _embed_text(spark, sf):
 @query("embed_code")
 def _embed_code(spark, sf):
     found = extract_snippets(markdown_documents(spark, sf))
-    return found.select("snippet_id", embed("content", code_embedder(), code=True).alias("embedding"))
+    return found.select("snippet_id", embed("content", code_embedder()).alias("embedding"))
 
 
 _PLAIN = sql_strip(sql_replace("text", r"\s+", " "))
@@ -610,8 +610,7 @@ def _title_and_summary(spark, sf):
 @query(
     "summary_only",
     f"""
-    WITH d AS (SELECT doc_id, length(text) > 600 AND NOT {sql_blank('text')} AS wanted, substr(text, 1, 4000) AS text
-               FROM documents),
+    WITH d AS (SELECT doc_id, length(text) > 600 AND NOT {sql_blank('text')} AS wanted, text FROM documents),
       r AS (SELECT doc_id, wanted, {sql_strip(f"coalesce({_LEAD}, '')")} AS s FROM d)
     SELECT doc_id, CASE WHEN wanted AND length(s) >= 20 THEN s END AS summary FROM r
     """,

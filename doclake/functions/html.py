@@ -63,8 +63,10 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.skipping:
-            if tag == self.skipping[-1]:
-                self.skipping.pop()
+            # Ends the nearest open tag of that name with all that was opened inside it; a stray end tag ends nothing.
+            if tag in self.skipping:
+                while self.skipping.pop() != tag:
+                    pass
             return
         if tag == "title":
             self.in_title = False

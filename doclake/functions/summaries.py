@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from doclake.functions.patterns import column, is_blank, jvm, let, replace, strip
 from doclake.functions.text import parse_title_summary
 
-# Shortest text that gets a title, longest text that needs no summary, input cut, shortest summary.
+# Shortest text that gets a title, longest text that needs no summary, shortest summary.
 MIN_TITLE_INPUT = 50
 SUMMARY_TARGET = 600
-SUMMARY_INPUT = 4000
 MIN_SUMMARY = 20
 
 
@@ -54,7 +53,10 @@ class LeadSummarizer:
 
 
 class BatchSummarizer:
-    """Wraps functions from a list of texts to a list of replies (or None); a failed batch gives NULLs."""
+    """Wraps functions from a list of texts to a list of replies (or None); a failed batch gives NULLs.
+
+    Texts are handed over whole; a function whose model takes less cuts them as suits it.
+    """
 
     def __init__(
         self,
@@ -112,5 +114,5 @@ def title_and_summary(c, summarizer: Summarizer) -> Column:
 def summary_only(c, summarizer: Summarizer) -> Column:
     """Summary for texts longer than the target length; NULL for the rest and for replies that are too short."""
     text = column(c)
-    wanted = F.when((F.length(text) > SUMMARY_TARGET) & ~is_blank(text), F.left(text, F.lit(SUMMARY_INPUT)))
+    wanted = F.when((F.length(text) > SUMMARY_TARGET) & ~is_blank(text), text)
     return let(strip(summarizer.summaries(wanted)), lambda s: F.when(F.length(s) >= MIN_SUMMARY, s))

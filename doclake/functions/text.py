@@ -25,17 +25,17 @@ STOP_WORDS = frozenset(
     own same so than too very s t can will just don should now
     """.split()
 )
-# Longest input for text and for code embeddings.
+# Fixed value: longest input that text models commonly take.
 MAX_TEXT_CHARS = 30_000
-MAX_CODE_CHARS = 60_000
 # Default keywords for documentation sites, and the URL parts that mark one.
 DOC_KEYWORDS = ["docs", "guide", "tutorial", "api", "reference"]
 DOC_URL_MARKS = ["docs", "guide", "tutorial", "api"]
 
 
-def prepare_text(c, max_chars: int = MAX_TEXT_CHARS) -> Column:
-    """Collapse white space, strip, cut to the longest input a model takes."""
-    return F.left(strip(replace(column(c), r"\s+", " ")), F.lit(max_chars))
+def prepare_text(c, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
+    """Collapse white space, strip, cut to the longest input a model takes; None cuts nothing."""
+    plain = strip(replace(column(c), r"\s+", " "))
+    return plain if max_chars is None else F.left(plain, F.lit(max_chars))
 
 
 def keyword_hits(c, keywords: Iterable[str]) -> Column:

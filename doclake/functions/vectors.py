@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doclake.functions.patterns import column
-from doclake.functions.text import MAX_CODE_CHARS, MAX_TEXT_CHARS, prepare_text
+from doclake.functions.text import prepare_text
 
 
 def matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +88,16 @@ def parse_vector(c) -> Column:
     return F.from_json(column(c), "array<float>")
 
 
+def float_lists(vectors: list) -> pa.Array:
+    """Vectors (or None) as one list array over a single flat buffer."""
+    there = [v for v in vectors if v is not None]
+    flat = np.concatenate([np.asarray(v, np.float32) for v in there]) if there else np.zeros(0, np.float32)
+    ends = np.cumsum([0 if v is None else len(v) for v in vectors], dtype=np.int32)
+    absent = pa.array([v is None for v in vectors] + [False])
+    offsets = pa.array(np.append(np.int32(0), ends), mask=absent.to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+
 class Embedder(Protocol):
     """Plug-in: vectors for a column of prepared texts, and for one query text."""
 
@@ -101,11 +111,25 @@ class Embedder(Protocol):
 class BatchEmbedder:
     """Wraps any function from a list of texts to a list of vectors (or None), called in fixed-size batches.
 
-    A batch whose call fails gives NULL vectors for its own rows only; every vector stays with its text.
+    A batch whose call fails gives NULL vectors for its own rows only; every vector stays with its text. A text longer than
+    the model takes (``max_chars``, None: any length) is embedded window by window; its vector is the mean of theirs, scaled
+    to length one. If a window fails, so does the text.
     """
 
-    def __init__(self, call: Callable[[list[str]], Sequence[Sequence[float] | None]], dim: int, batch: int = 50):
-        self.call, self.dim, self.batch = call, dim, batch
+    def __init__(
+        self,
+        call: Callable[[list[str]], Sequence[Sequence[float] | None]],
+        dim: int,
+        batch: int = 50,
+        max_chars: int | None = None,
+    ):
+        self.call, self.dim, self.batch, self.max_chars = call, dim, batch, max_chars
+
+    def windows(self, text: str) -> list[str]:
+        """The text in pieces that the model takes."""
+        if self.max_chars is None or len(text) <= self.max_chars:
+            return [text]
+        return [text[at : at + self.max_chars] for at in range(0, len(text), self.max_chars)]
 
     def _safe(self, texts: list[str]) -> list[Sequence[float] | None]:
         try:
@@ -115,18 +139,25 @@ class BatchEmbedder:
         return got if len(got) == len(texts) else [None] * len(texts)
 
     def vectors(self, text: Column) -> Column:
-        safe, step = self._safe, self.batch
+        safe, step, windows = self._safe, self.batch, self.windows
+
+        def whole(parts: list) -> np.ndarray | None:
+            if any(p is None for p in parts):
+                return None
+            mean = np.mean(np.asarray(parts, dtype=np.float64), axis=0)
+            return mean / (np.linalg.norm(mean) or 1.0)
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
                 rows = texts.to_pylist()
-                filled = [i for i, t in enumerate(rows) if t]
-                out: list = [None] * len(rows)
-                for at in range(0, len(filled), step):
-                    part = filled[at : at + step]
-                    for i, vector in zip(part, safe([rows[i] for i in part]), strict=True):
-                        out[i] = vector
-                yield pa.array(out, pa.list_(pa.float32()))
+                pieces = [(i, w) for i, t in enumerate(rows) if t for w in windows(t)]
+                found: list[list] = [[] for _ in rows]
+                for at in range(0, len(pieces), step):
+                    part = pieces[at : at + step]
+                    for (i, _), vector in zip(part, safe([w for _, w in part]), strict=True):
+                        found[i].append(vector)
+                out = [None if not p else p[0] if len(p) == 1 else whole(p) for p in found]
+                yield float_lists(out)
 
         # The annotation text must resolve to real types for Spark to pick the iterator form.
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -175,6 +206,6 @@ def code_embedder() -> Embedder:
     return HashEmbedder(2048, batch=20)
 
 
-def embed(c, embedder: Embedder, code: bool = False) -> Column:
-    """Vector column for a text column: prepared, cut to the model's limit, embedded in batches."""
-    return embedder.vectors(prepare_text(c, MAX_CODE_CHARS if code else MAX_TEXT_CHARS))
+def embed(c, embedder: Embedder) -> Column:
+    """Vector column for a text column: white space collapsed, the whole text embedded in batches."""
+    return embedder.vectors(prepare_text(c, None))

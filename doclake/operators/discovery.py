@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from doclake.functions.patterns import BLANK, column, jvm, let, strip
 from doclake.functions.text import keyword_hits
 from doclake.functions.urls import base_url, url_path
+from doclake.session import stored
 
 # Path parts that mark documentation, file names tried for a site without a sitemap line.
 DOC_PATHS = [r"/docs?/", r"/guide/", r"/tutorial/", r"/api/", r"/reference/", r"/help/"]
@@ -18,8 +19,6 @@ SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 # Date forms accepted in sitemaps.
 DATE_FORMATS = ["yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d'T'H:m:sXXX", "yyyy-M-d'T'H:m:sXX"]
 DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2}(Z|[+\-]\d{2}:?\d{2})?)?$"
-MAX_URLS = 1000
-MAX_DEPTH = 3
 
 
 def robots_rules(df: DataFrame, agent: str = "*") -> DataFrame:
@@ -107,15 +106,30 @@ def parse_sitemaps(df: DataFrame) -> DataFrame:
     )
 
 
-def expand_sitemaps(start: DataFrame, entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """URLs reachable from the start sitemaps (column ``sitemap``) through at most ``max_depth`` levels of files."""
+def expand_sitemaps(start: DataFrame, entries: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """URLs reachable from the start sitemaps (column ``sitemap``) through sitemap files, with the depth of each file.
+
+    Levels are followed until one names no file that was not seen before; a file counts at the first level that names it, so
+    files that name each other end the search. With ``max_depth`` exactly that many levels are followed instead, and a file
+    named at several levels counts at each.
+    """
     children = entries.where(F.col("kind") == "sitemap").select("sitemap", F.col("loc").alias("child"))
     level = start.select("sitemap").withColumn("depth", F.lit(1))
-    levels = [level]
-    for depth in range(2, max_depth + 1):
-        level = level.join(children, "sitemap").select(F.col("child").alias("sitemap"), F.lit(depth).alias("depth"))
-        levels.append(level)
-    reached = reduce(DataFrame.unionByName, levels)
+    named = lambda depth: level.join(children, "sitemap").select(F.col("child").alias("sitemap"), F.lit(depth).alias("depth"))
+    if max_depth is not None:
+        levels = [level]
+        for depth in range(2, max_depth + 1):
+            level = named(depth)
+            levels.append(level)
+        reached = reduce(DataFrame.unionByName, levels)
+    else:
+        level, depth = stored(level.distinct(), "sitemap-level"), 1
+        reached = level
+        while not level.isEmpty():
+            # Each level is written before the next is asked for, so plans do not grow with the depth.
+            depth += 1
+            level = stored(named(depth).distinct().join(reached, "sitemap", "left_anti"), "sitemap-level")
+            reached = reached.unionByName(level)
     urls = entries.where(F.col("kind") == "url").drop("kind").withColumnRenamed("loc", "url")
     return reached.join(urls, "sitemap")
 
@@ -144,12 +158,13 @@ def discover(
     urls: DataFrame,
     rules: DataFrame | None = None,
     keywords: list[str] | None = None,
-    max_urls: int = MAX_URLS,
+    max_urls: int | None = None,
     dedupe: bool = False,
 ) -> DataFrame:
-    """Allowed URLs, best first, at most ``max_urls``. Ties are broken by URL."""
+    """Allowed URLs, best first, at most ``max_urls`` where that is given. Ties are broken by URL."""
     allowed = robots_allowed(urls, rules) if rules is not None else urls
     if dedupe:
         allowed = allowed.dropDuplicates(["url"])
     ranked = score_urls(allowed, keywords)
-    return ranked.orderBy(F.desc("relevance_score"), F.desc_nulls_last("priority"), "url").limit(max_urls)
+    ordered = ranked.orderBy(F.desc("relevance_score"), F.desc_nulls_last("priority"), "url")
+    return ordered if max_urls is None else ordered.limit(max_urls)

@@ -218,10 +218,10 @@ def fulltext_search_batch(
     stemming: bool = False,
     stop_words: frozenset[str] | None = STOP_WORDS,
 ) -> DataFrame:
-    """Best matches for every query (query_id, text), as one join of query terms with postings.
+    """Best matches for every query (query_id, text): texts that hold all of its terms.
 
-    Conjunction is checked by counting, so a query term joins its postings once and no pairs of texts arise. The
-    query side is small in practice and AQE broadcasts it; if it is not, a hot term is split by the skew join.
+    Candidates are the texts of a query's rarest term only. They are then looked up for each other term by (term, text), a
+    key that no common word makes hot, so the work follows the rarest terms and not the common ones. Queries stay in Spark.
     """
     terms = queries.select("query_id", F.array_distinct(lexemes(text, stop_words, stemming)).alias("_terms"))
     terms = terms.select("query_id", F.size("_terms").alias("_wanted"), F.explode("_terms").alias("lexeme"))
@@ -231,12 +231,15 @@ def fulltext_search_batch(
     weighted = terms.join(frequency, "lexeme").withColumn(
         "_idf", F.log(F.lit(1.0) + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     )
+    rarest = weighted.groupBy("query_id").agg(F.min_by("lexeme", F.struct("_df", "lexeme")).alias("lexeme"))
+    candidates = postings.select("lexeme", id_col).join(rarest, "lexeme").select("query_id", id_col)
+    asked = candidates.join(weighted.select("query_id", "lexeme", "_wanted", "_idf"), "query_id")
     tf = F.col("tf").cast("double")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("text_length") / mean)
     part = F.col("_idf") * tf * F.lit(K1 + 1) / (tf + norm)
     matched = (
         postings.select("lexeme", id_col, "tf", "text_length")
-        .join(weighted, "lexeme")
+        .join(asked, ["lexeme", id_col])
         .groupBy("query_id", id_col)
         .agg(F.count("*").alias("_n"), F.first("_wanted").alias("_wanted"), F.sum(part).alias("_s"))
         .where(F.col("_n") == F.col("_wanted"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,8 @@ from doclake.functions.vectors import cosine_to, matrix, matrix_blocks, unit_row
 LIMIT = 10
 MIN_SIMILARITY = 0.7
 SEARCH_MIN_SIMILARITY = 0.1
-#: Query vectors sent to every task at once, in bytes; more queries are scored in further passes.
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-
+#: Rows of a block of queries or of items in a batch search.
+BLOCK_ROWS = 4096
 
 #: Scores are compared to this many digits, so equal texts or vectors tie exactly and the id decides.
 SCORE_DIGITS = 9
@@ -113,78 +113,59 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _score_block(items: DataFrame, names: list, block: np.ndarray, k: int, floor: float, id_col: str) -> DataFrame:
-    """Best k rows of every partition for every query of the block."""
-    dim = block.shape[1]
-    sent = items.sparkSession.sparkContext.broadcast((names, unit_rows(block)))
-    id_type = items.schema[id_col].dataType.simpleString()
-    slack = 10.0**-SCORE_DIGITS
-
-    def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = sent.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(names)
-        arrow_id = None
-        for batch in batches:
-            arrow_id = batch.column(0).type
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, at in matrix_blocks(batch.column(1), dim):
-                ids, scores = all_ids[at], queries @ unit_rows(rows).T
-                for q in range(len(names)):
-                    held_scores, held_ids = best[q]
-                    good = scores[q] > floor  # NaN is never above the floor
-                    if len(held_scores) == k:
-                        good &= scores[q] >= held_scores[-1] - slack
-                    good = np.flatnonzero(good)
-                    if len(good):
-                        s = np.concatenate([held_scores, scores[q][good]])
-                        i = np.concatenate([held_ids, ids[good]])
-                        top = _best(s, i, k)
-                        best[q] = (s[top], i[top])
-        rows_out = [(names[q], i, s) for q, (ss, ii) in enumerate(best) for s, i in zip(ss, ii)]
-        if rows_out:
-            q_out, i_out, s_out = zip(*rows_out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_out, pa.int64()), pa.array(i_out, arrow_id), pa.array(s_out, pa.float64())],
-                names=["query_id", id_col, "score"],
-            )
-
-    schema = f"query_id long, {id_col} {id_type}, score double"
-    return items.select(id_col, "embedding").mapInArrow(local_top, schema)
-
-
 def best_per_query(scored: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(*by_score(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _block_top(items: pa.Table, queries: pa.Table, k: int, floor: float, id_col: str) -> pa.Table:
+    """Best ``k`` of a block of items for each query of a block."""
+    id_type = items.schema.field(id_col).type
+    all_ids = items.column(id_col).to_numpy()
+    names = queries.column("query_id").to_numpy()
+    vectors = queries.column("embedding").combine_chunks()
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for dim in set(pc.list_value_length(vectors).to_pylist()) - {None, 0}:
+        asked, of = matrix(vectors, dim)
+        best = [(np.empty(0), np.empty(0, dtype=all_ids.dtype))] * len(of)
+        unit = unit_rows(asked)
+        for rows, at in matrix_blocks(items.column("embedding").combine_chunks(), dim):
+            scores = unit @ unit_rows(rows).T
+            for q in range(len(of)):
+                good = np.flatnonzero(scores[q] > floor)  # NaN is never above the floor
+                s, i = np.concatenate([best[q][0], scores[q][good]]), np.concatenate([best[q][1], all_ids[at[good]]])
+                top = _best(s, i, k)
+                best[q] = s[top], i[top]
+        out += [(np.full(len(s), names[of[q]]), i, s) for q, (s, i) in enumerate(best)]
+    query_ids, ids, scores = (np.concatenate(x) if out else np.empty(0) for x in (zip(*out) if out else ((), (), ())))
+    columns = [pa.array(query_ids, pa.int64()), pa.array(ids, id_type), pa.array(scores, pa.float64())]
+    return pa.table(columns, names=["query_id", id_col, "score"])
+
+
 def vector_search_batch(
     items: DataFrame,
     queries: DataFrame,
     limit: int = LIMIT,
     min_similarity: float = SEARCH_MIN_SIMILARITY,
     id_col: str = "chunk_id",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best ``limit`` rows for every query (query_id, embedding): query_id, id, score, rank.
 
-    Queries go to the tasks as matrix blocks of bounded size. One block is the normal case; a larger query set is
-    read block by block, one pass over the items for each, so neither driver nor task holds more than a block.
+    Queries and items are dealt into blocks of about ``block_rows`` rows; a task scores one block of queries against one of
+    items, and the best of each are merged. Only the two row counts come to the driver.
     """
     valid = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long"), "embedding")
-    shape = valid.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not shape["n"]:
-        empty = f"query_id long, {id_col} {items.schema[id_col].dataType.simpleString()}, score double, rank int"
-        return items.sparkSession.createDataFrame([], empty)
-    blocks = max(1, -(-shape["n"] * shape["d"] * 8 // block_bytes))
-    tagged = valid.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        rows = tagged.where(F.col("_block") == b).orderBy("query_id").toArrow()
-        vectors, at = matrix(rows.column("embedding").combine_chunks(), shape["d"])
-        names = [rows.column("query_id")[int(i)].as_py() for i in at]
-        if names:
-            parts.append(_score_block(items, names, vectors, limit, min_similarity, id_col))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    n, m = items.count(), valid.count()
+    item_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
+    dealt = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = items.select(id_col, "embedding", dealt(id_col, item_blocks).alias("_i"), every(query_blocks).alias("_q"))
+    right = valid.select("query_id", "embedding", dealt("query_id", query_blocks).alias("_q"), every(item_blocks).alias("_i"))
+    schema = f"query_id long, {id_col} {items.schema[id_col].dataType.simpleString()}, score double"
+
+    def top(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _block_top(a, b, limit, min_similarity, id_col)
+
+    scored = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(top, schema)
     return best_per_query(scored, limit, id_col)

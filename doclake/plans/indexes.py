@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from doclake.operators import ann
 from doclake.operators import fulltext as FT
@@ -34,7 +35,8 @@ def index_text(corpus: Corpus, name: str, stemming: bool = True, buckets: int =
     home = _home(corpus, context, "text")
     FT.write_postings(FT.build_postings(chunks, stemming=stemming, buckets=buckets), f"{home}/postings")
     stored = corpus.spark.read.parquet(f"{home}/postings")
-    FT.posting_statistics(stored, chunks).write.mode("overwrite").parquet(f"{home}/statistics")
+    how = {"stemming": F.lit(stemming), "buckets": F.lit(buckets)}
+    FT.posting_statistics(stored, chunks).withColumns(how).write.mode("overwrite").parquet(f"{home}/statistics")
 
 
 def index_vectors(corpus: Corpus, name: str, cells: int, **training) -> None:
@@ -45,18 +47,14 @@ def index_vectors(corpus: Corpus, name: str, cells: int, **training) -> None:
     ann.build_ivf(items, f"{home}/cells", cells, **training).write().overwrite().save(f"{home}/model")
 
 
-def text_hits(
-    corpus: Corpus,
-    context: str,
-    query: str,
-    limit: int,
-    stemming: bool = True,
-    buckets: int = FT.TERM_BUCKETS,
-) -> DataFrame:
+def text_hits(corpus: Corpus, context: str, query: str, limit: int) -> DataFrame:
+    """Hits by the context's postings, asked with the buckets and the stemming they were built with."""
     home = _home(corpus, context, "text")
     postings = corpus.spark.read.parquet(f"{home}/postings")
     statistics = corpus.spark.read.parquet(f"{home}/statistics").first()
-    return FT.postings_search(postings, statistics, query, limit, stemming=stemming, buckets=buckets)
+    return FT.postings_search(
+        postings, statistics, query, limit, stemming=statistics["stemming"], buckets=statistics["buckets"]
+    )
 
 
 def vector_hits(
@@ -75,7 +73,6 @@ def indexed_search(
     probes: int = 4,
     limit: int = LIMIT,
     min_similarity: float = SEARCH_MIN_SIMILARITY,
-    stemming: bool = True,
 ) -> DataFrame:
     """Search through the indexes: full text without a vector, hybrid with one.
 
@@ -83,10 +80,10 @@ def indexed_search(
     """
     context = corpus.context_id(name)
     if vector is None:
-        hits = text_hits(corpus, context, query, limit, stemming)
+        hits = text_hits(corpus, context, query, limit)
     else:
         near = vector_hits(corpus, context, vector, probes, 2 * limit, min_similarity)
-        hits = merge_hits(near, text_hits(corpus, context, query, 2 * limit, stemming), limit)
+        hits = merge_hits(near, text_hits(corpus, context, query, 2 * limit), limit)
     chunks = corpus.read("chunks", context).select("chunk_id", "doc_id", *CHUNK_COLUMNS)
     detailed = ranked(chunks.join(hits, "chunk_id"), limit)
     return ranked(with_document(detailed, corpus.read("documents", context)), limit)

@@ -117,7 +117,7 @@ def snippet_rows(prepared: DataFrame, embedder: Embedder, now: datetime | Column
         F.lit("end_pos"),
         F.col("end_pos").cast("string"),
     )
-    return rows.withColumn("embedding", embed("content", embedder, code=True)).withColumn("metadata", metadata)
+    return rows.withColumn("embedding", embed("content", embedder)).withColumn("metadata", metadata)
 
 
 def store_processed(

@@ -13,15 +13,13 @@ from doclake.operators.hybrid import hybrid_search, hybrid_search_code
 from doclake.operators.vector_search import SEARCH_MIN_SIMILARITY, vector_search, vector_search_code
 from doclake.sources.corpus import Corpus
 
-MAX_LIMIT = 100
-
 
 def _check(query: str, mode: str, limit: int) -> None:
     schema.check_choice(mode, schema.SEARCH_MODES, "mode")
     if not query or not query.strip():
         raise ValueError("the query is empty")
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
 
 
 def search_frames(
@@ -72,7 +70,7 @@ def search(
     context = corpus.context_id(name)
     documents = corpus.read("documents", context)
     found = search_frames(corpus.read("chunks", context), documents, query, mode, limit, **options)
-    # At most MAX_LIMIT rows. Fetched once, the search does not run again for each use of its result.
+    # At most ``limit`` rows. Fetched once, the search does not run again for each use of its result.
     hits = corpus.spark.createDataFrame(found.collect(), found.schema)
     full = attach_snippets(hits, corpus.read("code_snippets", context))
     if form == "compact":

@@ -6,6 +6,7 @@ import fnmatch
 import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,13 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.functions.cleaning import clean_markdown
+from doclake.session import stored
 
 # Patterns for directory reads.
 INCLUDE = ["*.md", "*.txt", "*.rst", "*.py", "*.js", "*.ts", "*.html", "*.json"]
 EXCLUDE = ["*.pyc", "__pycache__", ".git", ".venv", "node_modules", "*.log", ".DS_Store", "*.tmp", "dist", "build"]
 TOOL_INCLUDE = [*INCLUDE, "*.yaml", "*.yml"]
 TOOL_EXCLUDE = [*EXCLUDE, ".env"]
-MAX_FILES = 100
 
 
 def safe_file_name(name: Column) -> Column:
@@ -38,9 +39,14 @@ def decode_text(content: Column) -> Column:
 
 
 def _plain_path(path: Column) -> Column:
+    """Local paths without their scheme; a path of any other file system keeps it."""
     return F.regexp_replace(path, r"^file:/*", "/")
 
 
+def _url(path: Column) -> Column:
+    return F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit("file://"), path))
+
+
 def _shape(files: DataFrame) -> DataFrame:
     """Binary files to documents; one file is one row, decoded and cleaned where it was read."""
     path = _plain_path(F.col("path"))
@@ -50,7 +56,7 @@ def _shape(files: DataFrame) -> DataFrame:
     text = decode_text(F.col("content"))
     markdown = F.lower(extension).isin(".md", ".markdown")
     shaped = files.select(
-        F.concat(F.lit("file://"), path).alias("url"),
+        _url(path).alias("url"),
         safe_file_name(stem).alias("title"),
         F.when(markdown, clean_markdown(text)).otherwise(text).alias("content"),
         path.alias("source_file"),
@@ -67,18 +73,45 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _shape(spark.read.format("binaryFile").load(paths))
 
 
-def _hidden_paths(spark: SparkSession, root: str) -> list[str]:
-    """Files that Spark's sources do not list: a part of their path below the root starts with "_" or "."."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-    found = []
-    while files.hasNext():
-        name = files.next().getPath().toString()
-        below = name.split(root.rstrip("/"), 1)[-1].strip("/").split("/")
-        if any(p.startswith(("_", ".")) for p in below):
-            found.append(name)
-    return found
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root with the scheme of its file system, without a slash at its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full).rstrip("/")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a directory, one ``path`` a row, whatever its name starts with.
+
+    Folders are listed level by level in the tasks, and each level is written before the next; no list of files comes to the
+    driver. Spark's own sources would leave out names that start with "_" or ".".
+    """
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(_uri(folder))
+                found = system.get_file_info(fs.FileSelector(name, allow_not_found=True))
+                paths = [f"{folder}/{info.base_name}" for info in found]
+                folders = [info.type == fs.FileType.Directory for info in found]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_())], ["path", "folder"])
+
+    level = spark.createDataFrame([(_qualified(spark, root),)], "path string")
+    files = None
+    while True:
+        spread_out = level.repartition(F.col("path"))
+        listed = stored(spread_out.mapInArrow(children, "path string, folder boolean"), "listing")
+        here = listed.where("not folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return files
+
+
+def _uri(path: str) -> str:
+    """A path as a URI: what a URI reserves is escaped, the scheme and slashes stay."""
+    scheme, _, rest = path.partition("://")
+    return f"{scheme}://{quote(rest)}"
 
 
 def _read_bytes(paths: DataFrame) -> DataFrame:
@@ -87,7 +120,7 @@ def _read_bytes(paths: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                system, name = fs.FileSystem.from_uri(_uri(path))
                 info = system.get_file_info(name)
                 with system.open_input_stream(name) as stream:
                     data = stream.read()
@@ -121,7 +154,7 @@ def select_files(
     Excludes are tried on the file name and on the path relative to the root, includes on the name. A pattern such as
     "node_modules" therefore does not cover the files *below* that directory; ``prune_dirs`` makes it do so.
     """
-    path = _plain_path(F.col("path"))
+    path = F.regexp_replace("path", "^file:/+", "file:///")
     relative = F.substring(path, len(root.rstrip("/")) + 2, 2**31 - 1)
     name = F.element_at(F.split(path, "/"), -1)
     exclude = EXCLUDE if exclude is None else exclude
@@ -137,33 +170,19 @@ def read_directory(
     root: str,
     include: list[str] | None = None,
     exclude: list[str] | None = None,
-    max_files: int | None = MAX_FILES,
+    max_files: int | None = None,
     prune_dirs: bool = False,
-    hidden: bool | None = None,
 ) -> DataFrame:
     """Text files below a directory as documents.
 
-    With ``max_files`` the first paths are chosen from the listing alone (file contents are not read for that) and
-    only those files are opened; ``max_files=None`` reads every match in one pass. Spark's sources list no file or
-    directory whose name starts with "_" or "."; ``hidden`` adds these from a listing by the driver, by default where
-    ``max_files`` bounds the read.
+    Everything below the root is listed, and the patterns alone decide what is read; names are names, never patterns.
+    With ``max_files`` the first paths by order are read.
     """
-    root = root.removeprefix("file://")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    chosen = select_files(listing, root, include, exclude, prune_dirs)
-    with_hidden = max_files is not None if hidden is None else hidden
-    unseen = [(p,) for p in _hidden_paths(spark, root)] if with_hidden else []
-    extra = select_files(spark.createDataFrame(unseen, "path string"), root, include, exclude, prune_dirs)
+    home = _qualified(spark, root)
+    chosen = select_files(list_files(spark, home), home, include, exclude, prune_dirs)
     if max_files is not None:
-        listed = chosen.select("path", F.lit(False).alias("unseen"))
-        both = listed.unionByName(extra.select("path", F.lit(True).alias("unseen")))
-        first = both.orderBy(_plain_path(F.col("path"))).limit(max_files).collect()
-        plain = [r["path"] for r in first if not r["unseen"]]
-        chosen = spark.read.format("binaryFile").load(plain) if plain else chosen.limit(0)
-        extra = spark.createDataFrame([(r["path"],) for r in first if r["unseen"]], "path string")
-    if not unseen:
-        return _shape(chosen)
-    return _shape(chosen.select("path", "length", "modificationTime", "content").unionByName(_read_bytes(extra)))
+        chosen = chosen.orderBy("path").limit(max_files)
+    return _shape(_read_bytes(chosen.repartition(F.col("path"))))
 
 
 def file_report(results: DataFrame) -> DataFrame:

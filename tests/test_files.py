@@ -21,6 +21,8 @@ def root(tmp_path_factory):
         "pkg/__init__.py": b"version = 1\r\n",
         ".github/note.md": b"hidden note\n\nHome\n",
         ".env": b"x",
+        "pages/[slug].md": b"slug here",
+        "pages/50% a.txt": b"half",
     }
     for name, data in files.items():
         path = base / name
@@ -46,10 +48,10 @@ def names(df, root):
 def test_globs(spark, root):
     found = names(read_directory(spark, root), root)
     hidden = {"pkg/__init__.py", ".github/note.md"}
-    assert found == {"a.md", "My  File<1>.TXT.txt", "latin.rst", "node_modules/lib/x.js", "sub/c.py"} | hidden
+    odd = {"pages/[slug].md", "pages/50% a.txt"}
+    assert found == {"a.md", "My  File<1>.TXT.txt", "latin.rst", "node_modules/lib/x.js", "sub/c.py"} | hidden | odd
     assert names(read_directory(spark, root, prune_dirs=True), root) == found - {"node_modules/lib/x.js"}
-    assert names(read_directory(spark, root, max_files=None), root) == found - hidden
-    assert names(read_directory(spark, root, max_files=None, hidden=True), root) == found
+    assert names(read_directory(spark, root, max_files=100), root) == found
     got = {r["title"]: r for r in read_directory(spark, root).collect()}
     assert (got["init"]["content"], got["init"]["file_size"]) == ("version = 1\n", 13)
     assert got["note"]["content"] == "hidden note"

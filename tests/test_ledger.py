@@ -88,7 +88,7 @@ def test_stream_equals_batch(spark, events, tmp_path):
     twice = events.repartition(3).select(F.explode(F.array_repeat(F.struct("*"), 2)).alias("e")).select("e.*")
     twice.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = ledger_stream(spark, source, str(tmp_path / "out"), str(tmp_path / "check"), lateness="30 days")
+    query = ledger_stream(spark, source, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     got = read_state(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.job_state(events).collect()))

@@ -33,11 +33,11 @@ def test_vector_hits_with_ties(items):
     assert {r["chunk_id"] for r in V.vector_hits(items, [0.0] * 16, 5, -1.0).collect()} == set()
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 600])
-def test_batch_equals_single_queries(spark, items, block_bytes):
+@pytest.mark.parametrize("block_rows", [4096, 5])
+def test_batch_equals_single_queries(spark, items, block_rows):
     rows = [(q, VECTORS[q].tolist()) for q in range(12)] + [(50, None)]
     queries = spark.createDataFrame(rows, "query_id long, embedding array<float>")
-    got = V.vector_search_batch(items, queries, 7, 0.0, block_bytes=block_bytes).collect()
+    got = V.vector_search_batch(items, queries, 7, 0.0, block_rows=block_rows).collect()
     for q in range(12):
         mine = [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
         assert mine == exact(VECTORS[q], 7, 0.0)
@@ -104,7 +104,7 @@ def test_merge_of_hits(spark):
 
 def test_dispatch_checks(texts):
     docs = texts.select(F.col("chunk_id").alias("doc_id"))
-    for bad in ({"mode": "fuzzy"}, {"query": "  "}, {"limit": 0}, {"limit": 101}):
+    for bad in ({"mode": "fuzzy"}, {"query": "  "}, {"limit": 0}, {"limit": -1}):
         args = {"query": "x", "mode": "fulltext", "limit": 5, **bad}
         with pytest.raises(ValueError):
             search_frames(texts, docs, args["query"], args["mode"], args["limit"])

@@ -50,8 +50,11 @@ def test_sitemaps(spark):
     urls = {(r["loc"], r["priority"]) for r in entries.where("kind = 'url'").collect()}
     assert urls == {("u1", 0.3), ("u2", None)}
     start = spark.createDataFrame([("top",)], "sitemap string")
-    reached = D.expand_sitemaps(start, entries).collect()
+    reached = D.expand_sitemaps(start, entries, 3).collect()
     assert sorted((r["url"], r["depth"]) for r in reached) == [("u1", 2), ("u1", 3), ("u2", 2), ("u2", 3)]
+    chain = [(f"m{i}", "sitemap", f"m{i + 1}") for i in range(1, 6)] + [("m6", "sitemap", "m1"), ("m6", "url", "deep"), ("m1", "url", "top")]
+    deep = D.expand_sitemaps(spark.createDataFrame([("m1",)], "sitemap string"), spark.createDataFrame(chain, "sitemap string, kind string, loc string"))
+    assert sorted((r["url"], r["depth"]) for r in deep.collect()) == [("deep", 6), ("top", 1)]
     assert D.expand_sitemaps(start, entries, 1).count() == 0
 
 
