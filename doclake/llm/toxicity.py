@@ -7,8 +7,8 @@ Features that are far more frequent in toxic than in unlabelled texts are kept (
 and offset, are then fitted on labelled training rows, so that a score reads as a probability.
 
 Training reads bounded samples, drawn by a hash of the id: at most MAX_POSITIVE toxic texts, MAX_UNLABELLED unlabelled and
-MAX_LABELLED labelled ones. The prior is counted over all labels, and every text is scored. Only the ids of the sample and
-the features of its texts come to the driver; the model that goes out has at most 2**BITS weights.
+MAX_LABELLED labelled ones. The prior is counted over all labels, and every text is scored. Features are counted and chosen by Spark;
+only those kept come to the driver, as places in the texts of the sample. A model has at most 2**BITS weights.
 
 Rows are held out of training where crc32 of the id, as text, leaves 1 modulo 3. NULL texts count as empty. Without any toxic
 training row every score is the prior, or 0 without labels. Repeated rows are scored each, rows without an id as well; labels
@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclake.llm.common import stored
+
 MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 4000, 10000, 6000
 THRESHOLD = 0.7
 #: Size of the feature space, and lengths of word beginnings that are features beside the whole word (0).
@@ -132,25 +134,25 @@ def _rows(owner: np.ndarray, feature: np.ndarray, texts: np.ndarray) -> tuple[np
     return np.repeat(np.arange(len(texts)), size), feature[at]
 
 
-def chosen_features(positive: np.ndarray, n_pos: int, unlabelled: np.ndarray, n_unl: int) -> np.ndarray:
-    """Features whose share among toxic texts is far above that among unlabelled ones, from texts per feature."""
-    share_p, share_u = positive / n_pos, (unlabelled + 1) / (n_unl + 1)
-    z = (share_p - share_u) / np.sqrt(share_u * np.maximum(1 - share_u, 1e-9) / n_pos)
-    return np.flatnonzero((positive >= LEAST_TEXTS) & (z >= Z_LEAST) & (share_p >= RATIO_LEAST * share_u))
+def chosen_features(sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+    """Features of a sample (positive, unlabelled, features) whose share among toxic texts is far above that among others."""
+    role = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    counts = sample.select("positive", "unlabelled", F.explode("features").alias("feature"))
+    counts = counts.groupBy("feature").agg(role("positive"), role("unlabelled"))
+    share_p, share_u = F.col("positive") / n_pos, (F.col("unlabelled") + 1) / (n_unl + 1)
+    z = (share_p - share_u) / F.sqrt(share_u * F.greatest(1 - share_u, F.lit(1e-9)) / n_pos)
+    chosen = counts.where((F.col("positive") >= LEAST_TEXTS) & (z >= Z_LEAST) & (share_p >= RATIO_LEAST * share_u))
+    return np.sort(chosen.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64))
+
 
+def train(kept: np.ndarray, owner, feature, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[Model, np.ndarray]:
+    """Minimise the non-negative risk over pairs (text, place of its feature in ``kept``), sorted by text.
 
-def train(owner, feature, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative risk; ``positive`` and ``unlabelled`` are numbers of texts, with weights of at least 0."""
+    ``positive`` and ``unlabelled`` are numbers of texts. Weights of features are at least 0. Returns the weights of all of
+    ``kept`` beside the model, which has the positive ones.
+    """
     rp, fp = _rows(owner, feature, positive)
     ru, fu = _rows(owner, feature, unlabelled)
-    size = 1 << BITS
-    kept = chosen_features(
-        np.bincount(fp, minlength=size), len(positive), np.bincount(fu, minlength=size), len(unlabelled)
-    )
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
-    rp, fp = rp[place[fp] >= 0], place[fp[place[fp] >= 0]]
-    ru, fu = ru[place[fu] >= 0], place[fu[place[fu] >= 0]]
     w, n = np.zeros(len(kept) + 1), len(kept)
     w[n] = np.log(prior / (1 - prior))
     moment, power, mean, seen, averaged = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1), 0, 0
@@ -188,7 +190,7 @@ def train(owner, feature, positive: np.ndarray, unlabelled: np.ndarray, prior: f
                 averaged += 1
     mean = mean / averaged if averaged else w
     used = np.flatnonzero(mean[:n] > 0)
-    return Model(kept[used], mean[used], float(mean[n]))
+    return Model(kept[used], mean[used], float(mean[n])), mean[:n]
 
 
 def calibrated(model: Model, raw: np.ndarray, toxic: np.ndarray) -> Model:
@@ -230,9 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         _draw(texts.select("doc_id").distinct(), 2, MAX_UNLABELLED).select("doc_id", F.lit(2), F.lit(0)),
         _draw(here, 3, MAX_LABELLED).select("doc_id", F.lit(3), "toxic"),
     ]
-    sample = drawn[0].union(drawn[1]).union(drawn[2]).toPandas()  # bounded by the three limits
-    ids = sorted(set(sample["doc_id"].tolist()))
-    chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": np.array(ids, np.int64)}), "doc_id long")
+    roles = drawn[0].union(drawn[1]).union(drawn[2]).groupBy("doc_id").agg(
+        F.max(F.col("role") == 1).alias("positive"),
+        F.max(F.col("role") == 2).alias("unlabelled"),
+        F.max(F.when(F.col("role") == 3, F.col("toxic"))).alias("toxic"),
+    )
+    roles = stored(roles, "toxicity-roles")
+    n_pos, n_unl = (roles.where(c).count() for c in ("positive", "unlabelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,23 +247,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(feature, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "features"])
 
-    found = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, features array<int>").toArrow()
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    table = found.take(pa.array(order))
+    # The sample's ids are bounded by the three limits.
+    chosen = texts.join(F.broadcast(roles.select("doc_id")), "doc_id")
+    found = chosen.mapInArrow(run, "doc_id long, features array<int>").dropDuplicates(["doc_id"]).join(roles, "doc_id")
+    sample = stored(found, "toxicity-sample")
+    kept = chosen_features(sample, max(n_pos, 1), n_unl)
+    if not n_pos or not len(kept):
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
+
+    def only_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.full(1 << BITS, -1, np.int32)
+        wanted[kept] = np.arange(len(kept))
+        for batch in batches:
+            lists = batch.column("features")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            place = wanted[pc.list_flatten(lists).to_numpy(zero_copy_only=False)]
+            count = np.bincount(np.repeat(np.arange(len(size)), size)[place >= 0], minlength=len(size))
+            short = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(place[place >= 0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], short], ["doc_id", "positive", "unlabelled", "toxic", "features"])
+
+    columns = ["doc_id", "positive", "unlabelled", "toxic", "features"]
+    kinds = "doc_id long, positive boolean, unlabelled boolean, toxic int, features array<int>"
+    table = sample.select(*columns).mapInArrow(only_kept, kinds).toArrow().sort_by("doc_id")
     lists = table.column("features").combine_chunks()
     owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     feature = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    known = table.column("doc_id").to_numpy()
-    rows = [np.unique(np.searchsorted(known, sample[sample["role"] == role]["doc_id"].to_numpy())) for role in (1, 2, 3)]
-    if not len(rows[0]):
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    model = train(owner, feature, rows[0], rows[1], prior)
-    toxic = dict(zip(*sample[sample["role"] == 3][["doc_id", "toxic"]].to_numpy().T))
-    r3, f3 = _rows(owner, feature, rows[2])
-    weight = np.zeros(1 << BITS)
-    weight[model.features] = model.weights
-    raw = model.bias + np.bincount(r3, weights=weight[f3], minlength=len(rows[2]))
-    return calibrated(model, raw, np.array([toxic[i] for i in known[rows[2]]], float))
+    rows = [np.flatnonzero(table.column(c).to_numpy()) for c in ("positive", "unlabelled")]
+    model, weights = train(kept, owner, feature, *rows, prior)
+    marked_rows = np.flatnonzero(pc.is_valid(table.column("toxic")).to_numpy())
+    raw = model.bias + np.bincount(owner, weights=weights[feature], minlength=len(lists))[marked_rows]
+    toxic = table.column("toxic").to_pandas().to_numpy()[marked_rows].astype(float)
+    return calibrated(model, raw, toxic)
 
 
 # Application --------------------------------------------------------------------------------------------------------
