@@ -1,13 +1,17 @@
 """The stored corpus: Parquet tables partitioned by context and by a hash bucket of the document.
 
 All rows of a document lie in the same bucket of every table, so an upsert of a few documents rewrites a few buckets,
-and a context that holds a third of all rows is spread over all of its buckets. Rewrites go to a staging folder of the
-same file system first and are then moved into place partition by partition; ids are deterministic, so repeating an
-interrupted rewrite gives the same tables.
+and a context that holds a third of all rows is spread over all of its buckets.
+
+A rewrite is all or nothing. The new partitions are written to a staging folder of the same file system; then one small
+intent file, put in place by a rename, names the partitions to replace. From that moment the rewrite counts: moving the
+partitions can be repeated from any point, and the next reader or writer of the corpus finishes what an interrupted one
+left. Before that moment the old tables are untouched. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 
@@ -18,9 +22,6 @@ from doclake import schema
 from doclake.operators import contexts as ctx_ops
 from doclake.operators import documents as doc_ops
 
-#: Partitions named one by one in a filter; a batch that touches more of them is pruned by bucket only.
-PARTITION_FILTER_LIMIT = 10_000
-
 
 class Corpus:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
@@ -51,6 +52,7 @@ class Corpus:
 
     def _load(self, table: str, folders: list[str] | None) -> DataFrame:
         """The table, or only the listed partition folders of it; nothing there gives an empty frame."""
+        self.recover()
         columns, home = f"{schema.TABLES[table]}, bucket int", self.location(table)
         paths = [home] if folders is None else [f"{home}/{f}" for f in folders]
         if folders is None and not self._exists(home):
@@ -107,11 +109,9 @@ class Corpus:
         return {f"{o}/{inner}" for o in outer for inner in self._children(f"{location}/{o}")}
 
     def _scope(self, table: str, touched: DataFrame) -> tuple[list[int], list[str] | None]:
-        """Buckets, and contexts if they are few, that a set of rows lies in; both lists are bounded."""
+        """Buckets, and contexts, that a set of rows lies in: as many names as the folders that are rewritten."""
         keys = self._keys(table)
-        places = touched.select(*keys).distinct().limit(PARTITION_FILTER_LIMIT + 1).collect()
-        if len(places) > PARTITION_FILTER_LIMIT:
-            return [r["bucket"] for r in touched.select("bucket").distinct().collect()], None
+        places = touched.select(*keys).distinct().collect()
         contexts = sorted({r["context_id"] for r in places}) if "context_id" in keys else None
         return sorted({r["bucket"] for r in places}), contexts
 
@@ -129,21 +129,62 @@ class Corpus:
 
     def _swap(self, table: str, df: DataFrame, buckets: list[int], contexts: list[str] | None) -> None:
         """Replace the partitions in scope by ``df``; partitions of the scope without rows disappear."""
-        staging = f"{self.path}/_staging/{table}-{uuid.uuid4().hex}"
+        name = f"{table}-{uuid.uuid4().hex}"
+        staging = f"{self.path}/_staging/{name}"
         self._write(table, df, staging, "overwrite")
-        target = self.location(table)
         fresh = self._partitions(table, staging, None)
         inside = {f"bucket={b}" for b in buckets}
-        stale = {p for p in self._partitions(table, target, contexts) if p.rsplit("/", 1)[-1] in inside}
-        for name in sorted(fresh | stale):
-            fs, there = self._fs(f"{target}/{name}")
-            if fs.exists(there):
-                fs.delete(there, True)
-            if name in fresh:
-                fs.mkdirs(there.getParent())
-                fs.rename(self._fs(f"{staging}/{name}")[1], there)
-        fs, path = self._fs(staging)
-        fs.delete(path, True)
+        stale = {p for p in self._partitions(table, self.location(table), contexts) if p.rsplit("/", 1)[-1] in inside}
+        intent = {"table": table, "staging": staging, "put": sorted(fresh), "drop": sorted(stale - fresh)}
+        self._publish(name, intent)
+        self._carry_out(name, intent)
+
+    def _publish(self, name: str, intent: dict) -> None:
+        """Write the intent file; the rename is the moment at which the rewrite counts."""
+        draft = f"{self.path}/_staging/{name}.intent"
+        fs, path = self._fs(draft)
+        stream = fs.create(path, True)
+        stream.write(bytearray(json.dumps(intent).encode()))
+        stream.close()
+        self._move(draft, f"{self.path}/_intents/{name}")
+
+    def _move(self, source: str, target: str) -> None:
+        """Rename, with the folder above the target made first; no success is an error."""
+        fs, there = self._fs(target)
+        fs.mkdirs(there.getParent())
+        if not fs.rename(self._fs(source)[1], there):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def _remove(self, location: str) -> None:
+        fs, path = self._fs(location)
+        if fs.exists(path) and not fs.delete(path, True):
+            raise OSError(f"{location} could not be deleted")
+
+    def _carry_out(self, name: str, intent: dict) -> None:
+        """Move the staged partitions into place. What is staged has not been moved yet, so this can be repeated."""
+        target = self.location(intent["table"])
+        for partition in intent["put"]:
+            staged = f"{intent['staging']}/{partition}"
+            if self._exists(staged):
+                self._remove(f"{target}/{partition}")
+                self._move(staged, f"{target}/{partition}")
+        for partition in intent["drop"]:
+            self._remove(f"{target}/{partition}")
+        self._remove(f"{self.path}/_intents/{name}")
+        self._remove(intent["staging"])
+
+    def recover(self) -> None:
+        """Finish rewrites that were published and then interrupted."""
+        fs, folder = self._fs(f"{self.path}/_intents")
+        if not fs.exists(folder):
+            return
+        for status in fs.listStatus(folder):
+            stream = fs.open(status.getPath())
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            self._carry_out(status.getPath().getName(), json.loads(text))
 
     def replace_documents(self, table: str, rows: DataFrame, doc_ids: DataFrame, scope=None) -> None:
         """Rows of the listed documents (context_id, doc_id) give way to ``rows``; all other rows stay.

@@ -202,7 +202,7 @@ def test_stream_of_pages(corpus, spark, tmp_path):
 def test_indexes(corpus, spark):
     from doclake.plans.indexes import index_text, index_vectors, indexed_search
 
-    index_text(corpus, "a")
+    index_text(corpus, "a", buckets=8)
     index_vectors(corpus, "a", cells=2)
     for query in ("tables", "window join", "word table"):
         scan = search(corpus, "a", query, "fulltext", 3, embedder=TEXT, stemming=True).collect()
@@ -211,3 +211,38 @@ def test_indexes(corpus, spark):
         both = search(corpus, "a", query, "hybrid", 3, embedder=TEXT, stemming=True).collect()
         near = indexed_search(corpus, "a", query, TEXT.query(query), probes=2, limit=3).collect()
         assert [(r["chunk_id"], round(r["score"], 6)) for r in near] == [(r["chunk_id"], round(r["score"], 6)) for r in both]
+
+
+@pytest.mark.parametrize("step", range(9))
+def test_interrupted_upsert_is_all_or_nothing(spark, tmp_path, monkeypatch, step):
+    c = Corpus(spark, str(tmp_path / "c"), buckets=4)
+    rows = [("ctx", f"http://x/{i}", f"t{i}", "text", None, NOW, "url") for i in range(20)]
+    columns = "context_id string, url string, title string, content string, metadata map<string,string>, indexed_at timestamp, source_type string"
+    c.upsert_documents(spark.createDataFrame(rows, columns))
+    before = {(r["url"], r["title"]) for r in c.read("documents").collect()}
+    changed = [(*r[:2], "new", *r[3:]) for r in rows[:10]]
+    after = {(r[1], r[2]) for r in changed + rows[10:]}
+    calls = 0
+
+    def failing(real):
+        def run(self, *args):
+            nonlocal calls
+            calls += 1
+            if calls == step + 1:
+                raise OSError("interrupted")
+            return real(self, *args)
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(Corpus, "_move", failing(Corpus._move))
+        m.setattr(Corpus, "_remove", failing(Corpus._remove))
+        try:
+            c.upsert_documents(spark.createDataFrame(changed, columns))
+        except OSError:
+            pass
+    got = {(r["url"], r["title"]) for r in Corpus(spark, c.path, buckets=4).read("documents").collect()}
+    assert got == (before if step == 0 else after)
+    c.upsert_documents(spark.createDataFrame(changed, columns))
+    assert {(r["url"], r["title"]) for r in c.read("documents").collect()} == after
+    assert not list((tmp_path / "c" / "_intents").iterdir())
