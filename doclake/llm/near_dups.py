@@ -379,7 +379,8 @@ def near_groups(
         if estimated_recall(*counts) >= recall:
             break
     # Texts are dealt out by id once, for all three steps.
-    needed = met.select(F.col("rep").alias("doc_id")).distinct()
+    # How many texts meet others has no bound, so this side is never broadcast; the plan is the same at every size.
+    needed = met.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     spoken = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     facing = met.drop("seen", "once", "twice").join(spoken.withColumnRenamed("doc_id", "rep"), "rep")
     dealt = facing.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
