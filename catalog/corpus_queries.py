@@ -72,24 +72,24 @@ _CHUNKS_SQL = f"""
 
 
 def snippet_frame(spark, sf) -> DataFrame:
-    """The first forty characters of every chunk as a snippet."""
+    """Every chunk as a snippet."""
     c = chunk_frame(spark, sf)
     return c.select(
         F.concat_ws("/", "doc_id", "chunk_index").alias("snippet_id"),
         "doc_id",
         "context_id",
-        F.left("content", F.lit(40)).alias("content"),
+        "content",
         F.lit("code_block").alias("snippet_type"),
         (F.col("chunk_index") * 1000).alias("start_pos"),
         F.left("content", F.lit(10)).alias("preview"),
         F.array(F.lit(0.5)).cast("array<float>").alias("embedding"),
         F.lit(None).cast("int").alias("line_count"),
-        F.lit(40).alias("char_count"),
+        F.length("content").alias("char_count"),
     )
 
 
 _SNIPS_SQL = """
-sn AS (SELECT doc_id || '/' || chunk_index AS snippet_id, doc_id, context_id, substr(content, 1, 40) AS content,
+sn AS (SELECT doc_id || '/' || chunk_index AS snippet_id, doc_id, context_id, content,
        'code_block' AS snippet_type, chunk_index * 1000 AS start_pos, substr(content, 1, 10) AS preview FROM ch)
 """
 
@@ -463,7 +463,7 @@ def _copy_chunks(spark, sf):
 @query(
     "copy_snippets",
     f"""
-    WITH {_MAPPED_SQL}, sn AS (SELECT doc_id, CAST(i * 1000 AS INT) AS start_pos, substr(content, i * 1000 + 1, 40) AS content
+    WITH {_MAPPED_SQL}, sn AS (SELECT doc_id, CAST(i * 1000 AS INT) AS start_pos, substr(content, i * 1000 + 1, 1000) AS content
       FROM docs, unnest(range(0, (length(content) + 999) // 1000)) AS u(i)),
     held AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS doc_id, start_pos FROM sn)
     SELECT m.new_doc_id AS doc_id, s.start_pos, s.content,
