@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake.functions.cleaning import clean_markdown
@@ -13,9 +13,14 @@ from doclake.functions.urls import page_title
 WORD_COUNT_THRESHOLD = 15
 
 
+def quality_enough(text: str = "markdown", threshold: int = WORD_COUNT_THRESHOLD) -> Column:
+    """Whether a page has at least five characters per word of the threshold."""
+    return F.length(strip(text)) >= threshold * 5
+
+
 def filter_quality(df: DataFrame, threshold: int = WORD_COUNT_THRESHOLD, text: str = "markdown") -> DataFrame:
-    """Keep pages with at least five characters per word of the threshold."""
-    return df.where(F.length(strip(text)) >= threshold * 5)
+    """Keep pages with enough text."""
+    return df.where(quality_enough(text, threshold))
 
 
 def score_pages(df: DataFrame, keywords: list[str] | None = None, text: str = "markdown") -> DataFrame:

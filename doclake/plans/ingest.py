@@ -17,7 +17,7 @@ from doclake.functions.summaries import LeadSummarizer, Summarizer, title_and_su
 from doclake.functions.vectors import Embedder, code_embedder, embed, text_embedder
 from doclake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans, chunks_of, renumber
 from doclake.operators.documents import latest_documents, with_chunk_counts
-from doclake.operators.quality import WORD_COUNT_THRESHOLD, filter_quality, score_pages
+from doclake.operators.quality import WORD_COUNT_THRESHOLD, quality_enough, score_pages
 from doclake.operators.snippets import links_within, placeholder_spans, placeholder_text, snippet_array
 from doclake.session import shared_dir, spread
 from doclake.sources.corpus import Corpus
@@ -27,8 +27,18 @@ from doclake.sources.pages import pages_to_markdown
 def documents_from_pages(
     pages: DataFrame, threshold: int = WORD_COUNT_THRESHOLD, keywords: list[str] | None = None
 ) -> DataFrame:
-    """Fetched pages (url, html) to cleaned documents (url, title, content, metadata)."""
-    scored = score_pages(filter_quality(pages_to_markdown(pages), threshold), keywords)
+    """Fetched pages (url, html) to cleaned documents (url, title, content, metadata, error).
+
+    A page that could not be converted or holds too little text keeps its row, without content and with an error.
+    """
+    parsed = pages_to_markdown(pages)
+    error = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("page could not be converted: "), F.col("error")))
+        .when(F.col("markdown").isNull(), "page has no html")
+        .when(~quality_enough("markdown", threshold), "page has too little text")
+    )
+    judged = parsed.withColumn("error", error).withColumn("markdown", F.when(F.col("error").isNull(), F.col("markdown")))
+    scored = score_pages(judged, keywords)
     metadata = F.create_map(
         F.lit("length"),
         F.col("length").cast("string"),
@@ -37,7 +47,7 @@ def documents_from_pages(
         F.lit("source_type"),
         F.lit("crawl"),
     )
-    return scored.select("url", "title", "content", metadata.alias("metadata"))
+    return scored.select("url", "title", "content", metadata.alias("metadata"), "error")
 
 
 def prepare_documents(
@@ -51,13 +61,16 @@ def prepare_documents(
 ) -> DataFrame:
     """Documents (url, title, content, metadata) with their snippets, placeholder text and chunks, one row each.
 
-    A document without URL or content keeps its row with status "failed" and an error.
+    A document without URL or content, or with an ``error`` of its own, keeps its row with status "failed" and an error.
     """
     schema.check_choice(source_type, schema.SOURCE_TYPES, "source type")
     moment = F.current_timestamp() if now is None else (now if isinstance(now, Column) else F.lit(now))
     none = F.lit(None).cast("map<string,string>")
-    error = F.when(F.col("url").isNull() | (F.col("url") == ""), "document has no url").when(
-        F.col("content").isNull() | is_blank("content"), "document has no content"
+    own = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    error = (
+        F.when(F.col("url").isNull() | (F.col("url") == ""), "document has no url")
+        .when(own.isNotNull(), own)
+        .when(F.col("content").isNull() | is_blank("content"), "document has no content")
     )
     rows = df.select(
         (F.lit(context) if isinstance(context, str) else context).alias("context_id"),

@@ -246,3 +246,19 @@ def test_interrupted_upsert_is_all_or_nothing(spark, tmp_path, monkeypatch, step
     c.upsert_documents(spark.createDataFrame(changed, columns))
     assert {(r["url"], r["title"]) for r in c.read("documents").collect()} == after
     assert not list((tmp_path / "c" / "_intents").iterdir())
+
+
+def test_failed_pages_leave_a_row(corpus, spark):
+    from doclake.plans.ingest import documents_from_pages
+
+    rows = [("http://p/good", "<p>" + "words about tables " * 20), ("http://p/short", "<p>hi"), ("http://p/none", None),
+            ("http://p/nested", "<nav><aside>menu</nav><p>" + "text after the menu " * 20)]
+    out = store_processed(corpus, "b", documents_from_pages(spark.createDataFrame(rows, "url string, html string")), embedder=TEXT, snippet_embedder=CODE, now=NOW)
+    got = {r["url"]: (r["status"], r["error"]) for r in out.collect()}
+    assert got == {
+        "http://p/good": ("processed", None),
+        "http://p/nested": ("processed", None),
+        "http://p/short": ("failed", "page has too little text"),
+        "http://p/none": ("failed", "page has no html"),
+    }
+    assert corpus.read("documents", corpus.context_id("b")).count() == 2
