@@ -99,8 +99,9 @@ def float_lists(vectors: list) -> pa.Array:
 
 
 class Embedder(Protocol):
-    """Plug-in: vectors for a column of prepared texts, and for one query text."""
+    """Plug-in: vectors for a column of prepared texts, and for one query text. ``name`` is recorded with the context."""
 
+    name: str
     dim: int
 
     def vectors(self, text: Column) -> Column: ...
@@ -122,8 +123,9 @@ class BatchEmbedder:
         dim: int,
         batch: int = 50,
         max_chars: int | None = None,
+        name: str = "custom",
     ):
-        self.call, self.dim, self.batch, self.max_chars = call, dim, batch, max_chars
+        self.call, self.dim, self.batch, self.max_chars, self.name = call, dim, batch, max_chars, name
 
     def windows(self, text: str) -> list[str]:
         """The text in pieces that the model takes."""
@@ -195,7 +197,7 @@ class HashEmbedder(BatchEmbedder):
     """Local, deterministic default: signed feature hashing of word n-grams (Weinberger et al. 2009), unit length."""
 
     def __init__(self, dim: int = 3072, ngrams: int = 2, batch: int = 50):
-        super().__init__(lambda texts: _hash_batch(texts, dim, ngrams), dim, batch)
+        super().__init__(lambda texts: _hash_batch(texts, dim, ngrams), dim, batch, name=f"feature-hashing-{dim}-{ngrams}")
 
 
 def text_embedder() -> Embedder:

@@ -152,6 +152,8 @@ def store_processed(
     """
     spark = corpus.spark
     context = corpus.context_id(name)
+    embedder = embedder or text_embedder()
+    corpus.use_model(name, getattr(embedder, "name", type(embedder).__name__))
     moment = now or datetime.now()
     work = shared_dir(spark, "ingest")
 
@@ -160,7 +162,7 @@ def store_processed(
     done = prepared.where(F.col("status") == "processed")
     ids = done.select("context_id", "doc_id")
 
-    rows = chunk_rows(prepared, embedder or text_embedder(), summarizer or LeadSummarizer(), moment)
+    rows = chunk_rows(prepared, embedder, summarizer or LeadSummarizer(), moment)
     rows.write.parquet(f"{work}/chunks")
     chunks = spark.read.parquet(f"{work}/chunks")
     if chunks.where(F.col("embedding").isNull()).limit(1).count():

@@ -25,7 +25,11 @@ def merge_contexts(
     ids = [corpus.context_id(s) for s in sources]
     if not corpus.has_context(target):
         about = f"Merged from {', '.join(sources)}"
-        corpus.register(spark.createDataFrame([(target, about)], "name string, description string"), now)
+        models = {corpus.embedding_model(s) for s in sources}
+        if len(models) > 1:
+            raise ValueError(f"the contexts hold vectors of different models: {', '.join(sorted(map(str, models)))}")
+        columns = "name string, description string, embedding_model string"
+        corpus.register(spark.createDataFrame([(target, about, models.pop())], columns), now)
     into = corpus.context_id(target)
 
     work = shared_dir(spark, "merge")

@@ -68,6 +68,11 @@ def search(
     """Search a context. ``form`` is "standard" (with nested snippets and promoted metadata) or "compact"."""
     schema.check_choice(form, ("standard", "compact"), "form")
     context = corpus.context_id(name)
+    if mode != "fulltext":
+        options["embedder"] = options.get("embedder") or text_embedder()
+        model, asked = corpus.embedding_model(name), getattr(options["embedder"], "name", None)
+        if asked is not None and model != asked:
+            raise ValueError(f"context {name!r} holds vectors of {model!r}, not of {asked!r}")
     documents = corpus.read("documents", context)
     found = search_frames(corpus.read("chunks", context), documents, query, mode, limit, **options)
     # At most ``limit`` rows. Fetched once, the search does not run again for each use of its result.

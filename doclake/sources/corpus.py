@@ -218,6 +218,22 @@ class Corpus:
     def has_context(self, name: str) -> bool:
         return self.read("contexts").where(F.col("name") == name).limit(1).count() > 0
 
+    def embedding_model(self, name: str) -> str | None:
+        return self.read("contexts").where(F.col("name") == name).select("embedding_model").first()[0]
+
+    def use_model(self, name: str, model: str) -> None:
+        """Record the model whose vectors a context holds; a context that has chunks of another one is an error."""
+        known = self.embedding_model(name)
+        if known == model:
+            return
+        cid = self.context_id(name)
+        if not self.read("chunks", cid).isEmpty():
+            raise ValueError(f"context {name!r} holds vectors of {known!r}, not of {model!r}")
+        contexts = self.read("contexts", bucket=True)
+        scope = self._scope("contexts", contexts.where(F.col("context_id") == cid))
+        changed = F.when(F.col("context_id") == cid, F.lit(model)).otherwise(F.col("embedding_model"))
+        self._swap("contexts", self._read_scope("contexts", *scope).withColumn("embedding_model", changed), *scope)
+
     def list_contexts(self, name: str | None = None) -> DataFrame:
         return ctx_ops.list_contexts(self.read("contexts"), self.read("documents"), name)
 

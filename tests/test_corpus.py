@@ -262,3 +262,11 @@ def test_failed_pages_leave_a_row(corpus, spark):
         "http://p/none": ("failed", "page has no html"),
     }
     assert corpus.read("documents", corpus.context_id("b")).count() == 2
+
+
+def test_models_are_recorded_and_kept_apart(corpus, spark):
+    assert corpus.embedding_model("a") == TEXT.name
+    with pytest.raises(ValueError):
+        store_processed(corpus, "a", pages(spark, ("u", "t", "text")), embedder=HashEmbedder(32), snippet_embedder=CODE, now=NOW)
+    with pytest.raises(ValueError):
+        search(corpus, "a", "tables", "vector", 3, embedder=HashEmbedder(32))
