@@ -4,6 +4,7 @@ import glob
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,8 +25,8 @@ def duck():
 
 
 def plain(value):
-    if isinstance(value, float) and math.isnan(value):
-        return None
+    if value is pd.NA or (isinstance(value, float) and math.isnan(value)):
+        return None  # NULL, in whatever form a column of this type gives it
     return value.item() if hasattr(value, "item") else value
 
 
