@@ -2,10 +2,9 @@
 
 Texts are sets of word shingles. Texts with equal sets form one class of copies and go on as its representative, the one with
 the smallest id; nothing expands copies into pairs. A representative has TREES sequences of DEPTH minhashes; a tree of the
-forest holds all sequences in order, and a match in it is a common prefix. The join starts with the whole sequence and
-shortens the matched prefix until enough pairs are found: each pair is seen in some number of trees, and from the pairs seen
-in one and in two trees Chao's estimator tells how many are seen in none. The shortest prefix is the longest one that a pair
-at the threshold shares in some tree with probability RECALL or more, so the target holds even where the estimate misleads.
+forest holds all sequences in order, and a match in it is a common prefix. The matched prefix is the longest one that a pair
+at the threshold shares in some tree with probability RECALL or more. Its length depends on the threshold only: an estimate
+over all pairs found is ruled by large groups of very similar texts and says nothing about pairs near the threshold.
 
 Every pair found is verified exactly, once, in the first tree in which it matches. Prefix groups meet in Arrow tasks: a group
 of more than BLOCK members is dealt into blocks, and each pair of blocks is a task's work, so no group is ever in one task and
@@ -34,7 +33,7 @@ from doclake.llm.common import stored
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, SEED = 12, 6, 0.995, 41
-#: Prefix lengths that are tried, longest first.
+#: Step between prefix lengths, longest first.
 SHORTEN_BY = 2
 #: Members of a block, and characters of text that a task works on at a time.
 BLOCK, SLICE_CHARS = 192, 4_000_000
@@ -137,13 +136,16 @@ def _sign(words: int):
 
 
 def prefix_lengths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
-    """Lengths to try, longest first; the last is the longest that meets ``recall`` at the threshold by itself."""
+    """Lengths from DEPTH down; the last is the longest that meets ``recall`` at the threshold, and the one matched."""
     last = next((d for d in range(DEPTH, 0, -1) if 1 - (1 - threshold**d) ** TREES >= recall), 1)
     return sorted({*range(DEPTH, last, -SHORTEN_BY), last}, reverse=True)
 
 
 def estimated_recall(seen: int, once: int, twice: int) -> float:
-    """Share of the pairs that match in some tree, by Chao's estimator from those that match in one and in two."""
+    """Share of the pairs that match in some tree, by Chao's estimator from those that match in one and in two.
+
+    For measurements: it weighs all pairs alike, so it does not bound the recall near the threshold and decides nothing.
+    """
     share = (TREES - 1) / TREES
     unseen = share * (once * once / (2 * twice) if twice else once * (once - 1) / 2)
     return seen / (seen + unseen) if seen else 1.0
@@ -210,11 +212,11 @@ _MEMBER = "key long, i int, j int, tree int, side int, rep long, copies long, sh
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a group that first meet another one in it; counts of pairs stand on one of its rows."""
+    """Members of a group that first meet another one in it."""
     for table, starts in _groups(batches, ["key", "i", "j"]):
         short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint32).reshape(-1, TREES)
         tree, side = table.column("tree").to_numpy(), table.column("side").to_numpy()
-        take, counts = [], []
+        take = []
         for a, b in zip(starts, np.append(starts[1:], table.num_rows)):
             if b - a < 2:
                 continue
@@ -223,18 +225,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.nonzero(pairs)
             if not len(x):
                 continue
-            matches = (mine[x] == mine[y]).sum(axis=1)
-            members = np.unique(np.concatenate([x, y]))
-            take.append(members + a)
-            counted = np.zeros((len(members), 3), np.int64)
-            counted[0] = len(x), (matches == 1).sum(), (matches == 2).sum()
-            counts.append(counted)
+            take.append(np.unique(np.concatenate([x, y])) + a)
         if take:
-            rows = table.take(pa.array(np.concatenate(take))).combine_chunks()
-            counted = np.concatenate(counts)
-            for k, name in enumerate(("seen", "once", "twice")):
-                rows = rows.append_column(name, pa.array(counted[:, k]))
-            yield from rows.to_batches()
+            yield from table.take(pa.array(np.concatenate(take))).combine_chunks().to_batches()
 
 
 def meetings(reps: DataFrame, depth: int) -> DataFrame:
@@ -263,7 +256,7 @@ def meetings(reps: DataFrame, depth: int) -> DataFrame:
     )
     # A block meets itself as one side; of two blocks the one with the larger number is side 1.
     grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return stored(grouped.mapInArrow(_meet, _MEMBER + ", seen long, once long, twice long"), "meetings")
+    return stored(grouped.mapInArrow(_meet, _MEMBER), "meetings")
 
 
 # Verification ------------------------------------------------------------------------------------------------------
@@ -373,16 +366,12 @@ def near_groups(
         ),
         "representatives",
     )
-    for depth in prefix_lengths(threshold, recall):
-        met = meetings(reps, depth)
-        counts = met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "once", "twice")]).first()
-        if estimated_recall(*counts) >= recall:
-            break
+    met = meetings(reps, prefix_lengths(threshold, recall)[-1])
     # Texts are dealt out by id once, for all three steps.
     # How many texts meet others has no bound, so this side is never broadcast; the plan is the same at every size.
     needed = met.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     spoken = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facing = met.drop("seen", "once", "twice").join(spoken.withColumnRenamed("doc_id", "rep"), "rep")
+    facing = met.join(spoken.withColumnRenamed("doc_id", "rep"), "rep")
     dealt = facing.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = stored(dealt.mapInArrow(_verify(words, threshold), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -94,6 +94,22 @@ def test_prefixes_and_recall():
     assert N.estimated_recall(100, 60, 20) < 0.6
 
 
+def test_a_large_group_costs_no_links_at_the_threshold(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for k in range(2000):
+        common = words(44 + k % 9)  # 40 to 48 common shingles of 50 to 58: 0.80 to 0.83
+        texts += [" ".join(common + words(5)), " ".join(common + words(5))]
+    hot = words(300)
+    texts += [changed(rng, hot, 1) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in N.near_groups(df).collect()}
+    missed = sum(got[i].n_links == 0 or got[i + 1].class_id != i for i in range(0, 4000, 2))
+    assert missed <= 2000 * (1 - N.RECALL)
+    assert all(got[i].class_id == 4000 for i in range(4000, 4300))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.v: r.label for r in N.components(spark.createDataFrame(edges, "u long, v long")).collect()}
