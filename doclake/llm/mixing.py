@@ -2,7 +2,10 @@
 
 Documents fall into cells (source, language, topic); a cell's mass is its number of tokens. Raking multiplies factors of
 sources, languages and topics until the weighted masses meet all three target marginals. Each document is then drawn with
-the calibrated probability weight / largest weight, so that expected token shares meet the targets and nothing is repeated.
+the calibrated probability weight / unit, so that expected token shares meet the targets. The unit is the largest weight,
+and nothing is repeated, if that keeps the share KEPT of the tokens or more; otherwise it is the one that keeps KEPT, so
+that a rare category does not set the scale for all others. ``probability`` is then above 1 for some cells: an expected
+number of copies, drawn as its whole part plus a draw by its fraction.
 The draw is a hash of id and seed: the same at every run, whatever task or executor makes it.
 
 Cells are aggregated, partially first, so a source with a third of all rows is no hot key; raking is joins and sums over the
@@ -17,6 +20,8 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,12 @@ DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 1.0}
 #: Raking ends when every weighted share is within TOLERANCE of its target, relatively, or after SWEEPS sweeps.
 TOLERANCE, SWEEPS = 1e-4, 12
+#: Share of the tokens (of cells with a target) that is drawn at least, in expectation.
+KEPT = 0.5
 SEED = 11
 
+log = logging.getLogger(__name__)
+
 
 def n_tokens(text: Column) -> Column:
     """Runs of characters other than white space."""
@@ -60,6 +69,12 @@ def uniform(id_col: Column, seed: int = SEED) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def copies(id_col: Column, probability: Column, seed: int = SEED) -> Column:
+    """Whole part of ``probability``, and one more with its fraction."""
+    whole = F.floor(probability)
+    return (whole + (uniform(id_col, seed) < probability - whole).cast("long")).cast("int")
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, source, lang, topic and n_tokens of every row."""
     text = F.col(text_col).cast("string")
@@ -118,24 +133,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
 def fitted(
     rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None
 ) -> DataFrame:
-    """For each cell of ``rows`` (see ``features``) its weight and the probability of drawing a document from it."""
+    """For each cell of ``rows`` (see ``features``) its mass, weight and expected copies of a document (``probability``)."""
     cells = stored(cells_of(rows), "mixing-cells")
     wanted = targets or {d: stored(t, "mixing-targets") for d, t in tempered_targets(cells, powers).items()}
     raked = rake(cells, wanted)
-    top = raked.agg(F.max("weight")).first()[0] or 1.0
-    return raked.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(top)).alias("probability"))
+    there = F.sum(F.when(F.col("weight") > 0, F.col("mass")))
+    top, drawn, there = raked.agg(F.max("weight"), F.sum(F.col("mass") * F.col("weight")), there).first()
+    unit = min(top, drawn / (KEPT * there)) if there else 1.0
+    out = raked.select(*DIMENSIONS, "mass", "weight", (F.col("weight") / F.lit(unit)).alias("probability"))
+    log.info("mixing draws %.4f of the tokens, at most %.2f copies of a document", kept_share(out), (top or 0.0) / unit)
+    return out
+
+
+def kept_share(cells: DataFrame) -> float:
+    """Expected share of the tokens that is drawn from cells of ``fitted``, copies included."""
+    return cells.agg(F.sum(F.col("mass") * F.col("probability")) / F.sum("mass")).first()[0] or 0.0
 
 
 def _drawn(rows: DataFrame, cells: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Rows with weight, probability and kept. A combination without any token has no weight to fit; its rows stay.
+    """Rows with weight, probability, copies and kept. A combination without any token has no weight to fit; its rows stay.
 
     Catalyst broadcasts the written table of cells if its size allows, and otherwise AQE splits the rows of a hot cell.
     """
     joined = rows.join(cells, list(DIMENSIONS), "left")
     probability = F.coalesce("probability", F.lit(1.0))
-    return joined.withColumns(
-        {"probability": probability, "kept": uniform(F.col(id_col).cast("long"), seed) < probability}
-    )
+    drawn = joined.withColumns({"probability": probability, "copies": copies(F.col(id_col).cast("long"), probability, seed)})
+    return drawn.withColumn("kept", F.col("copies") > 0)
 
 
 def mix(
@@ -146,10 +169,10 @@ def mix(
     targets: dict[str, DataFrame] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (NULL for a cell without tokens), probability and kept of every row."""
+    """doc_id, source, lang, topic, n_tokens, weight (NULL for a cell without tokens), probability, kept and copies of every row."""
     rows = stored(features(df, id_col, text_col), "mixing-rows")
     drawn = _drawn(rows, fitted(rows, powers, targets), "doc_id", seed)
-    return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept")
+    return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept", "copies")
 
 
 def mixed_documents(
@@ -160,12 +183,13 @@ def mixed_documents(
     targets: dict[str, DataFrame] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """The rows of ``df`` that are drawn, with all of their columns. Texts are not shuffled."""
+    """The rows of ``df`` that are drawn, each as often as it is, with all of their columns. Texts are not shuffled."""
     cells = fitted(features(df, id_col, text_col), powers, targets)
     cells = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     keys = {"_source": known("source"), "_lang": known("lang"), "_topic": topic_of(F.col(text_col).cast("string"))}
     rows = df.select(F.struct(*df.columns).alias("_row"), *[value.alias(name) for name, value in keys.items()])
     joined = rows.join(cells, list(keys), "left")
-    kept = uniform(F.col("_row")[id_col].cast("long"), seed) < F.coalesce("_probability", F.lit(1.0))
-    return joined.where(kept).select("_row.*")
+    times = copies(F.col("_row")[id_col].cast("long"), F.coalesce("_probability", F.lit(1.0)), seed)
+    drawn = joined.withColumn("_copies", times).where("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_row.*")

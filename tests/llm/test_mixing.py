@@ -88,6 +88,24 @@ def test_given_targets(spark, rows):
 
 
 
+def test_one_row_of_a_rare_source_does_not_thin_out_the_others(spark):
+    rows = [(i, "word " * 50, "en", f"s{i % 20}", "x") for i in range(4000)] + [(4000, "word " * 20, "en", None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = M.mix(df).collect()
+    total = sum(r.n_tokens for r in got)
+    drawn = [r.n_tokens * r.copies for r in got]
+    assert sum(drawn) / total == pytest.approx(M.KEPT, abs=0.03)
+    assert M.kept_share(M.fitted(M.features(df))) == pytest.approx(M.KEPT, rel=1e-6)
+    odd = got[[r.doc_id for r in got].index(4000)]
+    share = {None: 20 / total} | {f"s{k}": (1 - 20 / total) / 20 for k in range(20)}
+    target = share[None] ** M.POWERS["source"] / sum(v ** M.POWERS["source"] for v in share.values())
+    assert odd.probability > 1 and odd.copies in (int(odd.probability), int(odd.probability) + 1)
+    expected = sum(r.n_tokens * r.probability for r in got)
+    assert odd.n_tokens * odd.probability / expected == pytest.approx(target, rel=1e-3)
+    ids = [r.doc_id for r in M.mixed_documents(df).collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in got for _ in range(r.copies))
+
+
 def test_odd_tables(spark):
     rows = [(1, None, None, None, ""), (None, "a b", "en", "s", ""), (2, "", "en", "t", ""), (3, "a | b", "en", "s", ""),
             (3, "a | b", "en", "s", ""), (4, "#$% &*#", "en", "s", ""), (5, "x " * 100000, "en", "s", "")]
