@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import ann, exact_dedup, licenses, mixing, near_dups, pii, secrets, sentencepiece_codec, toxicity, warc
+from doclake.llm import ann, conversations, exact_dedup, licenses, mixing, near_dups, pii, secrets, sentencepiece_codec, toxicity, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_jaccard")
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversations")
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
