@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclake.llm import ann, conversations, exact_dedup, hard_negatives, licenses, mixing, near_dups, pii, secrets, sentencepiece_codec, toxicity, warc
+from doclake.llm import ann, conversations, exact_dedup, hard_negatives, licenses, mixing, near_dups, pii, secrets, sentencepiece_codec, suffix_dedup, toxicity, warc
 from doclake.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_table(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
