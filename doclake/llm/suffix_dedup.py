@@ -6,7 +6,8 @@ the same one. Strings are judged on the input; they never cross documents.
 **What is sorted.** Text that no other text shares needs no place in the order. Every window holds the least of its K-byte
 grams by hash (an anchor); equal windows hold equal anchors, so only windows around anchors that occur twice are cut out, in
 phrases that reach from one such anchor to the next and WINDOW - 1 bytes further. A phrase is told by its content alone; equal
-phrases have equal suffixes and are sorted once, with their first place and all others behind it. Both steps lose no window.
+phrases have equal suffixes and are sorted once, with their first place and all others behind it. What different phrases share
+is narrowed down once more, by longer grams. None of these steps loses a window that stands in two phrases.
 
 **The difference cover.** Of the positions of the phrases those with remainder 1 or 2 by three are the sample, whose names are
 its triples; of their string again two thirds are the sample, and so on. Triples of 1, 3 and 9 bytes name themselves; the
@@ -42,6 +43,9 @@ WINDOW = 100
 #: Bytes of the grams that anchor windows; a window holds SPREAD of them.
 GRAM = 36
 SPREAD = WINDOW - GRAM + 1
+#: The same for what different phrases share; longer grams leave less text by chance.
+LONG_GRAM = 80
+LONG_SPREAD = WINDOW - LONG_GRAM + 1
 #: Longest phrase, and columns of a task's table of phrases (room to look three names further).
 PHRASE = SPREAD + WINDOW
 WIDTH = PHRASE + 3 * 27 + 27
@@ -110,29 +114,30 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each GRAM-byte string, by differences of running sums."""
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of each string of ``gram`` bytes, by differences of running sums."""
     n = len(data)
-    if n < GRAM:
+    if n < gram:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[data] * _powers(_BASE, n), out=sums[1:])
-    return _scrambled((sums[GRAM:] - sums[:-GRAM]) * _powers(_INVERSE, n - GRAM + 1))
+    return _scrambled((sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places of the least gram of each window (of equal ones the first), and the hashes of these grams."""
-    hashes = gram_hashes(data)
+    hashes = gram_hashes(data, gram)
+    spread = WINDOW - gram + 1
     n = len(data) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low = np.uint64(0xFFFFFFFF)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     span = 1
-    while span * 2 <= SPREAD:
+    while span * 2 <= spread:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    rest = SPREAD - span
+    rest = spread - span
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
     end = np.repeat(starts[1:], np.diff(starts))[:n]
@@ -157,13 +162,21 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(bounds, bounds[1:]) if b > a)
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ANCHOR = "gram long, key long, place int, known boolean"
+
+
+def _find_anchors(gram: int) -> Callable:
     """Anchors; those whose gram occurs twice in a slice are known to repeat, and one of them goes on to meet the others'."""
-    names = ["gram", "key", "place", "known"]
-    for batch in batches:
+    names = [c.split(" ")[0] for c in _ANCHOR.split(", ")]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from of_batch(batch)
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in _slices(batch.column("body")):
             data, starts = _bytes(batch.column("body").slice(a, b - a))
-            places, grams = anchors(data, starts)
+            places, grams = anchors(data, starts, gram)
             if not len(places):
                 continue
             owner = np.searchsorted(starts, places, side="right") - 1
@@ -181,6 +194,8 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             both.append(np.append(np.ones(known.sum(), bool), np.zeros(speaker.sum(), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], names)
 
+    return find
+
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by gram those whose gram comes more than once."""
@@ -237,6 +252,33 @@ def _cut_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done()
 
 
+_SEGMENT = "pid long, core int, body binary"
+#: A segment's number is its phrase's number and its start in it, so that numbers go on in the order of first places.
+START_BITS = 8
+
+
+def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of phrases whose windows hold a long gram that occurs twice."""
+    names = [c.split(" ")[0] for c in _SEGMENT.split(", ")]
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        columns = (batch.column(c) for c in ("key", "core", "body", "places"))
+        for key, core, body, places in zip(*columns):
+            text, number, cores = body.as_py(), key.as_py(), core.as_py()
+            ends = np.unique(places.values.to_numpy()).tolist()
+            a = e = None
+            for end in [*ends, None]:
+                if a is not None and (end is None or end - LONG_SPREAD + 1 > e + 1):
+                    if a < min(e + 1, cores):
+                        for value, column in zip((number << START_BITS | a, min(e + 1, cores) - a, text[a : e + WINDOW]), out):
+                            column.append(value)
+                    a = None
+                if end is not None:
+                    a, e = (max(end - LONG_SPREAD + 1, 0) if a is None else a), end
+        kinds = (pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+
+
 # The difference cover ---------------------------------------------------------------------------------------------------
 
 
@@ -506,18 +548,21 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def repeated_anchors(keyed: DataFrame, gram: int, tables: _Tables, name: str) -> DataFrame:
+    """key and places of the anchors of each body (key, body) whose grams occur twice."""
+    found = tables.write(f"{name}-anchors", keyed.mapInArrow(_find_anchors(gram), _ANCHOR))
+    open_ones = found.where("not known").select("gram", "key", "place").repartition("gram").sortWithinPartitions("gram")
+    met = open_ones.mapInArrow(_repeated, "key long, place int").unionByName(found.where("known").select("key", "place"))
+    places = tables.write(name, met.groupBy("key").agg(F.collect_list("place").alias("places")))
+    tables.drop(f"{name}-anchors")
+    return places
+
+
 def repeated_phrases(texts: DataFrame, tables: _Tables) -> DataFrame:
     """Phrases around anchors that occur twice, at all their places."""
     # Two documents may share a key; both are then cut at the places of both, which only adds phrases.
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "text_hash"))
-    found = tables.write(
-        "anchors", keyed.select("key", "body").mapInArrow(_find_anchors, "gram long, key long, place int, known boolean")
-    )
-    open_ones = found.where("not known").select("gram", "key", "place").repartition("gram").sortWithinPartitions("gram")
-    met = open_ones.mapInArrow(_repeated, "key long, place int")
-    known = found.where("known").select("key", "place")
-    places = tables.write("places", met.unionByName(known).groupBy("key").agg(F.collect_list("place").alias("places")))
-    tables.drop("anchors")
+    places = repeated_anchors(keyed.select("key", "body"), GRAM, tables, "places")
     # How many documents share text has no bound, so this side is never broadcast.
     cut = keyed.join(places.hint("merge"), "key").select("doc_id", "text_hash", "body", "places")
     phrases = tables.write("phrases", cut.mapInArrow(_cut_phrases, _PHRASES))
@@ -611,7 +656,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbered = by_place.sortWithinPartitions("has_id", "doc_id", "text_hash", "start")
     dictionary = tables.write("dictionary", numbered.withColumn("pid", F.monotonically_increasing_id()))
     tables.drop("distinct")
-    spans = covered_windows(dictionary, tables)
+    shared = repeated_anchors(dictionary.select(F.col("pid").alias("key"), "body"), LONG_GRAM, tables, "shared")
+    whole = dictionary.select(F.col("pid").alias("key"), "core", "body").join(shared.hint("merge"), "key")
+    segments = tables.write("segments", whole.mapInArrow(_cut_segments, _SEGMENT))
+    tables.drop("shared")
+    found = covered_windows(segments, tables)
+    tables.drop("segments")
+    start = F.col("pid").bitwiseAND((1 << START_BITS) - 1).cast("int")
+    spans = found.select(
+        F.shiftright("pid", START_BITS).alias("pid"), (F.col("low") + start).alias("low"), (F.col("high") + start).alias("high")
+    )
     first = dictionary.select(
         "one", "two", "pid", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_hash", "start")]
     )
