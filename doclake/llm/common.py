@@ -18,6 +18,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without_space(text: Column) -> Column:
     """The text without the six ASCII white-space characters [\\x20\\x09-\\x0D]; NULL counts as empty."""
     out = F.coalesce(text, F.lit(""))

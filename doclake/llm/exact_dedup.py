@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import stored, without_space
+from doclake.llm.common import stored, unused, without_space
 
 #: Characters of a text in the sort key. Longer common beginnings are told apart by the digest.
 KEY_CHARS = 48
@@ -165,14 +165,18 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all of their columns. Rows without an id stay."""
+    own_id, own_sha, own_chars = (unused(df.columns, n) for n in ("_kept_id", "_kept_sha", "_kept_chars"))
     kept = (
         exact_groups(df, id_col, text_col)
         .where("kept and doc_id is not null")
-        .select(F.col("doc_id").alias("_kept_id"), F.col("n_chars").alias("_kept_chars"))
+        .select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha), F.col("n_chars").alias(own_chars))
     )
     has_id = df.where(F.col(id_col).isNotNull())
-    chars = F.char_length(F.coalesce(has_id[text_col], F.lit(""))).cast("long")
-    same = (has_id[id_col].cast("long") == kept["_kept_id"]) & (chars == kept["_kept_chars"])
-    stays = has_id.join(kept, same, "left_semi")
-    # Only rows that repeat an id are still there twice.
-    return stays.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    marks = {
+        own_id: F.col(id_col).cast("long"),
+        own_sha: F.sha2(F.encode(without_space(F.col(text_col)), "UTF-8"), 256),
+        own_chars: F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
+    }
+    # An id may have several texts, each of which stays; only rows that repeat id and text are still there twice.
+    stays = has_id.withColumns(marks).join(kept, list(marks), "left_semi").dropDuplicates(list(marks)).drop(*marks)
+    return stays.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))

@@ -14,7 +14,8 @@ components across tasks are joined by label propagation.
 Words are separated by white space, lower-cased, without punctuation at their ends. A text of fewer words than a shingle has
 one shingle of all of them; a text without words has none and no links. NULL counts as empty. Rows without an id come back
 with a class of their own (NULL). Rows that repeat an id with the same text count as copies of each other and come back each;
-of an id with several texts one is compared. An empty table gives an empty result; further columns are ignored.
+an id with several texts stands for several documents, which hashes of their texts tell apart. An empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclake.llm.common import stored
+from doclake.llm.common import stored, unused
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, SEED = 12, 6, 0.995, 41
@@ -112,7 +113,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _sign(words: int):
-    names = ["doc_id", "set_key", "n_shingles", "signature"]
+    names = ["doc_id", "text_hash", "set_key", "n_shingles", "signature"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +128,8 @@ def _sign(words: int):
                 ]
                 marks = [s.tobytes() if n else None for s, n in zip(signature, size)]
                 values = [pa.array(keys, pa.binary()), pa.array(size), pa.array(marks, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *values], names)
+                told = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*told, *values], names)
 
     return sign
 
@@ -351,52 +353,76 @@ def near_groups(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
 ) -> DataFrame:
-    """doc_id, class_id, n_links and n_shingles of every row.
+    """doc_id, class_id, n_links, n_shingles, text_hash and class_hash of every row.
 
-    class_id is the smallest id of the row's group; n_links is the number of other rows at ``threshold`` or more.
+    class_id is the smallest id of the row's group and class_hash the hash of that document's text, which matters where an id
+    has several; n_links is the number of other rows at ``threshold`` or more.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(
-        texts.mapInArrow(_sign(words), "doc_id long, set_key binary, n_shingles long, signature binary"), "signatures"
-    )
+    texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    columns = "doc_id long, text_hash long, set_key binary, n_shingles long, signature binary"
+    signed = stored(texts.mapInArrow(_sign(words), columns), "signatures")
     able = signed.where("doc_id is not null and set_key is not null")
+    # A representative is a set of shingles under a number of its own, as an id may have several.
     reps = stored(
-        able.groupBy("set_key").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")
-        ),
+        able.groupBy("set_key")
+        .agg(
+            F.min(F.struct("doc_id", "text_hash")).alias("owner"),
+            F.count("*").alias("copies"),
+            F.first("signature").alias("signature"),
+        )
+        .withColumn("rep", F.monotonically_increasing_id()),
         "representatives",
     )
     met = meetings(reps, prefix_lengths(threshold, recall)[-1])
     # Texts are dealt out by id once, for all three steps.
     # How many texts meet others has no bound, so this side is never broadcast; the plan is the same at every size.
-    needed = met.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    spoken = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facing = met.join(spoken.withColumnRenamed("doc_id", "rep"), "rep")
+    owned = met.join(reps.select("rep", "owner.*").hint("merge"), "rep")
+    needed = owned.select("doc_id", "text_hash").distinct().hint("merge")
+    spoken = texts.join(needed, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    facing = owned.join(spoken, ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
     dealt = facing.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = stored(dealt.mapInArrow(_verify(words, threshold), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    members = labels.withColumnRenamed("v", "rep").join(reps.select("rep", "owner"), "rep")
+    heads = members.groupBy("label").agg(F.min("owner").alias("head"))
     classes = (
-        reps.select("set_key", "rep", "copies")
+        reps.select("set_key", "rep", "copies", "owner")
         .join(links, "rep", "left")
-        .join(labels.withColumnRenamed("v", "rep"), "rep", "left")
+        .join(members.join(heads, "label").select("rep", "head"), "rep", "left")
         .select(
             "set_key",
-            F.coalesce("label", "rep").alias("class_id"),
+            F.coalesce("head", "owner").alias("head"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    grouped = able.select("doc_id", "set_key", "n_shingles").join(stored(classes, "classes"), "set_key")
+    grouped = able.select("doc_id", "text_hash", "set_key", "n_shingles").join(stored(classes, "classes"), "set_key")
     alone = signed.where("doc_id is null or set_key is null")
-    return grouped.select("doc_id", "class_id", "n_links", "n_shingles").unionByName(
-        alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles")
+    return grouped.select(
+        "doc_id", F.col("head.doc_id").alias("class_id"), "n_links", "n_shingles", "text_hash", F.col("head.text_hash").alias("class_hash")
+    ).unionByName(
+        alone.select(
+            "doc_id",
+            F.col("doc_id").alias("class_id"),
+            F.lit(0).cast("long").alias("n_links"),
+            "n_shingles",
+            "text_hash",
+            F.col("text_hash").alias("class_hash"),
+        )
     )
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group, that with the smallest id, with all of its columns. Rows without an id stay."""
-    first = near_groups(df, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_first"))
+    """One row of each group, that with the smallest id, with all of its columns. Rows without an id stay.
+
+    Of an id with several texts each text stays that is the first of its group.
+    """
+    own_id, own_hash = (unused(df.columns, n) for n in ("_first", "_hash"))
+    groups = near_groups(df, id_col, text_col, **options).where("doc_id = class_id and text_hash = class_hash")
+    first = groups.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
     has_id = df.where(F.col(id_col).isNotNull())
-    stays = has_id.join(first, has_id[id_col].cast("long") == first["_first"], "left_semi")
-    # Only rows that repeat an id are still there twice.
-    return stays.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    marks = {own_id: F.col(id_col).cast("long"), own_hash: F.xxhash64(F.col(text_col).cast("string"))}
+    # Only rows that repeat id and text are still there twice.
+    stays = has_id.withColumns(marks).join(first, list(marks), "left_semi").dropDuplicates(list(marks)).drop(*marks)
+    return stays.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))

@@ -59,6 +59,13 @@ def test_repeated_rows_and_missing_ids(spark):
     assert left == [(0, "a"), (1, "a "), (2, "b")]
 
 
+def test_an_id_with_several_texts(spark):
+    rows = [(1, "alpha beta"), (1, "gamma delta"), (2, "alpha beta"), (3, "zzz"), (2, "gammadelta "), (3, "zzz")]
+    df = spark.createDataFrame([(*r, "en", "a", "b") for r in rows], SCHEMA)
+    left = sorted((r.doc_id, r.text) for r in drop_exact_copies(df).collect())
+    assert left == [(1, "alpha beta"), (1, "gamma delta"), (3, "zzz")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert exact_groups(df).count() == 0

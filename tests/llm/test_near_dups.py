@@ -121,3 +121,11 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in N.near_groups(df).collect())
     assert got == [(-1, -1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
     assert N.near_groups(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    rows = [(1, "alpha beta"), (1, "gamma delta"), (2, "alpha beta"), (3, "zzz"), (3, "gamma delta"), (1, "alpha beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, N.drop_near_copies(df).collect())) == [(1, "alpha beta"), (1, "gamma delta"), (3, "zzz")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in N.near_groups(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1), (3, 3, 0)]

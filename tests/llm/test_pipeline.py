@@ -53,3 +53,22 @@ def test_near_copies_keep_columns(spark):
     got = near_dups.drop_near_copies(df)
     assert got.columns == df.columns
     assert sorted((r.doc_id or 0, r["_first"]) for r in got.collect()) == [(0, "z"), (1, "y")]
+
+
+def test_run_over_odd_documents(spark, tmp_path):
+    """Repeated ids with different texts, null sources and texts, an empty table: run() keeps every distinct clean text."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"w{k}{i}" for i in range(30))
+    rows = [(1, words("a"), "en", None, 3), (1, words("b"), "en", "s", 3), (2, words("a"), None, "s", 3), (3, None, "en", "s", 0), (None, words("c"), "en", "s", 1)]
+    rows += [(10 + i, words(f"x{i}q"), "en", "s", 3) for i in range(20)]
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    for name, content in (("odd", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(content, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    far = P.without_near_copies(spark, stored(P.without_copies(spark, docs, ""), "odd"), "")
+    assert {r.text for r in far.collect()} == {r[1] for r in rows}
+    got = P.run(spark, f"{tmp_path}/odd").collect()
+    assert 0 < len(got) and all(r.round_trip for r in got)
+    assert P.run(spark, f"{tmp_path}/empty").collect() == []
