@@ -754,6 +754,85 @@ def _merge_contexts(spark, sf):
     return merged.drop("mode").withColumn("target", F.lit("both"))
 
 
+def _stored_corpus(spark, sf) -> tuple[Corpus, str]:
+    """All documents and their pieces stored in one context; ids are those of the tables."""
+    corpus = Corpus(spark, shared_dir(spark, "corpus"), buckets=4)
+    corpus.register(spark.createDataFrame([("all",)], "name string"), _NOW)
+    owner = corpus.context_id("all")
+    documents = corpus_documents(spark, sf).select(
+        F.lit(owner).alias("context_id"), "doc_id", F.concat(F.lit("doc://"), "doc_id").alias("url"), "title", "content", "indexed_at", F.lit("file").alias("source_type")
+    )
+    # As an ingest names them: by context and URL.
+    documents = documents.withColumn("doc_id", schema.document_id("context_id", "url"))
+    corpus.append("documents", documents)
+    pieces = chunk_frame(spark, sf).withColumn("context_id", F.lit(owner))
+    corpus.append("chunks", pieces.withColumn("doc_id", schema.document_id("context_id", F.concat(F.lit("doc://"), "doc_id"))))
+    return corpus, owner
+
+
+@query(
+    "stored_upsert",
+    """
+    SELECT 'doc://' || doc_id AS url, CASE WHEN lang = 'fr' THEN 'New ' || doc_id ELSE 'Doc ' || doc_id END AS title,
+      'file' AS source_type, CAST(length(text) + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS INT) AS chars FROM documents
+    UNION ALL
+    SELECT 'more://' || doc_id, 'More ' || doc_id, 'url', CAST(length(text) AS INT) FROM documents WHERE lang = 'es'
+    """,
+)
+def _stored_upsert(spark, sf):
+    """French documents come again with another title and text, Spanish ones under another URL; the tables are read again."""
+    corpus, owner = _stored_corpus(spark, sf)
+    docs = corpus_documents(spark, sf)
+    again = docs.where("lang = 'fr'").select(
+        F.concat(F.lit("doc://"), "doc_id").alias("url"), F.concat(F.lit("New "), "doc_id").alias("title"), F.concat("content", F.lit("+")).alias("content"), "indexed_at"
+    )
+    more = docs.where("lang = 'es'").select(
+        F.concat(F.lit("more://"), "doc_id").alias("url"), F.concat(F.lit("More "), "doc_id").alias("title"), "content", "indexed_at"
+    )
+    corpus.upsert_documents(again.unionByName(more).withColumns({"context_id": F.lit(owner), "source_type": F.lit("url")}))
+    return corpus.read("documents", owner).select("url", "title", "source_type", F.length("content").alias("chars"))
+
+
+@query(
+    "stored_delete",
+    f"""
+    WITH {_CHUNKS_SQL}, left_over AS (SELECT doc_id FROM documents WHERE lang <> 'de')
+    SELECT 'documents' AS kind, count(*) AS n FROM left_over UNION ALL
+    SELECT 'chunks', count(*) FROM ch JOIN left_over USING (doc_id) UNION ALL
+    SELECT 'deleted', count(*) FROM documents WHERE lang = 'de' UNION ALL SELECT 'after the context', 0
+    """,
+)
+def _stored_delete(spark, sf):
+    """German documents are deleted with their chunks, then the whole context; counts of the tables in between."""
+    corpus, owner = _stored_corpus(spark, sf)
+    gone = corpus_documents(spark, sf).where("lang = 'de'").select(schema.document_id(F.lit(owner), F.concat(F.lit("doc://"), "doc_id")).alias("doc_id"))
+    deleted = corpus.delete_documents("all", gone)
+    counts = [(t, corpus.read(t, owner).count()) for t in ("documents", "chunks")]
+    corpus.delete_context("all")
+    after = corpus.read("documents").count() + corpus.read("chunks").count() + corpus.read("contexts").count()
+    rows = [*counts, ("deleted", deleted), ("after the context", after)]
+    return spark.createDataFrame(rows, "kind string, n long")
+
+
+@query(
+    "stored_merge",
+    f"""
+    WITH {DOCS_SQL}, d AS (SELECT *, 'doc://' || title AS own_url FROM docs WHERE context_id IN ('src0', 'src5'))
+    SELECT title, CAST(length(content) AS INT) AS chars, CAST((length(content) + 999) // 1000 AS INT) AS chunks FROM d
+    """,
+)
+def _stored_merge(spark, sf):
+    """Two contexts merged into a third, which is read again: titles, text lengths and chunks of every document."""
+    corpus = filled_corpus(spark, sf)
+    target = f"merged-{uuid.uuid4().hex}"
+    merge_contexts(corpus, ["src0", "src5"], target, now=_NOW)
+    merge_contexts(corpus, ["src0", "src5"], target, now=_NOW)  # a second merge adds nothing
+    cid = corpus.context_id(target)
+    chunks = corpus.read("chunks", cid).groupBy("doc_id").agg(F.count("*").cast("int").alias("chunks"))
+    documents = corpus.read("documents", cid).select("doc_id", "title", F.length("content").alias("chars"))
+    return documents.join(chunks, "doc_id", "left").select("title", "chars", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 _STORED_SQL = f"""
 WITH {_SNIPPETS_SQL}, n AS (SELECT doc_id, count(*) AS snippets FROM snips GROUP BY doc_id)
 SELECT 'http://docs/' || doc_id AS url, 'processed' AS status, CAST(snippets AS INT) AS snippets FROM n

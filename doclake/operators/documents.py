@@ -24,16 +24,22 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame, order: list[Colum
     return upsert(existing, latest_documents(incoming, order), ["doc_id"], keep=("source_type",))
 
 
+def latest_raw(incoming: DataFrame) -> DataFrame:
+    return first_per_key(incoming, ["doc_id"], [F.desc("created_at"), F.desc(F.xxhash64("raw_content"))])
+
+
 def upsert_raw(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    latest = first_per_key(incoming, ["doc_id"], [F.desc("created_at"), F.desc(F.xxhash64("raw_content"))])
-    return upsert(existing, latest, ["doc_id"])
+    return upsert(existing, latest_raw(incoming), ["doc_id"])
+
+
+def latest_chunks(incoming: DataFrame) -> DataFrame:
+    keys = ["doc_id", "chunk_index"]
+    return first_per_key(incoming, keys, [F.desc("created_at"), F.desc(F.xxhash64("content"))])
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Chunks after an upsert on (document, chunk index)."""
-    keys = ["doc_id", "chunk_index"]
-    latest = first_per_key(incoming, keys, [F.desc("created_at"), F.desc(F.xxhash64("content"))])
-    return upsert(existing, latest, keys)
+    return upsert(existing, latest_chunks(incoming), ["doc_id", "chunk_index"])
 
 
 def list_documents(documents: DataFrame, context_id: str, offset: int = 0, limit: int = 50) -> DataFrame:

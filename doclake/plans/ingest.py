@@ -19,7 +19,7 @@ from doclake.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_spans, c
 from doclake.operators.documents import latest_documents, with_chunk_counts
 from doclake.operators.quality import WORD_COUNT_THRESHOLD, quality_enough, score_pages
 from doclake.operators.snippets import links_within, placeholder_spans, placeholder_text, snippet_array
-from doclake.session import shared_dir, spread
+from doclake.session import discard, shared_dir, spread, stored
 from doclake.sources.corpus import Corpus
 from doclake.sources.pages import pages_to_markdown
 
@@ -160,7 +160,6 @@ def store_processed(
     prepare_documents(df, context, source_type, moment, size, overlap, mode).write.parquet(f"{work}/documents")
     prepared = spread(spark.read.parquet(f"{work}/documents"))
     done = prepared.where(F.col("status") == "processed")
-    ids = done.select("context_id", "doc_id")
 
     rows = chunk_rows(prepared, embedder, summarizer or LeadSummarizer(), moment)
     rows.write.parquet(f"{work}/chunks")
@@ -170,15 +169,15 @@ def store_processed(
     snippet_rows(prepared, snippet_embedder or code_embedder(), moment).write.parquet(f"{work}/snippets")
     snippets = spark.read.parquet(f"{work}/snippets")
 
-    scope = corpus.scope_of(ids)
-    corpus.replace_documents("code_snippets", snippets, ids, scope)
-    corpus.replace_documents("chunks", chunks, ids, scope)
     raw = done.select("context_id", "doc_id", "raw_content", F.col("indexed_at").alias("created_at"))
-    corpus.replace_documents("raw_documents", raw, ids, scope)
     kept = ["context_id", "url", "title", "content", "metadata", "indexed_at", "source_type", "doc_id"]
-    corpus.upsert_documents(with_chunk_counts(done.select(*kept), chunks), scope)
+    # One version: readers see a document's new text, chunks and snippets together or none of them.
+    documents = with_chunk_counts(done.select(*kept), chunks)
+    corpus.replace_whole({"code_snippets": snippets, "chunks": chunks, "raw_documents": raw, "documents": documents})
 
-    per_document = with_chunk_counts(prepared, chunks)
-    return per_document.select(
+    summary = with_chunk_counts(prepared, chunks).select(
         "url", "title", "status", "error", F.col("chunk_count").alias("chunks"), F.size("snippets").alias("snippets")
     )
+    out = stored(summary, "ingest-summary")
+    discard(spark, work)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclake import schema
 from doclake.operators import merge as m
-from doclake.session import shared_dir
+from doclake.session import discard, shared_dir
 from doclake.sources.corpus import Corpus
 
 
@@ -18,12 +18,21 @@ def merge_contexts(
 ) -> DataFrame:
     """Merge contexts by union or intersection; the target is created when absent. One row of counts.
 
-    Only rows the target lacks are appended, so a repeated or interrupted merge adds nothing twice.
+    Only rows the target lacks are appended, so a repeated merge adds nothing twice. The merge becomes visible as a whole.
     """
     schema.check_choice(mode, schema.MERGE_MODES, "mode")
-    spark = corpus.spark
     ids = [corpus.context_id(s) for s in sources]
-    if not corpus.has_context(target):
+    with corpus.change():
+        return _merge(corpus, sources, ids, target, mode, now)
+
+
+def _merge(
+    corpus: Corpus, sources: list[str], ids: list[str], target: str, mode: str, now: datetime | None
+) -> DataFrame:
+    spark = corpus.spark
+    if corpus.has_context(target):
+        corpus.update_context(target, now)
+    else:
         about = f"Merged from {', '.join(sources)}"
         models = {corpus.embedding_model(s) for s in sources}
         if len(models) > 1:
@@ -55,13 +64,13 @@ def merge_contexts(
 
     new_snippets = spark.read.parquet(f"{work}/code_snippets")
     new_chunks = spark.read.parquet(f"{work}/chunks")
-    # Children first: a run that stops here is completed by the next, which still sees the documents as new.
     corpus.append("code_snippets", new_snippets)
     corpus.append("chunks", new_chunks)
     corpus.append("raw_documents", spark.read.parquet(f"{work}/raw_documents"))
     corpus.append("documents", spark.read.parquet(f"{work}/new_documents"))
 
     counts = (mapped.count(), new_chunks.count(), new_snippets.count())
+    discard(spark, work)
     return spark.createDataFrame(
         [(target, mode, len(sources), *counts)],
         "target string, mode string, source_contexts int, documents_merged long, chunks_merged long, "

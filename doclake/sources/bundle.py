@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doclake import schema
 from doclake.operators import merge as m
-from doclake.session import shared_dir
+from doclake.session import discard, shared_dir
 from doclake.sources.corpus import Corpus
 
 SCHEMA_VERSION = "1.0"
@@ -111,15 +111,18 @@ def import_context(
     moved = remap_bundle(tables, _id_of(spark, target))
     for table, df in moved.items():
         df.write.parquet(f"{work}/{table}")
-    if taken:
-        corpus.delete_context(target)
     described = [(target, row["description"], row["embedding_model"] or schema.DEFAULT_EMBEDDING_MODEL)]
-    corpus.register(spark.createDataFrame(described, "name string, description string, embedding_model string"), now)
     counts = {}
-    for table in BUNDLE_TABLES:
-        rows = spark.read.parquet(f"{work}/{table}")
-        corpus.append(table, rows)
-        counts[table] = rows.count()
+    # One version: the old context gives way to the imported one in a single step.
+    with corpus.change():
+        if taken:
+            corpus.delete_context(target)
+        corpus.register(spark.createDataFrame(described, "name string, description string, embedding_model string"), now)
+        for table in BUNDLE_TABLES:
+            rows = spark.read.parquet(f"{work}/{table}")
+            corpus.append(table, rows)
+            counts[table] = rows.count()
+    discard(spark, work)
     return spark.createDataFrame(
         [(target, counts["documents"], counts["chunks"], counts["code_snippets"])],
         "context_name string, documents_imported long, chunks_imported long, code_snippets_imported long",

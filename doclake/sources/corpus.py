@@ -1,18 +1,21 @@
-"""The stored corpus: Parquet tables partitioned by context and by a hash bucket of the document.
+"""The stored corpus: Parquet tables partitioned by context, by a hash bucket of the document, and by version.
 
-All rows of a document lie in the same bucket of every table, so an upsert of a few documents rewrites a few buckets,
-and a context that holds a third of all rows is spread over all of its buckets.
+Nothing stored is ever changed. A write appends rows under a version of its own, appends to ``changes`` which documents (or
+chunks, or whole contexts) gave up what they had before that version, and last appends its version to ``commits``: this one
+small file makes the write visible, in all tables at once. A write that stops before leaves rows that no reader counts. A
+reader lists the commits, then the files, and takes of each document the rows that no later version has replaced, so readers
+write nothing, and frames that are already planned keep the files they listed.
 
-A rewrite is all or nothing. The new partitions are written to a staging folder of the same file system; then one small
-intent file, put in place by a rename, names the partitions to replace. From that moment the rewrite counts: moving the
-partitions can be repeated from any point, and the next reader or writer of the corpus finishes what an interrupted one
-left. Before that moment the old tables are untouched. One writer at a time is assumed.
+An upsert of one per cent of the documents writes one per cent of the rows and their ids. What is read besides the rows is the
+list of versions and the ids that were ever replaced; ``compact`` writes a context anew under one version, after which its
+older versions no longer count. One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +24,25 @@ from pyspark.sql import functions as F
 from doclake import schema
 from doclake.operators import contexts as ctx_ops
 from doclake.operators import documents as doc_ops
+from doclake.session import discard, shared_dir
+
+#: Tables whose rows belong to documents.
+CHILDREN = ("documents", "raw_documents", "chunks", "code_snippets")
 
 
 class Corpus:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._open: int | None = None
 
     # Storage -----------------------------------------------------------------------------------------------------
 
     def location(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def _fs(self, location: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(location)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _exists(self, location: str) -> bool:
-        fs, path = self._fs(location)
-        return fs.exists(path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(location)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _keys(self, table: str) -> list[str]:
         return ["bucket"] if table in ("contexts", "job_events") else ["context_id", "bucket"]
@@ -51,9 +54,8 @@ class Corpus:
         return df.withColumn("bucket", F.pmod(F.xxhash64(self._owner(table)), F.lit(self.buckets)).cast("int"))
 
     def _load(self, table: str, folders: list[str] | None) -> DataFrame:
-        """The table, or only the listed partition folders of it; nothing there gives an empty frame."""
-        self.recover()
-        columns, home = f"{schema.TABLES[table]}, bucket int", self.location(table)
+        """All rows ever written to the table, or to the listed partition folders of it."""
+        columns, home = f"{schema.TABLES[table]}, bucket int, version long", self.location(table)
         paths = [home] if folders is None else [f"{home}/{f}" for f in folders]
         if folders is None and not self._exists(home):
             paths = []
@@ -61,18 +63,59 @@ class Corpus:
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).option("basePath", home).parquet(*paths)
 
-    def read(self, table: str, context_id: str | list[str] | None = None, bucket: bool = False) -> DataFrame:
-        """A table, or one or more contexts of it; then only the folders of these contexts are listed."""
+    def _seen(self) -> list[int]:
+        """The versions that count: those committed, one folder each, and the one being written."""
+        home = self.spark._jvm.org.apache.hadoop.fs.Path(self.location("commits"))
+        fs = home.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(home)] if fs.exists(home) else []
+        done = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return sorted(done if self._open is None else [*done, self._open])
+
+    def _levels(self, table: str) -> list[tuple[str, list[str]]]:
+        """The kinds of change that end rows of a table, and the columns that tell which rows."""
+        levels = [("context", ["context_id"])]
+        if table in CHILDREN:
+            levels += [("document", ["context_id", "doc_id"]), (table, ["context_id", "doc_id"])]
+        if table == "contexts":
+            levels.append((table, ["context_id", "context_id"]))
+        return levels + ([("chunk", ["context_id", "doc_id", "chunk_index"])] if table == "chunks" else [])
+
+    def _live(self, table: str, rows: DataFrame, seen: list[int]) -> DataFrame:
+        """The rows of the versions that count which no later one has replaced."""
+        live = rows.where(F.col("version").isin(seen))
+        for of, columns in self._levels(table):
+            home = f"{self.location('changes')}/of={of}"
+            if self._exists(home):
+                changes = self.spark.read.schema("context_id string, key string, version long").parquet(home)
+                until = changes.where(F.col("version").isin(seen))
+                until = until.groupBy("context_id", "key").agg(F.max("version").alias("_until"))
+                key = F.concat_ws(":", *columns[1:]) if len(columns) > 1 else F.lit("")
+                named = until.select(F.col("context_id").alias("_context"), F.col("key").alias("_key"), "_until")
+                same = (live["context_id"] == named["_context"]) & (key == named["_key"])
+                live = live.join(named, same, "left").where("_until is null or version >= _until")
+                live = live.drop("_context", "_key", "_until")
+        return live
+
+    def read(self, table: str, context_id: str | list[str] | None = None, doc_ids: list[str] | None = None) -> DataFrame:
+        """A table, one or more contexts of it (then only their folders are listed), or a few documents of them.
+
+        Listed documents are looked for in their buckets only.
+        """
+        # Versions first: of a write that ends in between, the files may be listed already, but its version is not.
+        seen = self._seen()
         if context_id is None:
-            df = self._load(table, None)
+            rows = self._load(table, None)
         else:
             wanted = [context_id] if isinstance(context_id, str) else list(dict.fromkeys(context_id))
             if "context_id" in self._keys(table):
                 folders = [f"context_id={c}" for c in wanted]
-                df = self._load(table, [f for f in folders if self._exists(f"{self.location(table)}/{f}")])
+                rows = self._load(table, [f for f in folders if self._exists(f"{self.location(table)}/{f}")])
             else:
-                df = self._load(table, None).where(F.col("context_id").isin(wanted))
-        return df if bucket else df.drop("bucket")
+                rows = self._load(table, None).where(F.col("context_id").isin(wanted))
+        if doc_ids is not None:
+            places = [F.pmod(F.xxhash64(F.lit(d)), F.lit(self.buckets)).cast("int") for d in doc_ids]
+            rows = rows.where(F.col("bucket").isin(places) & F.col("doc_id").isin(list(doc_ids)))
+        return self._live(table, rows, seen).drop("bucket", "version")
 
     def _conform(self, table: str, df: DataFrame) -> DataFrame:
         """Columns in table order and type; absent ones are NULL."""
@@ -84,119 +127,84 @@ class Corpus:
             ]
         )
 
-    def _write(self, table: str, df: DataFrame, location: str, mode: str) -> None:
-        keys = self._keys(table)
-        # AQE splits large and merges small write partitions, whatever the skew of contexts and buckets.
-        spread = df.hint("rebalance", *[F.col(k) for k in keys])
-        # The writer sorts by partition anyway; sorting on by owner lets look-ups by id skip row groups.
-        ordered = spread.sortWithinPartitions(*keys, self._owner(table))
-        ordered.write.mode(mode).partitionBy(*keys).parquet(location)
+    # Writing -----------------------------------------------------------------------------------------------------
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self._write(table, self._bucketed(table, self._conform(table, df)), self.location(table), "append")
-
-    def _children(self, location: str) -> list[str]:
-        fs, path = self._fs(location)
-        if not fs.exists(path):
-            return []
-        return [n for n in (s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if "=" in n]
-
-    def _partitions(self, table: str, location: str, contexts: list[str] | None) -> set[str]:
-        """Partition folders of a table, only those of the given contexts if there are any."""
-        if "context_id" not in self._keys(table):
-            return set(self._children(location))
-        outer = self._children(location) if contexts is None else [f"context_id={c}" for c in contexts]
-        return {f"{o}/{inner}" for o in outer for inner in self._children(f"{location}/{o}")}
-
-    def _scope(self, table: str, touched: DataFrame) -> tuple[list[int], list[str] | None]:
-        """Buckets, and contexts, that a set of rows lies in: as many names as the folders that are rewritten."""
-        keys = self._keys(table)
-        places = touched.select(*keys).distinct().collect()
-        contexts = sorted({r["context_id"] for r in places}) if "context_id" in keys else None
-        return sorted({r["bucket"] for r in places}), contexts
-
-    def scope_of(self, doc_ids: DataFrame) -> tuple[list[int], list[str] | None]:
-        """Where documents (context_id, doc_id) lie, the same in every table."""
-        return self._scope("documents", self._bucketed("documents", doc_ids.select("context_id", "doc_id")))
-
-    def _read_scope(self, table: str, buckets: list[int], contexts: list[str] | None) -> DataFrame:
-        """The stored rows of a scope. Known contexts are read folder by folder, others by a bucket filter."""
-        if contexts is None:
-            return self._load(table, None).where(F.col("bucket").isin(buckets))
-        inside = {f"bucket={b}" for b in buckets}
-        found = self._partitions(table, self.location(table), contexts)
-        return self._load(table, sorted(p for p in found if p.rsplit("/", 1)[-1] in inside))
-
-    def _swap(self, table: str, df: DataFrame, buckets: list[int], contexts: list[str] | None) -> None:
-        """Replace the partitions in scope by ``df``; partitions of the scope without rows disappear."""
-        name = f"{table}-{uuid.uuid4().hex}"
-        staging = f"{self.path}/_staging/{name}"
-        self._write(table, df, staging, "overwrite")
-        fresh = self._partitions(table, staging, None)
-        inside = {f"bucket={b}" for b in buckets}
-        stale = {p for p in self._partitions(table, self.location(table), contexts) if p.rsplit("/", 1)[-1] in inside}
-        intent = {"table": table, "staging": staging, "put": sorted(fresh), "drop": sorted(stale - fresh)}
-        self._publish(name, intent)
-        self._carry_out(name, intent)
-
-    def _publish(self, name: str, intent: dict) -> None:
-        """Write the intent file; the rename is the moment at which the rewrite counts."""
-        draft = f"{self.path}/_staging/{name}.intent"
-        fs, path = self._fs(draft)
-        stream = fs.create(path, True)
-        stream.write(bytearray(json.dumps(intent).encode()))
-        stream.close()
-        self._move(draft, f"{self.path}/_intents/{name}")
-
-    def _move(self, source: str, target: str) -> None:
-        """Rename, with the folder above the target made first; no success is an error."""
-        fs, there = self._fs(target)
-        fs.mkdirs(there.getParent())
-        if not fs.rename(self._fs(source)[1], there):
-            raise OSError(f"{source} could not be moved to {target}")
-
-    def _remove(self, location: str) -> None:
-        fs, path = self._fs(location)
-        if fs.exists(path) and not fs.delete(path, True):
-            raise OSError(f"{location} could not be deleted")
-
-    def _carry_out(self, name: str, intent: dict) -> None:
-        """Move the staged partitions into place. What is staged has not been moved yet, so this can be repeated."""
-        target = self.location(intent["table"])
-        for partition in intent["put"]:
-            staged = f"{intent['staging']}/{partition}"
-            if self._exists(staged):
-                self._remove(f"{target}/{partition}")
-                self._move(staged, f"{target}/{partition}")
-        for partition in intent["drop"]:
-            self._remove(f"{target}/{partition}")
-        self._remove(f"{self.path}/_intents/{name}")
-        self._remove(intent["staging"])
-
-    def recover(self) -> None:
-        """Finish rewrites that were published and then interrupted."""
-        fs, folder = self._fs(f"{self.path}/_intents")
-        if not fs.exists(folder):
+    @contextmanager
+    def change(self) -> Iterator[int]:
+        """Writes inside become visible together when the outermost block ends, or not at all."""
+        if self._open is not None:
+            yield self._open
             return
-        for status in fs.listStatus(folder):
-            stream = fs.open(status.getPath())
-            try:
-                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            self._carry_out(status.getPath().getName(), json.loads(text))
-
-    def replace_documents(self, table: str, rows: DataFrame, doc_ids: DataFrame, scope=None) -> None:
+        newest = max(self._seen(), default=0)
+        # The clock keeps versions of writes that stopped from being taken again.
+        self._open = max(time.time_ns(), newest + 1)
+        try:
+            yield self._open
+            self._commit(self._open)
+        finally:
+            self._open = None
+
+    def _commit(self, version: int) -> None:
+        row = self.spark.createDataFrame([(version, datetime.now())], "version long, at timestamp")
+        # One folder with one file, put in place by one rename.
+        row.coalesce(1).write.mode("append").partitionBy("version").parquet(self.location("commits"))
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Add rows; nothing is replaced."""
+        with self.change() as version:
+            keys = [*self._keys(table), "version"]
+            rows = self._bucketed(table, self._conform(table, df)).withColumn("version", F.lit(version))
+            # AQE splits large and merges small write partitions, whatever the skew of contexts and buckets.
+            spread = rows.hint("rebalance", *[F.col(k) for k in keys[:-1]])
+            # The writer sorts by partition anyway; sorting on by owner lets look-ups by id skip row groups.
+            ordered = spread.sortWithinPartitions(*keys, self._owner(table))
+            ordered.write.mode("append").partitionBy(*keys).parquet(self.location(table))
+
+    def _replace(self, of: str, keys: DataFrame) -> None:
+        """Note that the rows of ``keys`` (context_id, key) before the open version are replaced."""
+        with self.change() as version:
+            rows = keys.select(F.lit(of).alias("of"), "context_id", F.col("key").cast("string"), F.lit(version).alias("version"))
+            rows.write.mode("append").partitionBy("of", "version").parquet(self.location("changes"))
+
+    def _stored_ids(self, table: str, doc_ids: DataFrame) -> DataFrame:
+        """Those of the documents (context_id, doc_id) that the table has rows of; only ids are read."""
+        seen = self._seen()
+        listed = self._bucketed(table, doc_ids.select("context_id", "doc_id")).distinct()
+        # Context and bucket are part of the key, so folders that hold none of the documents are left out while running.
+        rows = self._load(table, None).join(listed, ["context_id", "bucket", "doc_id"], "left_semi")
+        return self._live(table, rows, seen).select("context_id", "doc_id").distinct()
+
+    def replace_documents(self, table: str, rows: DataFrame, doc_ids: DataFrame) -> None:
         """Rows of the listed documents (context_id, doc_id) give way to ``rows``; all other rows stay.
 
         ``rows`` and ``doc_ids`` should come from written tables; they are read more than once.
         """
-        rows = self._bucketed(table, self._conform(table, rows))
-        listed = self._bucketed(table, doc_ids.select("context_id", "doc_id"))
-        scope = scope or self._scope(table, listed)
-        current = self._read_scope(table, *scope)
-        kept = current.join(listed.select("context_id", "doc_id"), ["context_id", "doc_id"], "left_anti")
-        self._swap(table, kept.select(*rows.columns).unionByName(rows), *scope)
+        with self.change():
+            if self._exists(self.location(table)):
+                self._replace(table, self._stored_ids(table, doc_ids).withColumnRenamed("doc_id", "key"))
+            self.append(table, rows)
+
+    def replace_whole(self, tables: dict[str, DataFrame]) -> None:
+        """The documents of ``tables["documents"]`` give up all they had, in every table, for the given rows.
+
+        As in an upsert the source type stays. The frames should come from written tables.
+        """
+        with self.change():
+            documents = tables["documents"]
+            if self._exists(self.location("documents")):
+                merged = self._with_old_type(documents)
+                self._replace("document", self._stored_ids("documents", documents).withColumnRenamed("doc_id", "key"))
+                tables = {**tables, "documents": merged}
+            for table, rows in tables.items():
+                self.append(table, rows)
+
+    def _with_old_type(self, rows: DataFrame) -> DataFrame:
+        """Rows for the documents table with the source type of the stored document, where there is one."""
+        old = self._live("documents", self._load("documents", None), self._seen())
+        old = old.select("context_id", "bucket", "doc_id", F.col("source_type").alias("_old_type"))
+        placed = self._bucketed("documents", self._conform("documents", rows))
+        kept = placed.join(old, ["context_id", "bucket", "doc_id"], "left")
+        return kept.withColumn("source_type", F.coalesce("_old_type", "source_type"))
 
     # Contexts ----------------------------------------------------------------------------------------------------
 
@@ -221,67 +229,80 @@ class Corpus:
     def embedding_model(self, name: str) -> str | None:
         return self.read("contexts").where(F.col("name") == name).select("embedding_model").first()[0]
 
+    def update_context(self, name: str, now: datetime | None = None, **values) -> None:
+        """Set fields of a context's row; ``updated_at`` becomes ``now``."""
+        row = self.read("contexts").where(F.col("name") == name).first()
+        if row is None:
+            raise ValueError(f"context {name!r} not found")
+        fields = {**row.asDict(), "updated_at": now or datetime.now(), **values}
+        new = self.spark.createDataFrame([tuple(fields.values())], schema.TABLES["contexts"])
+        with self.change():
+            self._replace("contexts", new.select("context_id", F.col("context_id").alias("key")))
+            self.append("contexts", new)
+
     def use_model(self, name: str, model: str) -> None:
         """Record the model whose vectors a context holds; a context that has chunks of another one is an error."""
         known = self.embedding_model(name)
         if known == model:
             return
-        cid = self.context_id(name)
-        if not self.read("chunks", cid).isEmpty():
+        if not self.read("chunks", self.context_id(name)).isEmpty():
             raise ValueError(f"context {name!r} holds vectors of {known!r}, not of {model!r}")
-        contexts = self.read("contexts", bucket=True)
-        scope = self._scope("contexts", contexts.where(F.col("context_id") == cid))
-        changed = F.when(F.col("context_id") == cid, F.lit(model)).otherwise(F.col("embedding_model"))
-        self._swap("contexts", self._read_scope("contexts", *scope).withColumn("embedding_model", changed), *scope)
+        self.update_context(name, embedding_model=model)
 
     def list_contexts(self, name: str | None = None) -> DataFrame:
         return ctx_ops.list_contexts(self.read("contexts"), self.read("documents"), name)
 
     def delete_context(self, name: str) -> None:
-        """Drop a context with its documents, raw texts, chunks, snippets and job events."""
+        """Drop a context with its documents, raw texts, chunks, snippets and job events: one row that ends them all."""
+        gone = [(self.context_id(name), "")]
+        self._replace("context", self.spark.createDataFrame(gone, "context_id string, key string"))
+
+    def compact(self, name: str) -> None:
+        """Write what a context holds under one new version; its older versions and changes no longer count."""
         cid = self.context_id(name)
-        for table in ("documents", "raw_documents", "chunks", "code_snippets"):
-            fs, path = self._fs(f"{self.location(table)}/context_id={cid}")
-            if fs.exists(path):
-                fs.delete(path, True)
-        for table in ("job_events", "contexts"):
-            if self._exists(self.location(table)):
-                mine = self.read(table, bucket=True).where(F.col("context_id") == cid)
-                scope = self._scope(table, mine)
-                if scope[0]:
-                    current = self._read_scope(table, *scope)
-                    self._swap(table, ctx_ops.delete_context(current, cid), *scope)
+        tables = {t: self.read(t, cid) for t in schema.TABLES}
+        with self.change():
+            self.delete_context(name)
+            for table, rows in tables.items():
+                self.append(table, rows)
 
     # Documents ---------------------------------------------------------------------------------------------------
 
-    def upsert_documents(self, df: DataFrame, scope=None) -> None:
-        """Upsert rows (context_id, url, title, content, metadata, source_type, indexed_at)."""
-        incoming = self._bucketed("documents", self._conform("documents", doc_ops.latest_documents(df)))
-        scope = scope or self._scope("documents", incoming)
-        current = self._read_scope("documents", *scope)
-        self._swap("documents", doc_ops.upsert_documents(current, incoming), *scope)
+    def upsert_documents(self, df: DataFrame) -> None:
+        """Upsert rows (context_id, url, title, content, metadata, source_type, indexed_at).
+
+        Everything is replaced but the id and the source type.
+        """
+        with self._written(doc_ops.latest_documents(df)) as rows:
+            self.replace_documents("documents", self._with_old_type(rows), rows)
 
     def upsert_raw(self, df: DataFrame) -> None:
-        incoming = self._bucketed("raw_documents", self._conform("raw_documents", df))
-        scope = self._scope("raw_documents", incoming)
-        current = self._read_scope("raw_documents", *scope)
-        self._swap("raw_documents", doc_ops.upsert_raw(current, incoming), *scope)
+        with self._written(doc_ops.latest_raw(df)) as rows:
+            self.replace_documents("raw_documents", rows, rows)
 
     def upsert_chunks(self, df: DataFrame) -> None:
-        incoming = self._bucketed("chunks", self._conform("chunks", df))
-        scope = self._scope("chunks", incoming)
-        current = self._read_scope("chunks", *scope)
-        self._swap("chunks", doc_ops.upsert_chunks(current, incoming), *scope)
+        """Upsert chunks on (document, chunk index)."""
+        with self._written(doc_ops.latest_chunks(df)) as rows, self.change():
+            key = F.concat_ws(":", "doc_id", "chunk_index").alias("key")
+            self._replace("chunk", rows.select("context_id", key))
+            self.append("chunks", rows)
+
+    @contextmanager
+    def _written(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` as a table in the scratch folder, for writes that read their rows more than once."""
+        path = shared_dir(self.spark, "upsert")
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            discard(self.spark, path)
 
     def delete_documents(self, name: str, ids: DataFrame) -> int:
         """Delete documents of a context by id, with their children; the number deleted."""
         cid = self.context_id(name)
-        gone = ids.select(F.col(ids.columns[0]).alias("doc_id"), F.lit(cid).alias("context_id"))
+        gone = ids.select(F.col(ids.columns[0]).cast("string").alias("doc_id"), F.lit(cid).alias("context_id"))
         deleted = doc_ops.deleted_count(self.read("documents", cid), cid, gone.select("doc_id")).first()["deleted"]
-        scope = self.scope_of(gone)
-        for table in ("code_snippets", "chunks", "raw_documents", "documents"):
-            if self._exists(self.location(table)):
-                self.replace_documents(table, self.read(table).limit(0), gone, scope)
+        self._replace("document", self._stored_ids("documents", gone).withColumnRenamed("doc_id", "key"))
         return deleted
 
     def statistics(self) -> DataFrame:
@@ -290,9 +311,11 @@ class Corpus:
         )
 
     def refresh_counts(self, name: str) -> None:
-        """Write each document's chunk total anew."""
+        """Count each document's chunks again; only documents whose total was another are written."""
         cid = self.context_id(name)
-        documents = self._bucketed("documents", self.read("documents", cid))
-        counted = doc_ops.with_chunk_counts(documents.drop("chunk_count"), self.read("chunks", cid))
-        self._swap("documents", counted, list(range(self.buckets)), [cid])
-
+        documents = self.read("documents", cid)
+        counts = doc_ops.with_chunk_counts(documents.select("context_id", "doc_id"), self.read("chunks", cid))
+        old = documents.select("doc_id", F.col("chunk_count").alias("_old"))
+        with self._written(counts.join(old, "doc_id").where("not chunk_count <=> _old").drop("_old")) as wrong:
+            new = documents.drop("chunk_count").join(wrong.select("doc_id", "chunk_count"), "doc_id")
+            self.replace_documents("documents", new, wrong)

@@ -1,9 +1,11 @@
+import os
 import shutil
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from doclake import session
 from doclake.functions.vectors import HashEmbedder
 from doclake.operators import documents as D
 from doclake.operators import ledger as L
@@ -213,39 +215,128 @@ def test_indexes(corpus, spark):
         assert [(r["chunk_id"], round(r["score"], 6)) for r in near] == [(r["chunk_id"], round(r["score"], 6)) for r in both]
 
 
-@pytest.mark.parametrize("step", range(9))
-def test_interrupted_upsert_is_all_or_nothing(spark, tmp_path, monkeypatch, step):
-    c = Corpus(spark, str(tmp_path / "c"), buckets=4)
+UPSERT = "context_id string, url string, title string, content string, metadata map<string,string>, indexed_at timestamp, source_type string"
+
+
+def twenty(spark, path):
+    """A corpus of twenty documents in four buckets, and the same documents with ten new titles."""
+    c = Corpus(spark, str(path), buckets=4)
     rows = [("ctx", f"http://x/{i}", f"t{i}", "text", None, NOW, "url") for i in range(20)]
-    columns = "context_id string, url string, title string, content string, metadata map<string,string>, indexed_at timestamp, source_type string"
-    c.upsert_documents(spark.createDataFrame(rows, columns))
-    before = {(r["url"], r["title"]) for r in c.read("documents").collect()}
+    c.upsert_documents(spark.createDataFrame(rows, UPSERT))
     changed = [(*r[:2], "new", *r[3:]) for r in rows[:10]]
-    after = {(r[1], r[2]) for r in changed + rows[10:]}
+    return c, rows, changed
+
+
+def titles(corpus):
+    return {(r["url"], r["title"]) for r in corpus.read("documents").collect()}
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_interrupted_upsert_is_all_or_nothing(spark, tmp_path, monkeypatch, step):
+    c, rows, changed = twenty(spark, tmp_path / "c")
+    before, after = titles(c), {(r[1], r[2]) for r in changed + rows[10:]}
     calls = 0
 
-    def failing(real):
+    def failing(real, late):
         def run(self, *args):
             nonlocal calls
             calls += 1
+            if calls == step + 1 and not late:
+                raise OSError("interrupted")
+            out = real(self, *args)
             if calls == step + 1:
                 raise OSError("interrupted")
-            return real(self, *args)
+            return out
 
         return run
 
+    for late in (False, True):
+        calls = 0
+        with monkeypatch.context() as m:
+            for name in ("_replace", "append", "_commit"):
+                m.setattr(Corpus, name, failing(getattr(Corpus, name), late))
+            try:
+                c.upsert_documents(spark.createDataFrame(changed, UPSERT))
+            except OSError:
+                pass
+        assert titles(Corpus(spark, c.path, buckets=4)) == (after if step == 3 or (step == 2 and late) else before)
+    c.upsert_documents(spark.createDataFrame(changed, UPSERT))
+    assert titles(c) == after
+
+
+def test_a_reader_between_the_steps_of_a_write(spark, tmp_path, monkeypatch):
+    """Readers see the old or the new state whole, write nothing, and frames planned before go on reading the old one."""
+    c, rows, changed = twenty(spark, tmp_path / "c")
+    before, after = titles(c), {(r[1], r[2]) for r in changed + rows[10:]}
+    other, planned, seen = Corpus(spark, c.path, buckets=4), c.read("documents"), []
+
+    def watched(real):
+        def run(self, *args):
+            seen.append(titles(other))
+            real(self, *args)
+            seen.append(titles(other))
+
+        return run
+
+    with monkeypatch.context() as m:
+        for name in ("_replace", "append", "_commit"):
+            m.setattr(Corpus, name, watched(getattr(Corpus, name)))
+        c.upsert_documents(spark.createDataFrame(changed, UPSERT))
+    assert seen[-1] == after and all(s == before for s in seen[:-1])
+    assert {(r["url"], r["title"]) for r in planned.collect()} == before and titles(other) == after
+
+
+def test_small_upserts_write_little(spark, tmp_path):
+    def rows_written(corpus):
+        return spark.read.parquet(corpus.location("documents")).count()
+
+    c, rows, changed = twenty(spark, tmp_path / "c")
+    for k in range(3):
+        c.upsert_documents(spark.createDataFrame([(*changed[0][:2], f"v{k}", *changed[0][3:])], UPSERT))
+    assert rows_written(c) == 23 and len(titles(c)) == 20
+    c.register(spark.createDataFrame([("named",)], "name string"), NOW)
+    cid = c.context_id("named")
+    c.upsert_documents(spark.createDataFrame([(cid, *r[1:]) for r in rows], UPSERT))
+    c.upsert_documents(spark.createDataFrame([(cid, *r[1:]) for r in changed], UPSERT))
+    state = titles(c)
+    c.compact("named")
+    assert titles(c) == state and c.context_id("named") == cid
+    live = c.read("documents", cid, [c.read("documents", cid).first()["doc_id"]])
+    assert live.count() == 1
+    assert "bucket#" in live._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_nothing_is_left_in_the_scratch_folder(corpus, spark):
+    root = os.path.dirname(session.shared_dir(spark, "x").removeprefix("file:"))
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    put(corpus, "b", pages(spark, ("http://x/2/", "Other two", "different words here")))
+    merge_contexts(corpus, ["a", "b"], "both", now=NOW)
+    kinds = [name.split("-")[:-1] for name in set(os.listdir(root)) - before]
+    kinds = [k for k in kinds if k[0] in ("ingest", "merge", "upsert", "import")]
+    assert kinds == [["ingest", "summary"]]  # which the ingest returned
+
+
+def test_a_merge_that_stops_leaves_nothing(corpus, spark, monkeypatch):
+    put(corpus, "b", pages(spark, ("http://x/9", "Nine", "ninth page text")))
+    real, calls = Corpus.append, 0
+
+    def failing(self, *args):
+        nonlocal calls
+        calls += 1
+        if calls == 4:
+            raise OSError("interrupted")
+        return real(self, *args)
+
     with monkeypatch.context() as m:
-        m.setattr(Corpus, "_move", failing(Corpus._move))
-        m.setattr(Corpus, "_remove", failing(Corpus._remove))
-        try:
-            c.upsert_documents(spark.createDataFrame(changed, columns))
-        except OSError:
-            pass
-    got = {(r["url"], r["title"]) for r in Corpus(spark, c.path, buckets=4).read("documents").collect()}
-    assert got == (before if step == 0 else after)
-    c.upsert_documents(spark.createDataFrame(changed, columns))
-    assert {(r["url"], r["title"]) for r in c.read("documents").collect()} == after
-    assert not list((tmp_path / "c" / "_intents").iterdir())
+        m.setattr(Corpus, "append", failing)
+        with pytest.raises(OSError):
+            merge_contexts(corpus, ["a", "b"], "both", now=NOW)
+    assert not corpus.has_context("both") and corpus.read("chunks").select("context_id").distinct().count() == 2
+    merge_contexts(corpus, ["a", "b"], "both", now=NOW)
+    assert counts(corpus, "both")[0] == 3
+    later = datetime(2024, 5, 5)
+    merge_contexts(corpus, ["a", "b"], "both", now=later)
+    assert corpus.list_contexts("both").first()["updated_at"] == later
 
 
 def test_failed_pages_leave_a_row(corpus, spark):
