@@ -18,8 +18,8 @@ kind by two characters and a rank. After the last merge all windows stand in the
 least, equal ones side by side: neighbours are compared, and of a run of equal windows all but the earliest are covered. The
 other places of a phrase, which come after its first, are covered whole.
 
-**On Spark.** A phrase has at most 165 bytes, so ranks at neighbouring positions are found in the task that holds the phrase.
-Ordering goes to buckets between sampled 27-byte beginnings, the same ones on every level, so that no comparison crosses
+**On Spark.** Phrases that follow each other are joined to stretches of bounded length, so ranks at neighbouring positions
+are found in the task that holds the stretch. Ordering goes to buckets between sampled 27-byte beginnings, the same ones on every level, so that no comparison crosses
 buckets. Each level is one job of two shuffles and one written table of ranks.
 
 Documents are ordered by id, NULL first, those that share an id by a hash of their texts. Rows with the same id and text count
@@ -46,11 +46,12 @@ SPREAD = WINDOW - GRAM + 1
 #: The same for what different phrases share; longer grams leave less text by chance.
 LONG_GRAM = 80
 LONG_SPREAD = WINDOW - LONG_GRAM + 1
-#: Longest phrase, and columns of a task's table of phrases (room to look three names further).
-PHRASE = SPREAD + WINDOW
-WIDTH = PHRASE + 3 * 27 + 27
-#: Bytes of text, phrases, and rows worked on at a time.
-SLICE_BYTES, PHRASES_AT_ONCE = 4_000_000, 4096
+#: Window starts of a stretch at most, its bytes, and zeros behind it (room to look four names further).
+STARTS = 1024
+STRETCH = STARTS + WINDOW
+ROOM = 5 * 27
+#: Bytes of text, and rows of ranks, worked on at a time.
+SLICE_BYTES, ROWS_AT_ONCE = 4_000_000, 250_000
 #: Positions in a bucket, about, and sampled beginnings per bucket.
 BUCKET_ROWS, PER_BUCKET = 400_000, 40
 BEGINNING = 27
@@ -252,33 +253,55 @@ def _cut_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done()
 
 
-_SEGMENT = "pid long, core int, body binary"
-#: A segment's number is its phrase's number and its start in it, so that numbers go on in the order of first places.
-START_BITS = 8
+_PIECE = "doc_id long, text_hash long, start int, core int, body binary"
 
 
-def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The parts of phrases whose windows hold a long gram that occurs twice."""
-    names = [c.split(" ")[0] for c in _SEGMENT.split(", ")]
     for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        columns = (batch.column(c) for c in ("key", "core", "body", "places"))
-        for key, core, body, places in zip(*columns):
-            text, number, cores = body.as_py(), key.as_py(), core.as_py()
-            ends = np.unique(places.values.to_numpy()).tolist()
+        out: list[list] = [[] for _ in _PIECE.split(", ")]
+        columns = (batch.column(c) for c in ("doc_id", "text_hash", "start", "core", "body", "places"))
+        for doc_id, text_hash, start, core, body, places in zip(*columns):
+            text, first, cores = body.as_py(), start.as_py(), core.as_py()
             a = e = None
-            for end in [*ends, None]:
+            for end in [*np.unique(places.values.to_numpy()).tolist(), None]:
                 if a is not None and (end is None or end - LONG_SPREAD + 1 > e + 1):
-                    if a < min(e + 1, cores):
-                        for value, column in zip((number << START_BITS | a, min(e + 1, cores) - a, text[a : e + WINDOW]), out):
+                    last = min(e + 1, cores)
+                    if a < last:
+                        values = (doc_id.as_py(), text_hash.as_py(), first + a, last - a, text[a : last - 1 + WINDOW])
+                        for value, column in zip(values, out):
                             column.append(value)
                     a = None
                 if end is not None:
                     a, e = (max(end - LONG_SPREAD + 1, 0) if a is None else a), end
-        kinds = (pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = [c.split(" ")[0] for c in _PIECE.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
 
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of pieces, sorted by document and start, whose bytes overlap or meet. The windows between them come along."""
+    names = [c.split(" ")[0] for c in _PIECE.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    held: list | None = None
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for doc_id, text_hash, start, core, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if held is not None and held[:2] == [doc_id, text_hash]:
+                meets = start <= held[2] + len(held[4]) and start + core - held[2] <= STARTS
+                if meets:
+                    held[4] += body[held[2] + len(held[4]) - start :]
+                    held[3] = start + core - held[2]
+                    continue
+            if held is not None:
+                for value, column in zip(held, out):
+                    column.append(value)
+            held = [doc_id, text_hash, start, core, body]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(held, kinds)], names)
+
+
 # The difference cover ---------------------------------------------------------------------------------------------------
 
 
@@ -295,8 +318,8 @@ def kind(level: int, offsets: np.ndarray) -> np.ndarray:
     return (offsets // 3**level) % 3
 
 
-class _Phrases:
-    """Some phrases with the ranks of their positions, as tables of one row per phrase."""
+class _Stretches:
+    """Some stretches with the ranks of their positions, one after another with zeros between them."""
 
     def __init__(self, table: pa.Table):
         offset = table.column("place").to_numpy()
@@ -306,50 +329,53 @@ class _Phrases:
         data, starts = _bytes(table.column("body").combine_chunks().filter(pa.array(lead)))
         self.length = np.diff(starts)
         self.core = table.column("core").to_numpy(zero_copy_only=False)[lead].astype(np.int64)
-        self.text = np.zeros((len(self.pid), WIDTH), np.uint8)
-        row = np.repeat(np.arange(len(self.pid)), self.length)
-        self.text[row, np.arange(len(data)) - starts[row]] = data
+        self.start = starts[:-1] + ROOM * np.arange(len(self.pid))
+        size = len(data) + ROOM * len(self.pid)
+        self.text = np.zeros(size, np.uint8)
+        self.text[np.arange(len(data)) + np.repeat(ROOM * np.arange(len(self.pid)), self.length)] = data
         level = table.column("level").to_numpy()
         value = table.column("value").to_numpy(zero_copy_only=False)
         self.ranks = {}
         for k in np.unique(level[~lead]).tolist():
             mine = (level == k) & ~lead
-            ranks = np.zeros((len(self.pid), WIDTH), np.int64)
-            ranks[np.searchsorted(self.pid, pid[mine]), offset[mine]] = value[mine]
+            ranks = np.zeros(size, np.int64)
+            ranks[self.start[np.searchsorted(self.pid, pid[mine])] + offset[mine]] = value[mine]
             self.ranks[k] = ranks
 
-    def positions(self, level: int, reach: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Row and offset of the positions of a level whose ranks are needed; all of them if ``reach`` is None."""
+    def positions(self, level: int, reach: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, offset and place of the positions of a level whose ranks are needed; all of them if ``reach`` is None."""
         last = self.length if reach is None else np.minimum(self.length, self.core + reach)
         if level == 0:
             last = np.minimum(self.core, self.length - WINDOW + 1)
-        offsets = np.flatnonzero(on_level(level, np.arange(PHRASE)))
-        row, at = np.nonzero(offsets[None, :] < last[:, None])
-        return row, offsets[at]
-
-    def words(self, row: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-        """``n`` bytes from each position as big-endian words, zeros behind."""
+        row = np.repeat(np.arange(len(self.pid)), last)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(last) - last, last)
+        there = on_level(level, at)
+        row, at = row[there], at[there]
+        return row, at, self.start[row] + at
+
+    def words(self, place: np.ndarray, n: int) -> list[np.ndarray]:
+        """``n`` bytes from each place as big-endian words, zeros behind."""
         size = -(-n // 8)
-        out = np.zeros((len(row), 8 * size), np.uint8)
-        out[:, :n] = np.lib.stride_tricks.sliding_window_view(self.text, n, axis=1)[row, at]
-        return list(out.view(">u8").astype(np.uint64).view(np.int64).T)
+        out = np.zeros((len(place), 8 * size), np.uint8)
+        out[:, :n] = np.lib.stride_tricks.sliding_window_view(self.text, n)[place]
+        return list(out.view(">u8").astype(np.uint64).T)
 
-    def beginnings(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        view = np.lib.stride_tricks.sliding_window_view(self.text, BEGINNING, axis=1)
-        return np.ascontiguousarray(view[row, at]).view(f"S{BEGINNING}").ravel()
+    def beginnings(self, place: np.ndarray) -> np.ndarray:
+        view = np.lib.stride_tricks.sliding_window_view(self.text, BEGINNING)
+        return np.ascontiguousarray(view[place]).view(f"S{BEGINNING}").ravel()
 
-    def window_hashes(self, row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    def window_hashes(self, place: np.ndarray) -> list[np.ndarray]:
         out = []
         for table, base, inverse in ((_TABLE, _BASE, _INVERSE), _OTHER):
-            sums = np.zeros((len(self.pid), WIDTH + 1), np.uint64)
-            np.cumsum(table[self.text] * _powers(base, WIDTH), axis=1, out=sums[:, 1:])
-            window = (sums[row, at + WINDOW] - sums[row, at]) * _powers(inverse, WIDTH)[at]
-            out.append(_scrambled(window).view(np.int64))
+            n = len(self.text)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[self.text] * _powers(base, n), out=sums[1:])
+            out.append(_scrambled((sums[place + WINDOW] - sums[place]) * _powers(inverse, n)[place]))
         return out
 
 
-def _by_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[_Phrases]:
-    """Whole phrases from rows sorted by pid, place."""
+def _by_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Stretches]:
+    """Whole stretches from rows sorted by pid, place."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -358,12 +384,12 @@ def _by_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[_Phrases]:
         held.append(batch)
         rows += batch.num_rows
         pids = batch.column("pid").to_numpy()
-        if rows >= 60 * PHRASES_AT_ONCE and pids[0] != pids[-1]:
+        if rows >= ROWS_AT_ONCE and pids[0] != pids[-1]:
             cut = int(np.searchsorted(pids, pids[-1]))
-            yield _Phrases(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+            yield _Stretches(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
             held, rows = [batch.slice(cut)], batch.num_rows - cut
     if rows:
-        yield _Phrases(pa.Table.from_batches(held))
+        yield _Stretches(pa.Table.from_batches(held))
 
 
 def _ask(level: int | str, splitters: np.ndarray) -> tuple[Callable, str]:
@@ -373,33 +399,33 @@ def _ask(level: int | str, splitters: np.ndarray) -> tuple[Callable, str]:
     elif level == 4:
         columns = [f"w{k}" for k in range(4)]
     else:
-        columns = [f"w{k}" for k in range({3: 2, 2: 3, 1: 1, 0: 1}[level])] + ["x", "y"]
-        columns += ["h1", "h2"] if level == 0 else []
+        columns = [f"w{k}" for k in range({3: 2, 2: 3, 1: 1, 0: 1}[level])]
+        columns += ["hash", "x", "y"] if level == 0 else ["x", "y"]
     names = ["bucket", "pid", "place", *columns]
 
-    def keys(p: _Phrases, row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    def keys(p: _Stretches, at: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         if level == "names":
-            return p.words(row, at, 27)
+            return p.words(place, 27)
         if level == 4:
-            return [p.ranks[3][row, at + 27 * k] for k in range(4)]
+            return [p.ranks[3][place + 27 * k] for k in range(4)]
         step = 3**level
         ranks, of = p.ranks[level + 1], kind(level, at)
-        if level == 3:
-            out = [p.ranks[3][row, at], p.ranks[3][row, at + step]]
-        else:
-            out = p.words(row, at, 2 * step)
-        one, two = ranks[row, at + step], ranks[row, at + 2 * step]
-        out += [np.where(of == 0, one, ranks[row, at]), np.where(of == 1, one, two)]
-        return out + (p.window_hashes(row, at) if level == 0 else [])
+        out = [p.ranks[3][place], p.ranks[3][place + step]] if level == 3 else p.words(place, 2 * step)
+        one, two = ranks[place + step], ranks[place + 2 * step]
+        if level == 0:
+            # The two bytes of a pair leave room for most of a second hash.
+            first, second = p.window_hashes(place)
+            out = [out[0] | (second >> np.uint64(16)), first]
+        return out + [np.where(of == 0, one, ranks[place]), np.where(of == 1, one, two)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _by_phrases(batches):
+        for p in _by_stretches(batches):
             at_level = 3 if level == "names" else level
-            row, at = p.positions(at_level, None if level == "names" else REACH[level])
+            row, at, place = p.positions(at_level, None if level == "names" else REACH[level])
             if not len(row):
                 continue
-            bucket = np.searchsorted(splitters, p.beginnings(row, at), side="right").astype(np.int32)
-            values = [bucket, p.pid[row], at.astype(np.int32), *keys(p, row, at)]
+            bucket = np.searchsorted(splitters, p.beginnings(place), side="right").astype(np.int32)
+            values = [bucket, p.pid[row], at.astype(np.int32), *(k.view(np.int64) for k in keys(p, at, place))]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
 
     return ask, ", ".join(["bucket int", "pid long", "place int", *[f"{c} long" for c in columns]])
@@ -420,6 +446,8 @@ def _count_below(mine: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray
     return below[:n]
 
 
+#: The two bytes of a pair, at the front of a word.
+_PAIR = np.uint64(0xFFFF << 48)
 #: Of the words of two characters, those bits that belong to the first one.
 _FIRST = {3: (~0, 0), 2: (~0, 0xFF << 56, 0), 1: (0xFFFFFF << 40,), 0: (0xFF << 56,)}
 
@@ -453,21 +481,23 @@ def _rank(level: int | str) -> tuple[Callable, str]:
         words = [column[n].view(np.uint64) for n in sorted(column) if n.startswith("w")]
         high = column["bucket"].astype(np.int64) << LOCAL_BITS
         del table
+        if level == 0:
+            hashes, words = words[0] & ~_PAIR, [words[0] & _PAIR]
         if level in ("names", 4):
             order = _order(words)
         else:
             order = merged(level, column["place"], words, column["x"], column["y"])
         pid, place = column["pid"][order], column["place"][order]
         if level == 0:
-            h1, h2 = column["h1"][order], column["h2"][order]
+            h1, h2 = column["hash"][order], hashes[order]
             new = np.ones(len(order), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             begins = np.flatnonzero(new)
             sizes = np.diff(np.append(begins, len(order)))
-            # Phrases are numbered by their first places, so the smallest (pid, place) starts earliest.
+            # Stretches are numbered by their places, so the smallest (pid, place) starts earliest.
             owner = np.minimum.reduceat(pid, begins)
             mine = pid == np.repeat(owner, sizes)
-            start = np.minimum.reduceat(np.where(mine, place, PHRASE), begins)
+            start = np.minimum.reduceat(np.where(mine, place, STRETCH), begins)
             covered = ~(mine & (place == np.repeat(start, sizes)))
             values = [pid[covered], place[covered]]
         else:
@@ -570,14 +600,14 @@ def repeated_phrases(texts: DataFrame, tables: _Tables) -> DataFrame:
     return phrases
 
 
-def covered_windows(dictionary: DataFrame, tables: _Tables) -> DataFrame:
-    """pid and place of every window of the distinct phrases that also starts earlier, by the suffix array."""
-    spark = dictionary.sparkSession
-    count, cores = dictionary.agg(F.count("*"), F.coalesce(F.sum("core"), F.lit(0))).first()
+def covered_windows(stretches: DataFrame, tables: _Tables) -> DataFrame:
+    """pid and runs (low to high) of the windows of stretches that also start earlier, by the suffix array."""
+    spark = stretches.sparkSession
+    count, cores = stretches.agg(F.count("*"), F.coalesce(F.sum("core"), F.lit(0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cores) // BUCKET_ROWS + 1)
-    splitters = _splitters(dictionary, buckets, int(count))
+    splitters = _splitters(stretches, buckets, int(count))
     nothing = F.lit(None)
-    leads = dictionary.select(
+    leads = stretches.select(
         "pid", F.lit(-1).alias("place"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("value"), "body", "core"
     )
 
@@ -650,35 +680,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = _Tables(spark)
     texts = _texts(df, id_col, text_col)
     phrases = repeated_phrases(texts, tables)
-    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_hash", "start", "core", "body")
-    distinct = tables.write("distinct", phrases.groupBy("one", "two").agg(F.min(place).alias("at")))
-    by_place = distinct.select("one", "two", "at.*").repartitionByRange("has_id", "doc_id", "text_hash", "start")
-    numbered = by_place.sortWithinPartitions("has_id", "doc_id", "text_hash", "start")
-    dictionary = tables.write("dictionary", numbered.withColumn("pid", F.monotonically_increasing_id()))
-    tables.drop("distinct")
-    shared = repeated_anchors(dictionary.select(F.col("pid").alias("key"), "body"), LONG_GRAM, tables, "shared")
-    whole = dictionary.select(F.col("pid").alias("key"), "core", "body").join(shared.hint("merge"), "key")
-    segments = tables.write("segments", whole.mapInArrow(_cut_segments, _SEGMENT))
-    tables.drop("shared")
-    found = covered_windows(segments, tables)
-    tables.drop("segments")
-    start = F.col("pid").bitwiseAND((1 << START_BITS) - 1).cast("int")
-    spans = found.select(
-        F.shiftright("pid", START_BITS).alias("pid"), (F.col("low") + start).alias("low"), (F.col("high") + start).alias("high")
-    )
-    first = dictionary.select(
-        "one", "two", "pid", *[F.col(c).alias(f"first_{c}") for c in ("doc_id", "text_hash", "start")]
-    )
-    met = phrases.select("one", "two", "doc_id", "text_hash", "start", F.length("body").alias("size")).join(
-        first.hint("merge"), ["one", "two"]
-    )
-    is_first = (
-        F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-        & (F.col("text_hash") == F.col("first_text_hash"))
-        & (F.col("start") == F.col("first_start"))
-    )
-    later = met.where(~is_first).select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    here = dictionary.select("pid", "doc_id", "text_hash", "start").join(spans.hint("merge"), "pid")
+    where = ["doc_id", "text_hash", "start"]
+    place = F.struct(F.col("doc_id").isNotNull().alias("has_id"), *where, "core", "body")
+    distinct = phrases.groupBy("one", "two").agg(F.min(place).alias("at"))
+    dictionary = tables.write("dictionary", distinct.select("one", "two", "at.*", F.monotonically_increasing_id().alias("key")))
+    first = dictionary.select("one", "two", *[F.col(c).alias(f"first_{c}") for c in where])
+    # All places of a phrase but its first are covered whole.
+    is_first = F.lit(True)
+    for c in where:
+        is_first = is_first & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    met = phrases.select("one", "two", *where, F.length("body").alias("size")).join(first.hint("merge"), ["one", "two"])
+    ends = [F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")]
+    later = tables.write("later", met.where(~is_first).select("doc_id", "text_hash", *ends))
+    tables.drop("phrases")
+    shared = repeated_anchors(dictionary.select("key", "body"), LONG_GRAM, tables, "shared")
+    whole = dictionary.select("key", *where, "core", "body").join(shared.hint("merge"), "key")
+    pieces = tables.write("pieces", whole.mapInArrow(_cut_shared, _PIECE))
+    tables.drop("shared", "dictionary")
+    in_order = [F.col("doc_id").asc_nulls_first(), "text_hash", "start"]
+    ordered = pieces.repartitionByRange(*in_order).sortWithinPartitions(*in_order).mapInArrow(_join_pieces, _PIECE)
+    stretches = tables.write("stretches", ordered.withColumn("pid", F.monotonically_increasing_id()))
+    tables.drop("pieces")
+    spans = covered_windows(stretches, tables)
+    here = stretches.select("pid", *where).join(spans.hint("merge"), "pid")
     partly = here.select(
         "doc_id", "text_hash", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + WINDOW).alias("b")
     )
@@ -686,7 +710,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "covers",
         later.unionByName(partly).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("covers")),
     )
-    tables.drop("phrases", "dictionary", "spans")
+    tables.drop("later", "stretches", "spans")
     renamed = covers.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "covers").hint("merge")
     same = texts["doc_id"].eqNullSafe(renamed["_id"]) & (texts["text_hash"] == renamed["_hash"])
     return texts.join(renamed, same, "left").select("doc_id", "body", "covers").mapInArrow(_removed, _RESULT)
