@@ -473,7 +473,7 @@ def _chunks_markdown(spark, sf):
 @query(
     "first_span",
     """
-    WITH p AS (SELECT doc_id, i, text, substr(text, i * 500 + 1, 60) AS piece
+    WITH p AS (SELECT doc_id, i, text, substr(text, i * 500 + 1, 500) AS piece
                FROM documents, unnest(range(0, (n_chars + 499) // 500)) AS u(i))
     SELECT doc_id, i, instr(text, piece) - 1 AS char_start, instr(text, piece) - 1 + length(piece) AS char_end FROM p
     """,
@@ -482,7 +482,7 @@ def _first_span(spark, sf):
     d = table(spark, sf, "documents").where(F.col("n_chars") > 0)
     last = F.floor((F.col("n_chars") + 499) / 500) - 1
     parts = d.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    piece = F.substring("text", (F.col("i") * 500 + 1).cast("int"), F.lit(60))
+    piece = F.substring("text", (F.col("i") * 500 + 1).cast("int"), F.lit(500))
     return parts.select("doc_id", "i", K.first_span("text", piece).alias("s")).select("doc_id", "i", "s.*")
 
 

@@ -68,11 +68,6 @@ def _shape(files: DataFrame) -> DataFrame:
     return shaped.withColumn("content_length", F.length("content"))
 
 
-def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text files as documents (url, title, content, source_file, file_size, ...)."""
-    return _shape(spark.read.format("binaryFile").load(paths))
-
-
 def _qualified(spark: SparkSession, root: str) -> str:
     """The root with the scheme of its file system, without a slash at its end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -185,6 +180,53 @@ def read_directory(
     return _shape(_read_bytes(chosen.repartition(F.col("path"))))
 
 
+def _glob_regex(pattern: str) -> str:
+    """A path pattern of *, ?, [...] and {a,b} as a regular expression."""
+    out, depth, i = "", 0, 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "[" and "]" in pattern[i:]:
+            end = pattern.index("]", i)
+            out, i = out + "[" + pattern[i:end].replace("!", "^", 1) + "]", end + 1
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        else:
+            out += "|" if c == "," and depth else re.escape(c)
+    return f"^{out}$"
+
+
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Text files as documents (url, title, content, source_file, file_size, ...).
+
+    A path is a file, a folder (the files directly in it) or a pattern. Names that start with "_" or "." are read like others.
+    """
+    chosen = None
+    for given in [paths] if isinstance(paths, str) else paths:
+        fixed = re.split(r"/[^/]*[*?\[{]", given, maxsplit=1)[0]
+        path = _qualified(spark, fixed)
+        if fixed != given:
+            found = list_files(spark, path).where(F.col("path").rlike(_glob_regex(path + given[len(fixed) :])))
+        elif _is_folder(spark, path):
+            found = list_files(spark, path).where(F.col("path").rlike(f"^{re.escape(path)}/[^/]+$"))
+        else:
+            found = spark.createDataFrame([(path,)], "path string")
+        chosen = found if chosen is None else chosen.unionByName(found)
+    if chosen is None:
+        raise ValueError("no path is given")
+    return _shape(_read_bytes(chosen.distinct().repartition(F.col("path"))))
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
+
+
 def file_report(results: DataFrame) -> DataFrame:
     """Totals over per-file results (file, status): processed, failed (skipped files count as failed), total."""
     processed = F.col("status") == "processed"

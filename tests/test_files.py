@@ -88,3 +88,19 @@ def test_summary_of_nothing(spark):
     done = spark.createDataFrame([], "length int, relevance_score double")
     r = crawl_summary(found, done, scored=True).first()
     assert (r["pages_found"], r["pages_extracted"], r["average_page_size"], r["average_relevance_score"]) == (0, 0, 0, 1.0)
+
+
+def test_read_files_takes_folders_patterns_and_hidden_names(spark, tmp_path):
+    from doclake.sources.files import read_files
+
+    for name in ("a.md", "_b.md", ".c.md", "d.txt", "sub/e.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+
+    def found(*paths):
+        return sorted(r["content"] for r in read_files(spark, [f"{tmp_path}{p}" for p in paths]).collect())
+
+    assert found("") == [".c.md", "_b.md", "a.md", "d.txt"]
+    assert found("/*.md") == [".c.md", "_b.md", "a.md"]
+    assert found("/{a,d}.*") == ["a.md", "d.txt"] and found("/[!a]*.md", "/sub") == [".c.md", "_b.md", "sub/e.md"]
+    assert found("/a.md", "/a.md", "/s?b/*") == ["a.md", "sub/e.md"]
