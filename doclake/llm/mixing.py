@@ -30,8 +30,9 @@ from doclake.llm.common import stored
 DIMENSIONS = ("source", "lang", "topic")
 #: Powers that temper token shares to target shares.
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 1.0}
-#: Raking ends when every weighted share is within TOLERANCE of its target, relatively, or after SWEEPS sweeps.
-TOLERANCE, SWEEPS = 1e-4, 12
+#: Raking ends when every weighted share is within TOLERANCE of its target, relatively, or when a sweep lessens the largest
+#: error by less than this share of it: targets that contradict each other leave an error, which is returned.
+TOLERANCE, LEAST_GAIN = 1e-4, 1e-3
 #: Share of the tokens (of cells with a target) that is drawn at least, in expectation.
 KEPT = 0.5
 SEED = 11
@@ -104,14 +105,27 @@ def tempered_targets(cells: DataFrame, powers: dict[str, float] = POWERS) -> dic
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells with ``weight`` such that the shares of mass * weight meet the targets.
+def remaining_errors(state: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """For each dimension the largest relative difference of a weighted share from its target; one job for all of them."""
+    parts = None
+    for d in DIMENSIONS:
+        now = state.groupBy(d).agg(F.sum(F.col("mass") * F.col("weight")).alias("now")).join(targets[d], d)
+        off = now.where("target > 0").select(F.lit(d).alias("dimension"), F.abs(F.col("now") / F.col("target") - 1).alias("off"))
+        parts = off if parts is None else parts.unionByName(off)
+    found = {r["dimension"]: r["off"] for r in parts.groupBy("dimension").agg(F.max("off").alias("off")).collect()}
+    return {d: found.get(d) or 0.0 for d in DIMENSIONS}
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE
+) -> tuple[DataFrame, dict[str, float]]:
+    """Cells with ``weight`` such that the shares of mass * weight meet the targets, and the errors that remain.
 
     Categories without a target get none of the weight. If targets contradict each other or the cells that occur, the result
     of the last sweep is the closest that raking comes.
     """
-    state = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(sweeps):
+    state, before = cells.withColumn("weight", F.lit(1.0)), float("inf")
+    while True:
         for d in DIMENSIONS:
             now = state.groupBy(d).agg(F.sum(F.col("mass") * F.col("weight")).alias("now"))
             factor = now.join(targets[d], d, "left").select(
@@ -120,27 +134,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
             state = state.join(factor, d).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         # One written table a sweep: plans stay short, and a lost executor costs one sweep.
         state = stored(state.select(*cells.columns, "weight"), "raking")
-        worst = 0.0
-        for d in DIMENSIONS:
-            now = state.groupBy(d).agg(F.sum(F.col("mass") * F.col("weight")).alias("now")).join(targets[d], d)
-            off = now.where("target > 0").agg(F.max(F.abs(F.col("now") / F.col("target") - 1))).first()[0]
-            worst = max(worst, off or 0.0)
-        if worst <= tolerance:
-            break
-    return state
+        errors = remaining_errors(state, targets)
+        worst = max(errors.values())
+        if worst <= tolerance or worst > before * (1 - LEAST_GAIN):
+            return state, errors
+        before = worst
 
 
 def fitted(
     rows: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, DataFrame] | None = None
 ) -> DataFrame:
-    """For each cell of ``rows`` (see ``features``) its mass, weight and expected copies of a document (``probability``)."""
+    """For each cell of ``rows`` (see ``features``) its mass, weight and expected copies of a document (``probability``).
+
+    ``off_source``, ``off_lang`` and ``off_topic`` hold the largest relative error of that dimension's shares that raking left.
+    """
     cells = stored(cells_of(rows), "mixing-cells")
     wanted = targets or {d: stored(t, "mixing-targets") for d, t in tempered_targets(cells, powers).items()}
-    raked = rake(cells, wanted)
+    raked, errors = rake(cells, wanted)
     there = F.sum(F.when(F.col("weight") > 0, F.col("mass")))
     top, drawn, there = raked.agg(F.max("weight"), F.sum(F.col("mass") * F.col("weight")), there).first()
     unit = min(top, drawn / (KEPT * there)) if there else 1.0
-    out = raked.select(*DIMENSIONS, "mass", "weight", (F.col("weight") / F.lit(unit)).alias("probability"))
+    off = [F.lit(error).alias(f"off_{d}") for d, error in errors.items()]
+    out = raked.select(*DIMENSIONS, "mass", "weight", (F.col("weight") / F.lit(unit)).alias("probability"), *off)
+    if max(errors.values()) > TOLERANCE:
+        log.warning("mixing leaves relative errors of %s", errors)
     log.info("mixing draws %.4f of the tokens, at most %.2f copies of a document", kept_share(out), (top or 0.0) / unit)
     return out
 
@@ -169,10 +186,14 @@ def mix(
     targets: dict[str, DataFrame] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (NULL for a cell without tokens), probability, kept and copies of every row."""
+    """doc_id, source, lang, topic, n_tokens, weight (NULL for a cell without tokens), probability, kept and copies of every row.
+
+    The errors that raking left come along (see ``fitted``).
+    """
     rows = stored(features(df, id_col, text_col), "mixing-rows")
     drawn = _drawn(rows, fitted(rows, powers, targets), "doc_id", seed)
-    return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept", "copies")
+    off = [f"off_{d}" for d in DIMENSIONS]
+    return drawn.select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "kept", "copies", *off)
 
 
 def mixed_documents(

@@ -23,13 +23,15 @@ def brute(rows):
     for i, d in enumerate(M.DIMENSIONS):
         raised = {c: m ** M.POWERS[d] for c, m in total(i, ones).items()}
         target.append({c: v / sum(raised.values()) for c, v in raised.items()})
-    weight = ones
-    for _ in range(M.SWEEPS):
+    weight, before = ones, float("inf")
+    while True:
         for i in range(3):
             now = total(i, weight)
             weight = {k: w * target[i][k[i]] / now[k[i]] for k, w in weight.items()}
-        if max(abs(total(i, weight)[c] / t - 1) for i in range(3) for c, t in target[i].items()) <= M.TOLERANCE:
+        worst = max(abs(total(i, weight)[c] / t - 1) for i in range(3) for c, t in target[i].items())
+        if worst <= M.TOLERANCE or worst > before * (1 - M.LEAST_GAIN):
             break
+        before = worst
     return weight, target, mass
 
 
@@ -86,6 +88,13 @@ def test_given_targets(spark, rows):
             assert sum(r.n_tokens * r.probability for r in got if r[d] == c) / expected == pytest.approx(s, rel=1e-3)
 
 
+def test_contradictory_targets_leave_an_error_that_is_told(spark):
+    """Sources of one language each: the language follows from the source, so not both targets can be met."""
+    rows = [(i, "word " * (10 + i % 7), f"l{i % 3}", f"s{i % 3}", "x") for i in range(300)]
+    share = lambda name, shares: spark.createDataFrame([(f"{name[0]}{k}", v) for k, v in enumerate(shares)], f"{name} string, target double")
+    targets = {"source": share("source", [0.6, 0.3, 0.1]), "lang": share("lang", [0.2, 0.3, 0.5]), "topic": spark.createDataFrame([("prose", 1.0)], "topic string, target double")}
+    got = M.mix(spark.createDataFrame(rows, SCHEMA), targets=targets).first()
+    assert got.off_source == pytest.approx(4.0, rel=1e-6) and got.off_lang < 1e-6 and got.off_topic < 1e-6
 
 
 def test_one_row_of_a_rare_source_does_not_thin_out_the_others(spark):
