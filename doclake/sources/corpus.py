@@ -96,10 +96,16 @@ class Corpus:
                 live = live.drop("_context", "_key", "_until")
         return live
 
-    def read(self, table: str, context_id: str | list[str] | None = None, doc_ids: list[str] | None = None) -> DataFrame:
+    def read(
+        self,
+        table: str,
+        context_id: str | list[str] | None = None,
+        doc_ids: list[str] | None = None,
+        since: int | None = None,
+    ) -> DataFrame:
         """A table, one or more contexts of it (then only their folders are listed), or a few documents of them.
 
-        Listed documents are looked for in their buckets only.
+        Listed documents are looked for in their buckets only. ``since`` leaves rows of versions after that one.
         """
         # Versions first: of a write that ends in between, the files may be listed already, but its version is not.
         seen = self._seen()
@@ -115,8 +121,33 @@ class Corpus:
         if doc_ids is not None:
             places = [F.pmod(F.xxhash64(F.lit(d)), F.lit(self.buckets)).cast("int") for d in doc_ids]
             rows = rows.where(F.col("bucket").isin(places) & F.col("doc_id").isin(list(doc_ids)))
+        if since is not None:
+            rows = rows.where(F.col("version") > since)
         return self._live(table, rows, seen).drop("bucket", "version")
 
+    def version(self) -> int:
+        """The newest version that counts."""
+        return max(self._seen(), default=0)
+
+    def replaced(self, table: str, context_id: str, since: int) -> DataFrame | None:
+        """Documents (doc_id) of a context that lost rows of the table after a version.
+
+        NULL if more than whole documents was replaced: the context itself, or single chunks.
+        """
+        seen = [v for v in self._seen() if v > since]
+        gone = self.spark.createDataFrame([], "doc_id string")
+        for of, _ in self._levels(table):
+            home = f"{self.location('changes')}/of={of}"
+            if seen and self._exists(home):
+                changes = self.spark.read.schema("context_id string, key string, version long").parquet(home)
+                mine = changes.where(F.col("version").isin(seen) & (F.col("context_id") == context_id))
+                if of in ("context", "chunk"):
+                    if not mine.isEmpty():
+                        return None
+                else:
+                    gone = gone.unionByName(mine.select(F.col("key").alias("doc_id")))
+        return gone.distinct()
+
     def _conform(self, table: str, df: DataFrame) -> DataFrame:
         """Columns in table order and type; absent ones are NULL."""
         empty = self.spark.createDataFrame([], schema.TABLES[table]).schema

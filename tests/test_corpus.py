@@ -201,18 +201,44 @@ def test_stream_of_pages(corpus, spark, tmp_path):
     assert counts(corpus, "b") == (6, 6, 6, 0)
 
 
+def key(rows):
+    return [(r["chunk_id"], round(r["score"], 6)) for r in rows]
+
+
 def test_indexes(corpus, spark):
-    from doclake.plans.indexes import index_text, index_vectors, indexed_search
+    """Searches through indexes equal the scan, also when the context has changed since."""
+    from doclake.plans.indexes import index_text, index_vectors, indexed_search, text_hits, vector_index
+    from doclake.plans.search import search_batch
+
+    queries = ("tables", "window join")
+    modes = ("vector", "fulltext", "hybrid")
+    cid = corpus.context_id("a")
+
+    def answers():
+        return {(q, m): key(search(corpus, "a", q, m, 3, embedder=TEXT).collect()) for q in queries for m in modes}
 
+    before = answers()
     index_text(corpus, "a", buckets=8)
     index_vectors(corpus, "a", cells=2)
-    for query in ("tables", "window join", "word table"):
-        scan = search(corpus, "a", query, "fulltext", 3, embedder=TEXT, stemming=True).collect()
-        index = indexed_search(corpus, "a", query, limit=3).collect()
-        assert [(r["chunk_id"], round(r["score"], 6)) for r in index] == [(r["chunk_id"], round(r["score"], 6)) for r in scan]
-        both = search(corpus, "a", query, "hybrid", 3, embedder=TEXT, stemming=True).collect()
-        near = indexed_search(corpus, "a", query, TEXT.query(query), probes=2, limit=3).collect()
-        assert [(r["chunk_id"], round(r["score"], 6)) for r in near] == [(r["chunk_id"], round(r["score"], 6)) for r in both]
+    assert text_hits(corpus, cid, "tables", 3) is not None and vector_index(corpus, cid) is not None
+    assert answers() == before
+    near = indexed_search(corpus, "a", "tables", TEXT.query("tables"), limit=3).collect()
+    assert key(near) == before["tables", "hybrid"]
+    asked = spark.createDataFrame([(k, TEXT.query(q)) for k, q in enumerate(queries)], "query_id long, embedding array<float>")
+    batch = {k: [] for k in range(len(queries))}
+    for r in search_batch(corpus, "a", asked, 3).orderBy("query_id", "rank").collect():
+        batch[r["query_id"]].append((r["chunk_id"], round(r["score"], 6)))
+    assert [batch[k] for k in range(len(queries))] == [before[q, "vector"] for q in queries]
+    # A changed and a new document: the postings no longer fit, the cells are read beside what is newer.
+    put(corpus, "a", pages(spark, ("http://x/2", "Two", "other words on tables " * 5), ("http://x/5", "Five", "a window to join")))
+    assert text_hits(corpus, cid, "tables", 3) is None
+    through, also, without = vector_index(corpus, cid)
+    assert also.count() == 2 and without.count() == 1
+    indexed = answers()
+    shutil.rmtree(f"{corpus.path}/_indexes")
+    assert indexed == answers() and indexed != before
+    with pytest.raises(ValueError):
+        indexed_search(corpus, "a", "tables")
 
 
 UPSERT = "context_id string, url string, title string, content string, metadata map<string,string>, indexed_at timestamp, source_type string"
