@@ -10,10 +10,11 @@ from catalog.text_queries import _SNIPPETS_SQL
 from doclake.functions.patterns import WORD
 from doclake.functions.text import STOP_WORDS, query_lexemes
 from doclake.functions.vectors import cosine, parse_vector, vector_text
-from doclake.operators import ann, shaping
+from doclake.operators import ann, blockmax, shaping
 from doclake.operators import fulltext as FT
 from doclake.operators import hybrid as H
 from doclake.operators import vector_search as V
+from doclake.operators.cells import Cells, build_cells
 from doclake.operators.documents import attach_snippets
 from doclake.operators.snippets import extract_snippets
 from doclake.plans.search import search_code_frames, search_frames
@@ -353,6 +354,65 @@ def _ivf_cells_all(spark, sf):
     return hits.select("chunk_id", F.round("score", 6).alias("score"))
 
 
+_CELLS: dict[tuple[str, str], Cells] = {}
+
+
+def _stored_cells(spark, sf) -> Cells:
+    """The vectors by cell with the table of cells, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CELLS:
+        path = shared_dir(spark, "cells")
+        build_cells(table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
+        _CELLS[key] = Cells(spark, path)
+    return _CELLS[key]
+
+
+@query("cells_search", f"WITH {_VECTOR_SQL} SELECT vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings e WHERE {_COS} > 0.1 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def _cells_search(spark, sf):
+    """Exact: bounds decide which cells are read."""
+    hits, _ = _stored_cells(spark, sf).search(query_vector(spark, sf), 10, 0.1)
+    return hits.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "cells_batch",
+    """
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id,
+        list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS cos
+      FROM embeddings q, embeddings e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 9) DESC, chunk_id) AS rank FROM s WHERE cos > 0.1)
+    SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(cos, 6) AS score FROM r WHERE rank <= 10
+    """,
+)
+def _cells_batch(spark, sf):
+    """Every vector as a query, routed to the cells its bounds admit."""
+    asked = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = _stored_cells(spark, sf).search_batch(asked, 10, 0.1)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+_BLOCKS: dict[tuple[str, str], str] = {}
+
+
+@query(
+    "block_search",
+    f"""
+    WITH {DOCS_SQL}, {_bm25_sql('docs', 'doc_id', _TERMS)} SELECT doc_id, round(score, 6) AS score FROM ft
+    ORDER BY round(ft.score, 9) DESC, doc_id LIMIT 20
+    """,
+)
+def _block_search(spark, sf):
+    """Posting blocks with their largest impacts; the index is written once per session and data folder."""
+    postings, stats = _stored_postings(spark, sf)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BLOCKS:
+        path = shared_dir(spark, "blocks")
+        blockmax.write_blocks(blockmax.build_blocks(postings, stats, "doc_id"), path)
+        _BLOCKS[key] = path
+    hits, _ = blockmax.block_search(spark.read.parquet(_BLOCKS[key]), stats, _QUERY, 20, "doc_id")
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
 # Code -----------------------------------------------------------------------------------------------------------------
 
 

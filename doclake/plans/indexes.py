@@ -13,10 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclake.operators import blockmax
 from doclake.operators import fulltext as FT
 from doclake.operators.cells import Cells, build_cells
 from doclake.operators.hybrid import merge_hits
 from doclake.operators.vector_search import CHUNK_COLUMNS, LIMIT, SEARCH_MIN_SIMILARITY, ranked, with_document
+from doclake.session import discard, shared_dir
 from doclake.sources.corpus import Corpus
 
 ID_OF = {"chunks": "chunk_id", "code_snippets": "snippet_id"}
@@ -44,15 +46,19 @@ def _newest(corpus: Corpus, home: str) -> int | None:
 def index_text(
     corpus: Corpus, name: str, stemming: bool = False, buckets: int = FT.TERM_BUCKETS, table: str = "chunks"
 ) -> None:
-    """Write the postings of a context's chunks or snippets and their statistics."""
+    """Write the posting blocks of a context's chunks or snippets and their statistics."""
     context, version = corpus.context_id(name), corpus.version()
     items = corpus.read(table, context)
     home = _home(corpus, context, f"text-{table}-{'stemmed' if stemming else 'plain'}")
     place = f"{home}/version={version}"
-    FT.write_postings(FT.build_postings(items, ID_OF[table], stemming=stemming, buckets=buckets), f"{place}/postings")
-    stored = corpus.spark.read.parquet(f"{place}/postings")
+    work = shared_dir(corpus.spark, "postings")
+    FT.build_postings(items, ID_OF[table], stemming=stemming, buckets=buckets).drop("positions").write.parquet(work)
+    postings = corpus.spark.read.parquet(work)
     how = {"stemming": F.lit(stemming), "buckets": F.lit(buckets)}
-    FT.posting_statistics(stored, items).withColumns(how).write.mode("overwrite").parquet(f"{place}/statistics")
+    FT.posting_statistics(postings, items).withColumns(how).write.mode("overwrite").parquet(f"{place}/statistics")
+    statistics = corpus.spark.read.parquet(f"{place}/statistics").first()
+    blockmax.write_blocks(blockmax.build_blocks(postings, statistics, ID_OF[table]), f"{place}/blocks")
+    discard(corpus.spark, work)
     _mark(corpus, home, version)
 
 
@@ -100,11 +106,11 @@ def text_hits(
     replaced = corpus.replaced(table, context, version)
     if replaced is None or not replaced.isEmpty() or not corpus.read(table, context, since=version).isEmpty():
         return None
-    postings = corpus.spark.read.parquet(f"{home}/version={version}/postings")
+    blocks = corpus.spark.read.parquet(f"{home}/version={version}/blocks")
     statistics = corpus.spark.read.parquet(f"{home}/version={version}/statistics").first()
-    return FT.postings_search(
-        postings, statistics, query, limit, ID_OF[table], stemming=statistics["stemming"], buckets=statistics["buckets"]
-    )
+    return blockmax.block_search(
+        blocks, statistics, query, limit, ID_OF[table], stemming=statistics["stemming"], buckets=statistics["buckets"]
+    )[0]
 
 
 def indexed_search(
