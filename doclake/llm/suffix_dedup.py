@@ -20,7 +20,8 @@ other places of a phrase, which come after its first, are covered whole.
 
 **On Spark.** Phrases that follow each other are joined to stretches of bounded length, so ranks at neighbouring positions
 are found in the task that holds the stretch. Ordering goes to buckets between sampled 27-byte beginnings, the same ones on every level, so that no comparison crosses
-buckets. Each level is one job of two shuffles and one written table of ranks.
+buckets. Each level is one job of two shuffles and one written table of ranks. What goes between a group of stretches and a
+bucket is one row of packed numbers, so the rows Spark handles are few and their sizes follow from the two numbers of parts.
 
 Documents are ordered by id, NULL first, those that share an id by a hash of their texts. Rows with the same id and text count
 as one document and come back each with the same result. NULL text counts as empty. An empty table gives an empty result;
@@ -34,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +45,20 @@ WINDOW = 100
 #: Bytes of the grams that anchor windows; a window holds SPREAD of them.
 GRAM = 36
 SPREAD = WINDOW - GRAM + 1
-#: The same for what different phrases share; longer grams leave less text by chance.
-LONG_GRAM = 80
-LONG_SPREAD = WINDOW - LONG_GRAM + 1
+#: Longer ones narrow down what different phrases share.
+LONG_GRAMS = (80, 96)
 #: Window starts of a stretch at most, its bytes, and zeros behind it (room to look four names further).
 STARTS = 1024
 STRETCH = STARTS + WINDOW
 ROOM = 5 * 27
-#: Bytes of text, and rows of ranks, worked on at a time.
-SLICE_BYTES, ROWS_AT_ONCE = 4_000_000, 250_000
+#: Bytes of text worked on at a time.
+SLICE_BYTES = 4_000_000
 #: Positions in a bucket, about, and sampled beginnings per bucket.
 BUCKET_ROWS, PER_BUCKET = 400_000, 40
 BEGINNING = 27
-LOCAL_BITS = 40
+#: Bits of an offset in a stretch.
+PLACE_BITS = 11
+LOCAL_BITS = 32
 #: Positions after the last window start whose ranks each level still needs.
 REACH = (0, 2, 8, 26, 80)
 
@@ -253,53 +256,70 @@ def _cut_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done()
 
 
-_PIECE = "doc_id long, text_hash long, start int, core int, body binary"
+_PIECE = "key long, doc_id long, text_hash long, start int, core int, body binary"
 
 
-def _cut_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of phrases whose windows hold a long gram that occurs twice."""
-    for batch in batches:
-        out: list[list] = [[] for _ in _PIECE.split(", ")]
-        columns = (batch.column(c) for c in ("doc_id", "text_hash", "start", "core", "body", "places"))
-        for doc_id, text_hash, start, core, body, places in zip(*columns):
-            text, first, cores = body.as_py(), start.as_py(), core.as_py()
-            a = e = None
-            for end in [*np.unique(places.values.to_numpy()).tolist(), None]:
-                if a is not None and (end is None or end - LONG_SPREAD + 1 > e + 1):
-                    last = min(e + 1, cores)
-                    if a < last:
-                        values = (doc_id.as_py(), text_hash.as_py(), first + a, last - a, text[a : last - 1 + WINDOW])
-                        for value, column in zip(values, out):
-                            column.append(value)
-                    a = None
-                if end is not None:
-                    a, e = (max(end - LONG_SPREAD + 1, 0) if a is None else a), end
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = [c.split(" ")[0] for c in _PIECE.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+def _cut_shared(gram: int) -> Callable:
+    """The parts of pieces whose windows hold a gram that occurs twice."""
+    spread = WINDOW - gram + 1
+    names = [c.split(" ")[0] for c in _PIECE.split(", ")][1:]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            columns = (batch.column(c) for c in ("doc_id", "text_hash", "start", "core", "body", "places"))
+            for doc_id, text_hash, start, core, body, places in zip(*columns):
+                text, first, cores = body.as_py(), start.as_py(), core.as_py()
+                a = e = None
+                for end in [*np.unique(places.values.to_numpy()).tolist(), None]:
+                    if a is not None and (end is None or end - spread + 1 > e + 1):
+                        last = min(e + 1, cores)
+                        if a < last:
+                            values = (doc_id.as_py(), text_hash.as_py(), first + a, last - a, text[a : last - 1 + WINDOW])
+                            for value, column in zip(values, out):
+                                column.append(value)
+                        a = None
+                    if end is not None:
+                        a, e = (max(end - spread + 1, 0) if a is None else a), end
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+
+    return cut
+
+
+_STRETCH = "doc_id long, text_hash long, start int, windows binary, n_windows int, body binary"
 
 
 def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of pieces, sorted by document and start, whose bytes overlap or meet. The windows between them come along."""
-    names = [c.split(" ")[0] for c in _PIECE.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    """Stretches of pieces, sorted by document and start, whose bytes overlap or meet; ``windows`` are pairs (start, end)."""
+    names = [c.split(" ")[0] for c in _STRETCH.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
     held: list | None = None
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for doc_id, text_hash, start, core, body in zip(*(c.to_pylist() for c in batch.columns)):
+
+        def close() -> None:
+            pairs = np.array(held[3], np.int32)
+            for value, column in zip((*held[:3], pairs.tobytes(), int((pairs[1::2] - pairs[::2]).sum()), held[4]), out):
+                column.append(value)
+
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "start", "core", "body"))
+        for doc_id, text_hash, start, core, body in zip(*columns):
             if held is not None and held[:2] == [doc_id, text_hash]:
-                meets = start <= held[2] + len(held[4]) and start + core - held[2] <= STARTS
-                if meets:
-                    held[4] += body[held[2] + len(held[4]) - start :]
-                    held[3] = start + core - held[2]
+                at = start - held[2]
+                if at <= len(held[4]) and at + core <= STARTS:
+                    held[4] += body[len(held[4]) - at :]
+                    held[3] += [at, at + core]
                     continue
             if held is not None:
-                for value, column in zip(held, out):
-                    column.append(value)
-            held = [doc_id, text_hash, start, core, body]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+                close()
+            held = [doc_id, text_hash, start, [0, core], body]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(held, kinds)], names)
+        out = [[] for _ in names]
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
 
 # The difference cover ---------------------------------------------------------------------------------------------------
@@ -319,116 +339,141 @@ def kind(level: int, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Stretches:
-    """Some stretches with the ranks of their positions, one after another with zeros between them."""
-
-    def __init__(self, table: pa.Table):
-        offset = table.column("place").to_numpy()
-        pid = table.column("pid").to_numpy()
-        lead = offset < 0
-        self.pid = pid[lead]
-        data, starts = _bytes(table.column("body").combine_chunks().filter(pa.array(lead)))
+    """The stretches of one group in order of their numbers, one after another with zeros between them.
+
+    A position's code is its place in this row of bytes; it is the same on every level.
+    """
+
+    def __init__(self, leads: pa.Table):
+        leads = leads.sort_by("pid").combine_chunks()
+        self.pid = leads.column("pid").to_numpy()
+        data, starts = _bytes(leads.column("body").chunk(0))
         self.length = np.diff(starts)
-        self.core = table.column("core").to_numpy(zero_copy_only=False)[lead].astype(np.int64)
         self.start = starts[:-1] + ROOM * np.arange(len(self.pid))
-        size = len(data) + ROOM * len(self.pid)
-        self.text = np.zeros(size, np.uint8)
+        self.size = len(data) + ROOM * len(self.pid)
+        self.text = np.zeros(self.size, np.uint8)
         self.text[np.arange(len(data)) + np.repeat(ROOM * np.arange(len(self.pid)), self.length)] = data
-        level = table.column("level").to_numpy()
-        value = table.column("value").to_numpy(zero_copy_only=False)
-        self.ranks = {}
-        for k in np.unique(level[~lead]).tolist():
-            mine = (level == k) & ~lead
-            ranks = np.zeros(size, np.int64)
-            ranks[self.start[np.searchsorted(self.pid, pid[mine])] + offset[mine]] = value[mine]
-            self.ranks[k] = ranks
-
-    def positions(self, level: int, reach: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, offset and place of the positions of a level whose ranks are needed; all of them if ``reach`` is None."""
-        last = self.length if reach is None else np.minimum(self.length, self.core + reach)
-        if level == 0:
-            last = np.minimum(self.core, self.length - WINDOW + 1)
-        row = np.repeat(np.arange(len(self.pid)), last)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(last) - last, last)
-        there = on_level(level, at)
-        row, at = row[there], at[there]
-        return row, at, self.start[row] + at
-
-    def words(self, place: np.ndarray, n: int) -> list[np.ndarray]:
-        """``n`` bytes from each place as big-endian words, zeros behind."""
-        size = -(-n // 8)
-        out = np.zeros((len(place), 8 * size), np.uint8)
-        out[:, :n] = np.lib.stride_tricks.sliding_window_view(self.text, n)[place]
-        return list(out.view(">u8").astype(np.uint64).T)
-
-    def beginnings(self, place: np.ndarray) -> np.ndarray:
-        view = np.lib.stride_tricks.sliding_window_view(self.text, BEGINNING)
-        return np.ascontiguousarray(view[place]).view(f"S{BEGINNING}").ravel()
-
-    def window_hashes(self, place: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for table, base, inverse in ((_TABLE, _BASE, _INVERSE), _OTHER):
-            n = len(self.text)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[self.text] * _powers(base, n), out=sums[1:])
-            out.append(_scrambled((sums[place + WINDOW] - sums[place]) * _powers(inverse, n)[place]))
-        return out
-
-
-def _by_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Stretches]:
-    """Whole stretches from rows sorted by pid, place."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
+        self.row = np.repeat(np.arange(len(self.pid)), self.length)
+        self.at = np.arange(len(data)) - np.repeat(starts[:-1], self.length)
+        windows = leads.column("windows").to_pylist()
+        pairs = np.frombuffer(b"".join(windows), np.int32).reshape(-1, 2)
+        owner = np.repeat(np.arange(len(self.pid)), [len(w) // 8 for w in windows])
+        edges = np.zeros(self.size + 1, np.int64)
+        np.add.at(edges, self.start[owner] + pairs[:, 0], 1)
+        np.add.at(edges, self.start[owner] + pairs[:, 1], -1)
+        self.wanted = np.cumsum(np.cumsum(edges)[:-1] > 0)  # so many windows start up to each place
+
+    def codes(self, level: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and offsets of the positions of a level at most ``reach`` bytes behind the start of a window."""
+        code = self.start[self.row] + self.at
+        before = np.where(code > reach, self.wanted[np.maximum(code - reach - 1, 0)], 0)
+        there = np.flatnonzero((self.wanted[code] > before) & on_level(level, self.at))
+        return code[there], self.at[there]
+
+    def bytes_at(self, code: np.ndarray, n: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.text, n)[code]
+
+    def window_hashes(self, code: np.ndarray) -> np.ndarray:
+        """Fourteen bytes for each window."""
+        out = np.empty((len(code), 2), np.uint64)
+        for k, (table, base, inverse) in enumerate(((_TABLE, _BASE, _INVERSE), _OTHER)):
+            sums = np.zeros(self.size + 1, np.uint64)
+            np.cumsum(table[self.text] * _powers(base, self.size), out=sums[1:])
+            out[:, k] = _scrambled((sums[code + WINDOW] - sums[code]) * _powers(inverse, self.size)[code])
+        return out.view(np.uint8)[:, :14]
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits, all lower halves before all upper ones, which compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(values, np.int64).view(np.uint32).reshape(-1, 2).T).tobytes()
+
+
+def _as_numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
+
+
+#: Bytes of text, and numbers, that a position sends on each level besides its code and kind; on level 0 also its hash.
+_SENT = {"names": (27, []), 4: (0, ["n0", "n1", "n2", "n3"]), 3: (0, ["n0", "n1", "x", "y"])}
+_SENT |= {2: (18, ["x", "y"]), 1: (6, ["x", "y"]), 0: (2, ["x", "y", "order"])}
+_GROUP = "group int, pid long, windows binary, body binary, level int, codes binary, ranks binary"
+
+
+def _ask_columns(level: int | str) -> list[str]:
+    return ["codes", "kinds", "text", "hash", *_SENT[level][1]]
+
+
+def _group_of(batches: Iterator[pa.RecordBatch]) -> tuple[_Stretches, dict[int, np.ndarray], dict[str, list]] | None:
+    """The stretches of the task's group with the ranks that came back, and codes without ranks."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return None
+    table = pa.Table.from_batches(tables)
+    lead = pc.is_valid(table.column("pid"))
+    stretches = _Stretches(table.filter(lead).select(["pid", "windows", "body"]))
+    ranks: dict[int, np.ndarray] = {}
+    loose: list[np.ndarray] = []
+    back = table.filter(pc.invert(lead))
+    for level, codes, values in zip(*(back.column(c).to_pylist() for c in ("level", "codes", "ranks"))):
+        code = np.frombuffer(codes, np.uint32)
+        if values is None:
+            loose.append(code)
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        pids = batch.column("pid").to_numpy()
-        if rows >= ROWS_AT_ONCE and pids[0] != pids[-1]:
-            cut = int(np.searchsorted(pids, pids[-1]))
-            yield _Stretches(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
-            held, rows = [batch.slice(cut)], batch.num_rows - cut
-    if rows:
-        yield _Stretches(pa.Table.from_batches(held))
-
-
-def _ask(level: int | str, splitters: np.ndarray) -> tuple[Callable, str]:
-    """From phrases with ranks to the rows that a level sorts, and the columns of these."""
-    if level == "names":
-        columns = [f"w{k}" for k in range(4)]
-    elif level == 4:
-        columns = [f"w{k}" for k in range(4)]
-    else:
-        columns = [f"w{k}" for k in range({3: 2, 2: 3, 1: 1, 0: 1}[level])]
-        columns += ["hash", "x", "y"] if level == 0 else ["x", "y"]
-    names = ["bucket", "pid", "place", *columns]
-
-    def keys(p: _Stretches, at: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        if level == "names":
-            return p.words(place, 27)
-        if level == 4:
-            return [p.ranks[3][place + 27 * k] for k in range(4)]
-        step = 3**level
-        ranks, of = p.ranks[level + 1], kind(level, at)
-        out = [p.ranks[3][place], p.ranks[3][place + step]] if level == 3 else p.words(place, 2 * step)
-        one, two = ranks[place + step], ranks[place + 2 * step]
-        if level == 0:
-            # The two bytes of a pair leave room for most of a second hash.
-            first, second = p.window_hashes(place)
-            out = [out[0] | (second >> np.uint64(16)), first]
-        return out + [np.where(of == 0, one, ranks[place]), np.where(of == 1, one, two)]
+        ranks.setdefault(level, np.zeros(stretches.size, np.int64))[code] = _as_numbers(values)
+    return stretches, ranks, loose
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _by_stretches(batches):
-            at_level = 3 if level == "names" else level
-            row, at, place = p.positions(at_level, None if level == "names" else REACH[level])
-            if not len(row):
-                continue
-            bucket = np.searchsorted(splitters, p.beginnings(place), side="right").astype(np.int32)
-            values = [bucket, p.pid[row], at.astype(np.int32), *(k.view(np.int64) for k in keys(p, at, place))]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names)
 
-    return ask, ", ".join(["bucket int", "pid long", "place int", *[f"{c} long" for c in columns]])
+def _ask(level: int | str, splitters: np.ndarray) -> Callable:
+    """From the stretches of a group, with ranks, to one row of packed positions for each bucket."""
+    columns = _ask_columns(level)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        group = next((b.column("group")[0].as_py() for b in batches if b.num_rows), None)
+        found = _group_of(iter(batches))
+        if found is None:
+            return
+        p, ranks, _ = found
+        code, at = p.codes(3 if level == "names" else level, REACH[-1] + 81 if level == "names" else REACH[level])
+        if not len(code):
+            return
+        n_text, numbers = _SENT[level]
+        sent: dict[str, np.ndarray] = {}
+        of = kind(level, at).astype(np.uint8) if level != "names" else np.zeros(len(at), np.uint8)
+        if level == 4:
+            sent = {f"n{k}": ranks[3][code + 27 * k] for k in range(4)}
+        elif level != "names":
+            step, known = 3**level, ranks[level + 1]
+            one, two = known[code + step], known[code + 2 * step]
+            sent = {"x": np.where(of == 0, one, known[code]), "y": np.where(of == 1, one, two)}
+            if level == 3:
+                sent |= {"n0": ranks[3][code], "n1": ranks[3][code + step]}
+        if level == 0:
+            row = np.searchsorted(p.start, code, side="right") - 1
+            sent["order"] = (p.pid[row] << PLACE_BITS) | at
+        beginnings = np.ascontiguousarray(p.bytes_at(code, BEGINNING)).view(f"S{BEGINNING}").ravel()
+        bucket = np.searchsorted(splitters, beginnings, side="right").astype(np.int32)
+        del beginnings
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+        hashes = p.window_hashes(code) if level == 0 else None
+        for mine in np.split(by_bucket, cuts):
+            codes = code[mine]
+            row = [codes.astype(np.uint32).tobytes(), of[mine].tobytes()]
+            row.append(np.ascontiguousarray(p.bytes_at(codes, n_text)).tobytes() if n_text else b"")
+            row.append(np.ascontiguousarray(hashes[mine]).tobytes() if level == 0 else b"")
+            row += [_numbers(sent[c][mine]) for c in numbers]
+            arrays = [pa.array([int(bucket[mine[0]])], pa.int32()), pa.array([group], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([r], pa.binary()) for r in row)], ["bucket", "group", *columns])
+
+    return ask
+
+
+def _as_words(packed: np.ndarray) -> list[np.ndarray]:
+    """Bytes of each position as big-endian words, zeros behind."""
+    n, k = packed.shape
+    wide = np.zeros((n, -(-k // 8) * 8), np.uint8)
+    wide[:, :k] = packed
+    return list(wide.view(">u8").astype(np.uint64).T)
 
 
 def _order(keys: list[np.ndarray]) -> np.ndarray:
@@ -446,15 +491,12 @@ def _count_below(mine: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray
     return below[:n]
 
 
-#: The two bytes of a pair, at the front of a word.
-_PAIR = np.uint64(0xFFFF << 48)
 #: Of the words of two characters, those bits that belong to the first one.
 _FIRST = {3: (~0, 0), 2: (~0, 0xFF << 56, 0), 1: (0xFFFFFF << 40,), 0: (0xFF << 56,)}
 
 
-def merged(level: int, place: np.ndarray, words: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def merged(level: int, of: np.ndarray, words: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The order of positions of a level: those in the sample come ranked (``x``), the others find their places among them."""
-    of = kind(level, place)
     none, one, two = (np.flatnonzero(of == k) for k in range(3))
     masks = [np.array(m & ((1 << 64) - 1), np.uint64) for m in _FIRST[level]]
     first = [w & m for w, m in zip(words, masks) if m]
@@ -468,73 +510,92 @@ def merged(level: int, place: np.ndarray, words: list[np.ndarray], x: np.ndarray
     return np.concatenate([none, sample])[np.argsort(slots, kind="stable")]
 
 
-def _rank(level: int | str) -> tuple[Callable, str]:
-    """From the rows of one bucket to names or ranks of their positions; on the last level, to covered windows."""
-    schema = "pid long, place int, level int, value long" if level != 0 else "pid long, place int"
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+def _rank(level: int | str) -> Callable:
+    """From the packed rows of one bucket to names or ranks of their positions; on the last level, to covered windows."""
+    n_text, numbers = _SENT[level]
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
             return
-        column = {n: table.column(n).to_numpy() for n in table.column_names}
-        words = [column[n].view(np.uint64) for n in sorted(column) if n.startswith("w")]
-        high = column["bucket"].astype(np.int64) << LOCAL_BITS
-        del table
-        if level == 0:
-            hashes, words = words[0] & ~_PAIR, [words[0] & _PAIR]
-        if level in ("names", 4):
-            order = _order(words)
-        else:
-            order = merged(level, column["place"], words, column["x"], column["y"])
-        pid, place = column["pid"][order], column["place"][order]
+        table = pa.Table.from_batches(tables)
+        high = np.int64(table.column("bucket")[0].as_py()) << LOCAL_BITS
+        groups, codes = table.column("group").to_pylist(), table.column("codes").to_pylist()
+        flat = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in table.column(name).to_pylist()])
+        number = {c: np.concatenate([_as_numbers(v) for v in table.column(c).to_pylist()]) for c in numbers}
+        words = _as_words(flat("text", np.uint8).reshape(-1, n_text)) if n_text else []
+        words += [number[c].view(np.uint64) for c in numbers if c.startswith("n")]
+        of = flat("kinds", np.uint8)
+        hashes = _as_words(flat("hash", np.uint8).reshape(-1, 14)) if level == 0 else []
+        del table, tables
+        order = _order(words) if level in ("names", 4) else merged(level, of, words, number["x"], number["y"])
+        new = np.ones(len(order), bool)
+        equal = words if level == "names" else hashes
+        if equal:
+            new[1:] = np.logical_or.reduce([w[order[1:]] != w[order[:-1]] for w in equal])
+        result = np.empty(len(order), np.int64)
         if level == 0:
-            h1, h2 = column["hash"][order], hashes[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            # Stretches are numbered by their places, so of equal windows the one with the least number starts earliest.
             begins = np.flatnonzero(new)
             sizes = np.diff(np.append(begins, len(order)))
-            # Stretches are numbered by their places, so the smallest (pid, place) starts earliest.
-            owner = np.minimum.reduceat(pid, begins)
-            mine = pid == np.repeat(owner, sizes)
-            start = np.minimum.reduceat(np.where(mine, place, STRETCH), begins)
-            covered = ~(mine & (place == np.repeat(start, sizes)))
-            values = [pid[covered], place[covered]]
+            place = number["order"][order]
+            result[order] = place != np.repeat(np.minimum.reduceat(place, begins), sizes)
         else:
-            if level == "names":
-                new = np.ones(len(order), bool)
-                sorted_words = [w[order] for w in words]
-                new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in sorted_words])
-                local = np.cumsum(new)
+            result[order] = high + np.cumsum(new)
+        low = 0
+        for group, packed in zip(groups, codes):
+            mine = result[low : low + len(packed) // 4]
+            low += len(mine)
+            if level == 0:
+                kept, values = np.frombuffer(packed, np.uint32)[mine > 0].tobytes(), None
             else:
-                local = np.arange(1, len(order) + 1)
-            values = [pid, place, np.full(len(order), 3 if level == "names" else level, np.int32), high[order] + local]
-        for low in range(0, len(values[0]), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v[low : low + 500_000]) for v in values], names)
-
-    return rank, schema
-
+                kept, values = packed, _numbers(mine)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group], pa.int32()), pa.array([3 if level == "names" else level], pa.int32())]
+                + [pa.array([kept], pa.binary()), pa.array([values], pa.binary())],
+                ["group", "level", "codes", "ranks"],
+            )
 
-def _beginnings(every: int) -> Callable:
-    """Beginnings at a few positions of some phrases."""
+    return rank
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for pid, core, body in zip(*(batch.column(c).to_pylist() for c in ("pid", "core", "body"))):
-                at = np.random.default_rng(pid).integers(0, core, 2).tolist()
-                out += [body[a : a + BEGINNING].ljust(BEGINNING, b"\0") for a in at]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["beginning"])
 
-    return look
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of covered windows of each stretch of a group."""
+    found = _group_of(batches)
+    if found is None or not found[2]:
+        return
+    p, _, loose = found
+    code = np.sort(np.concatenate(loose).astype(np.int64))
+    if not len(code):
+        return
+    new = np.append(True, code[1:] != code[:-1] + 1)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(code)) - 1
+    row = np.searchsorted(p.start, code[begins], side="right") - 1
+    low, high = code[begins] - p.start[row], code[ends] - p.start[row]
+    values = [p.pid[row], low.astype(np.int32), high.astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["pid", "low", "high"])
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings at two windows of some stretches."""
+    for batch in batches:
+        out = []
+        for pid, windows, body in zip(*(batch.column(c).to_pylist() for c in ("pid", "windows", "body"))):
+            pairs = np.frombuffer(windows, np.int32).reshape(-1, 2)
+            rng = np.random.default_rng(pid)
+            for a, b in pairs[rng.integers(0, len(pairs), 2)].tolist():
+                at = int(rng.integers(a, b))
+                out.append(body[at : at + BEGINNING].ljust(BEGINNING, b"\0"))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["beginning"])
 
 
-def _splitters(phrases: DataFrame, buckets: int, total: int) -> np.ndarray:
+def _splitters(stretches: DataFrame, buckets: int, total: int) -> np.ndarray:
     """Beginnings that cut the positions into ``buckets`` about equal parts; PER_BUCKET of them for each come to the driver."""
     every = max(1, total // (buckets * PER_BUCKET // 2))
-    some = phrases.where(F.pmod(F.xxhash64("pid"), F.lit(every)) == 0).select("pid", "core", "body")
-    seen = np.array([bytes(r[0]) for r in some.mapInArrow(_beginnings(every), "beginning binary").collect()], f"S{BEGINNING}")
+    some = stretches.where(F.pmod(F.xxhash64("pid"), F.lit(every)) == 0).select("pid", "windows", "body")
+    seen = np.array([bytes(r[0]) for r in some.mapInArrow(_beginnings, "beginning binary").collect()], f"S{BEGINNING}")
     seen.sort()
     if not len(seen):
         return seen
@@ -542,30 +603,46 @@ def _splitters(phrases: DataFrame, buckets: int, total: int) -> np.ndarray:
     return np.unique(seen[cuts])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of covered windows of each phrase, from rows sorted by pid and place."""
-    rest: tuple[int, int, int] | None = None
-    names = ["pid", "low", "high"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        pid, place = batch.column("pid").to_numpy(), batch.column("place").to_numpy()
-        new = np.ones(len(pid), bool)
-        new[1:] = (pid[1:] != pid[:-1]) | (place[1:] != place[:-1] + 1)
-        begins = np.flatnonzero(new)
-        ends = np.append(begins[1:], len(pid)) - 1
-        p, a, b = pid[begins], place[begins].copy(), place[ends].copy()
-        if rest is not None:
-            if rest[0] == p[0] and rest[2] + 1 == a[0]:
-                a[0] = rest[1]
-            else:
-                p, a, b = np.append(rest[0], p), np.append(rest[1], a).astype(np.int32), np.append(rest[2], b).astype(np.int32)
-        rest = (int(p[-1]), int(a[-1]), int(b[-1]))
-        if len(p) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(v[:-1]) for v in (p, a, b)], names)
-    if rest is not None:
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(rest, kinds)], names)
+def covered_windows(stretches: DataFrame, tables: _Tables) -> DataFrame:
+    """pid and runs (low to high) of the windows of stretches that also start earlier, by the suffix array."""
+    spark = stretches.sparkSession
+    count, windows = stretches.agg(F.count("*"), F.coalesce(F.sum("n_windows"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(windows) // BUCKET_ROWS + 1)
+    splitters = _splitters(stretches, parts, int(count))
+    nothing = F.lit(None)
+    leads = stretches.select(
+        F.pmod("pid", F.lit(parts)).cast("int").alias("group"),
+        "pid",
+        "windows",
+        "body",
+        nothing.cast("int").alias("level"),
+        nothing.cast("binary").alias("codes"),
+        nothing.cast("binary").alias("ranks"),
+    )
+
+    def grouped(back: list[DataFrame]) -> DataFrame:
+        rows = leads
+        for df in back:
+            none = [nothing.cast(k).alias(c) for c, k in (("pid", "long"), ("windows", "binary"), ("body", "binary"))]
+            rows = rows.unionByName(df.select("group", *none, "level", "codes", "ranks"))
+        return rows.repartitionById(parts, F.col("group"))
+
+    def sort_level(level: int | str, back: list[DataFrame]) -> DataFrame:
+        asked = "bucket int, group int, " + ", ".join(f"{c} binary" for c in _ask_columns(level))
+        asking = grouped(back).mapInArrow(_ask(level, splitters), asked)
+        ranked = "group int, level int, codes binary, ranks binary"
+        return asking.repartitionById(parts, F.col("bucket")).mapInArrow(_rank(level), ranked)
+
+    names = tables.write("names", sort_level("names", []))
+    ranks = tables.write("ranks4", sort_level(4, [names]))
+    for level in (3, 2, 1):
+        known = [ranks, names] if level == 3 else [ranks]
+        ranks = tables.write(f"ranks{level}", sort_level(level, known))
+        tables.drop(f"ranks{level + 1}", *(["names"] if level == 3 else []))
+    covered = grouped([sort_level(0, [ranks])])
+    out = tables.write("spans", covered.mapInArrow(_spans, "pid long, low int, high int"))
+    tables.drop("ranks1")
+    return out
 
 
 # Documents --------------------------------------------------------------------------------------------------------------
@@ -600,41 +677,6 @@ def repeated_phrases(texts: DataFrame, tables: _Tables) -> DataFrame:
     return phrases
 
 
-def covered_windows(stretches: DataFrame, tables: _Tables) -> DataFrame:
-    """pid and runs (low to high) of the windows of stretches that also start earlier, by the suffix array."""
-    spark = stretches.sparkSession
-    count, cores = stretches.agg(F.count("*"), F.coalesce(F.sum("core"), F.lit(0))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cores) // BUCKET_ROWS + 1)
-    splitters = _splitters(stretches, buckets, int(count))
-    nothing = F.lit(None)
-    leads = stretches.select(
-        "pid", F.lit(-1).alias("place"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("value"), "body", "core"
-    )
-
-    def sort_level(level: int | str, ranks: list[DataFrame]) -> DataFrame:
-        rows = leads
-        for df in ranks:
-            rows = rows.unionByName(
-                df.select("pid", "place", "level", "value", nothing.cast("binary").alias("body"), F.lit(0).alias("core"))
-            )
-        ask, asked = _ask(level, splitters)
-        rank, ranked = _rank(level)
-        by_phrase = rows.repartition(buckets, "pid").sortWithinPartitions("pid", "place", "level")
-        return by_phrase.mapInArrow(ask, asked).repartitionById(buckets, F.col("bucket")).mapInArrow(rank, ranked)
-
-    names = tables.write("names", sort_level("names", []))
-    ranks = tables.write("ranks4", sort_level(4, [names]))
-    for level in (3, 2, 1):
-        known = [ranks, names] if level == 3 else [ranks]
-        ranks = tables.write(f"ranks{level}", sort_level(level, known))
-        tables.drop(f"ranks{level + 1}", *(["names"] if level == 3 else []))
-    windows = sort_level(0, [ranks])
-    spans = windows.repartition(buckets, "pid").sortWithinPartitions("pid", "place")
-    out = tables.write("spans", spans.mapInArrow(_spans, "pid long, low int, high int"))
-    tables.drop("ranks1")
-    return out
-
-
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]
     for batch in batches:
@@ -693,14 +735,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = [F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")]
     later = tables.write("later", met.where(~is_first).select("doc_id", "text_hash", *ends))
     tables.drop("phrases")
-    shared = repeated_anchors(dictionary.select("key", "body"), LONG_GRAM, tables, "shared")
-    whole = dictionary.select("key", *where, "core", "body").join(shared.hint("merge"), "key")
-    pieces = tables.write("pieces", whole.mapInArrow(_cut_shared, _PIECE))
-    tables.drop("shared", "dictionary")
+    pieces, name = dictionary.select("key", *where, "core", "body"), "dictionary"
+    for gram in LONG_GRAMS:
+        shared = repeated_anchors(pieces.select("key", "body"), gram, tables, f"shared{gram}")
+        cut = pieces.join(shared.hint("merge"), "key").mapInArrow(_cut_shared(gram), _PIECE.removeprefix("key long, "))
+        pieces = tables.write(f"pieces{gram}", cut.withColumn("key", F.monotonically_increasing_id()))
+        tables.drop(f"shared{gram}", name)
+        name = f"pieces{gram}"
     in_order = [F.col("doc_id").asc_nulls_first(), "text_hash", "start"]
-    ordered = pieces.repartitionByRange(*in_order).sortWithinPartitions(*in_order).mapInArrow(_join_pieces, _PIECE)
+    ordered = pieces.repartitionByRange(*in_order).sortWithinPartitions(*in_order).mapInArrow(_join_pieces, _STRETCH)
     stretches = tables.write("stretches", ordered.withColumn("pid", F.monotonically_increasing_id()))
-    tables.drop("pieces")
+    tables.drop(name)
     spans = covered_windows(stretches, tables)
     here = stretches.select("pid", *where).join(spans.hint("merge"), "pid")
     partly = here.select(

@@ -102,5 +102,5 @@ def test_merge_orders_suffixes(level):
     one = np.array([rank.get(int(p) + step, 0) for p in at])
     two = np.array([rank.get(int(p) + 2 * step, 0) for p in at])
     own = np.array([rank.get(int(p), 0) for p in at])
-    order = merged(level, at, list(grid.view(">u8").astype(np.uint64).T), np.where(kinds == 0, one, own), np.where(kinds == 1, one, two))
+    order = merged(level, kinds, list(grid.view(">u8").astype(np.uint64).T), np.where(kinds == 0, one, own), np.where(kinds == 1, one, two))
     assert [int(p) for p in at[order]] == sorted(map(int, at), key=lambda p: bytes(text[p:]))
