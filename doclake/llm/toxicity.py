@@ -3,12 +3,13 @@
 A linear model over words and word beginnings is trained with numpy from texts confirmed as toxic and from unlabelled ones.
 The risk is the class-prior-corrected estimate: prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]); where the
 second part turns negative, its gradient is reversed. The prior is the share of toxic rows among all labelled training rows.
-Features that are far more frequent in toxic than in unlabelled texts are kept (Z_LEAST, RATIO_LEAST). Two numbers, slope
+Features that are far more frequent in toxic texts than in all texts are kept (Z_LEAST, RATIO_LEAST). Two numbers, slope
 and offset, are then fitted on labelled training rows, so that a score reads as a probability.
 
 Training reads bounded samples, drawn by a hash of the id: at most MAX_POSITIVE toxic texts, MAX_UNLABELLED unlabelled and
-MAX_LABELLED labelled ones. The prior is counted over all labels, and every text is scored. Features are counted and chosen by Spark;
-only those kept come to the driver, as places in the texts of the sample. A model has at most 2**BITS weights.
+MAX_LABELLED labelled ones. The prior is counted over all labels, the frequencies that features are chosen by over all texts
+that are not held out, and every text is scored. Of the sample only the features kept come to the driver, as places in its
+texts; of the others, numbers of texts. A model has at most 2**BITS weights.
 
 Rows are held out of training where crc32 of the id, as text, leaves 1 modulo 3. NULL texts count as empty. Without any toxic
 training row every score is the prior, or 0 without labels. Repeated rows are scored each, rows without an id as well; labels
@@ -95,23 +96,26 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def _places(features: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a text and the place of one of its features in the sorted ``features``."""
+    owner, word, vocabulary = _tokens(texts)
+    if not len(features) or not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = _features(vocabulary)
+    at = np.minimum(np.searchsorted(features, found), len(features) - 1)
+    at = np.where(features[at] == found, at, -1)
+    hits = np.flatnonzero((at >= 0).any(axis=1)[word])
+    places = at[word[hits]]
+    pairs = (owner[hits].astype(np.int64) * len(features))[:, None] + places
+    return np.divmod(np.unique(pairs[places >= 0]), len(features))
+
+
 def logits(model: Model, texts: pa.Array) -> np.ndarray:
     """The model's raw value of each text."""
     out = []
     for part in _slices(texts):
-        value = np.full(len(part), model.bias)
-        owner, word, vocabulary = _tokens(part)
-        if len(model.features) and len(vocabulary):
-            found = _features(vocabulary)
-            at = np.minimum(np.searchsorted(model.features, found), len(model.features) - 1)
-            at = np.where(model.features[at] == found, at, -1)
-            hits = np.flatnonzero((at >= 0).any(axis=1)[word])
-            places = at[word[hits]]
-            pairs = (owner[hits].astype(np.int64) * len(model.features))[:, None] + places
-            pairs = np.unique(pairs[places >= 0])
-            text, feature = np.divmod(pairs, len(model.features))
-            value += np.bincount(text, weights=model.weights[feature], minlength=len(part))
-        out.append(value)
+        text, feature = _places(model.features, part)
+        out.append(model.bias + np.bincount(text, weights=model.weights[feature], minlength=len(part)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -134,15 +138,53 @@ def _rows(owner: np.ndarray, feature: np.ndarray, texts: np.ndarray) -> tuple[np
     return np.repeat(np.arange(len(texts)), size), feature[at]
 
 
-def chosen_features(sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
-    """Features of a sample (positive, unlabelled, features) whose share among toxic texts is far above that among others."""
-    role = lambda c: F.sum(F.col(c).cast("long")).alias(c)
-    counts = sample.select("positive", "unlabelled", F.explode("features").alias("feature"))
-    counts = counts.groupBy("feature").agg(role("positive"), role("unlabelled"))
-    share_p, share_u = F.col("positive") / n_pos, (F.col("unlabelled") + 1) / (n_unl + 1)
-    z = (share_p - share_u) / F.sqrt(share_u * F.greatest(1 - share_u, F.lit(1e-9)) / n_pos)
-    chosen = counts.where((F.col("positive") >= LEAST_TEXTS) & (z >= Z_LEAST) & (share_p >= RATIO_LEAST * share_u))
-    return np.sort(chosen.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64))
+def count_features(texts: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all ``texts`` (column text) each of the sorted features occurs, and their number.
+
+    Tasks send a number for each feature; a text is read once and nothing of it is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(len(features), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for part in _slices(batch.column(0)):
+                counts += np.bincount(_places(features, part)[1], minlength=len(features))
+        there = np.flatnonzero(counts)
+        place, number = np.append(there, -1), np.append(counts[there], n)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(number)], ["place", "n"])
+
+    found = texts.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    rows = {r["place"]: r["n"] for r in found.collect()}
+    return np.array([rows.get(i, 0) for i in range(len(features))], np.int64), rows.get(-1, 0)
+
+
+def chosen_features(sample: DataFrame, texts: DataFrame, n_pos: int) -> np.ndarray:
+    """Features whose share among the toxic texts of a sample (positive, features) is far above that among all ``texts``."""
+    counts = sample.where("positive").select(F.explode("features").alias("feature")).groupBy("feature").count()
+    often = counts.where(F.col("count") >= LEAST_TEXTS).toPandas().sort_values("feature")
+    features, positive = often["feature"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
+    if not len(features):
+        return features
+    everywhere, n = count_features(texts, features)
+    share_p, share_u = positive / n_pos, (everywhere + 1) / (n + 1)
+    z = (share_p - share_u) / np.sqrt(share_u * np.maximum(1 - share_u, 1e-9) / n_pos)
+    return features[(z >= Z_LEAST) & (share_p >= RATIO_LEAST * share_u)]
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative risk of raw values of toxic and of unlabelled texts, with the logistic loss."""
+    negative = np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()
+    return float(prior * np.logaddexp(0, -positive).mean() + max(0.0, negative))
+
+
+def risk_slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes by each raw value: those of the risk, or, where its second part is negative, the reverse of that part's."""
+    sp, su = _sigmoid(positive), _sigmoid(unlabelled)
+    n_p, n_u = len(positive), len(unlabelled)
+    if np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean() >= 0:
+        return prior * (sp - 1) / n_p - prior * sp / n_p, su / n_u
+    return prior * sp / n_p, -su / n_u
 
 
 def train(kept: np.ndarray, owner, feature, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[Model, np.ndarray]:
@@ -171,12 +213,7 @@ def train(kept: np.ndarray, owner, feature, positive: np.ndarray, unlabelled: np
             r2, f2 = _rows(ru, fu, bu)
             gp = w[n] + np.bincount(r1, weights=w[f1], minlength=len(bp))
             gu = w[n] + np.bincount(r2, weights=w[f2], minlength=len(bu))
-            sp, su = _sigmoid(gp), _sigmoid(gu)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                cp, cu = prior * (sp - 1) / len(bp) - prior * sp / len(bp), su / len(bu)
-            else:
-                cp, cu = prior * sp / len(bp), -su / len(bu)
+            cp, cu = risk_slopes(gp, gu, prior)
             slope = np.bincount(f1, weights=cp[r1], minlength=n + 1) + np.bincount(f2, weights=cu[r2], minlength=n + 1)
             slope[n] = cp.sum() + cu.sum()
             slope[:n] += SHRINK * w[:n]
@@ -238,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.max(F.when(F.col("role") == 3, F.col("toxic"))).alias("toxic"),
     )
     roles = stored(roles, "toxicity-roles")
-    n_pos, n_unl = (roles.where(c).count() for c in ("positive", "unlabelled"))
+    n_pos = roles.where("positive").count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = texts.join(F.broadcast(roles.select("doc_id")), "doc_id")
     found = chosen.mapInArrow(run, "doc_id long, features array<int>").dropDuplicates(["doc_id"]).join(roles, "doc_id")
     sample = stored(found, "toxicity-sample")
-    kept = chosen_features(sample, max(n_pos, 1), n_unl)
+    kept = chosen_features(sample, texts, max(n_pos, 1))
     if not n_pos or not len(kept):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
 

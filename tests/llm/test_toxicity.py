@@ -67,6 +67,52 @@ def test_training_and_scoring_see_the_same_features():
     assert np.allclose(T.logits(model, texts), want)
 
 
+def test_risk_and_its_slopes_by_finite_differences():
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.1, 0.0), (0.3, 1.0), (0.9, -3.0)):
+        p, u = rng.standard_normal(7) + 1, rng.standard_normal(11) + shift
+        part = np.mean(np.log1p(np.exp(u))) - prior * np.mean(np.log1p(np.exp(p)))
+        assert T.risk(p, u, prior) == pytest.approx(prior * np.mean(np.log1p(np.exp(-p))) + max(0, part))
+        # Where the second part is negative its reverse is followed, away from zero slope.
+        aim = (lambda p, u: T.risk(p, u, prior)) if part >= 0 else (
+            lambda p, u: -(np.mean(np.logaddexp(0, u)) - prior * np.mean(np.logaddexp(0, p))))
+        slopes = np.concatenate(T.risk_slopes(p, u, prior))
+        both, step = np.concatenate([p, u]), 1e-6
+        for k in range(len(both)):
+            up, down = both.copy(), both.copy()
+            up[k] += step
+            down[k] -= step
+            change = (aim(up[:7], up[7:]) - aim(down[:7], down[7:])) / (2 * step)
+            assert slopes[k] == pytest.approx(change, abs=1e-6)
+
+
+def test_training_comes_near_a_plain_full_batch_trainer():
+    """Mini-batches end at a risk close to that of plain projected gradient descent over all rows."""
+    rng = np.random.default_rng(5)
+    n, k, prior = 20000, 12, 0.2
+    toxic = rng.random(n) < prior
+    hit = rng.random((n, k)) < np.where(toxic[:, None], 0.3, 0.03)
+    owner, feature = np.nonzero(hit)
+    positive, unlabelled = np.flatnonzero(toxic)[:1000], np.arange(n)
+    model, weights = T.train(np.arange(k), owner, feature, positive, unlabelled, prior)
+    w, b = np.zeros(k), np.log(prior / (1 - prior))
+    for _ in range(3000):
+        cp, cu = T.risk_slopes(hit[positive] @ w + b, hit @ w + b, prior)
+        w = np.maximum(0, w - 0.5 * (hit[positive].T @ cp + hit.T @ cu + T.SHRINK * w))
+        b -= 0.5 * (cp.sum() + cu.sum())
+    plain = T.risk(hit[positive] @ w + b, hit @ w + b, prior)
+    assert T.risk(hit[positive] @ weights + model.bias, hit @ weights + model.bias, prior) <= 1.05 * plain
+
+
+def test_features_are_counted_over_all_texts(spark, corpus):
+    rows, _ = corpus
+    docs = spark.createDataFrame(rows + [(9000, None, "", 0.0), (9001, "", "", 0.0)], SCHEMA)
+    owner, feature = T.text_features(pa.array([r[1] for r in rows]))
+    some = np.unique(feature)[::3]
+    counts, n = T.count_features(docs, some)
+    assert n == len(rows) + 2 and counts.tolist() == [int((feature == f).sum()) for f in some]
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     marks = spark.createDataFrame([], "doc_id long, toxic int")
