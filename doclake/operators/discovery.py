@@ -58,13 +58,23 @@ def robots_rules(df: DataFrame, agent: str = "*") -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs whose path starts with no disallowed prefix of their host; "/" forbids everything."""
-    banned = rules.where(F.col("rule") == "disallow").select(F.col("host").alias("_host"), F.col("value").alias("_path"))
+    """URLs whose path starts with no disallowed prefix of their host; "/" forbids everything.
+
+    A path is cut to the lengths that the rules of its host have, and each beginning is looked up by host and text, so every
+    join has a full key: a host with many rules and URLs is no list to walk through, and its rows are dealt by their paths.
+    """
+    path = F.when(F.col("value") == "/", "").otherwise(F.col("value"))
+    banned = rules.where(F.col("rule") == "disallow").select(F.col("host").alias("_site"), path.alias("_beginning")).distinct()
+    # One row per host, with as many numbers as its rules have different lengths.
+    lengths = banned.groupBy("_site").agg(F.collect_set(F.length("_beginning")).alias("_lengths"))
     keyed = urls.withColumn("_site", base_url("url")).withColumn("_url_path", url_path("url"))
-    blocked = (F.col("_site") == F.col("_host")) & (
-        (F.col("_path") == "/") | F.startswith(F.col("_url_path"), F.col("_path"))
+    paths = keyed.select("_site", "_url_path").where(F.col("_url_path").isNotNull()).distinct().join(lengths, "_site")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_url_path"))
+    beginnings = paths.select("_site", "_url_path", F.explode(fitting).alias("_n")).select(
+        "_site", "_url_path", F.substring("_url_path", F.lit(1), F.col("_n")).alias("_beginning")
     )
-    return keyed.join(banned, blocked, "left_anti").drop("_site", "_url_path")
+    blocked = beginnings.join(banned, ["_site", "_beginning"], "left_semi").select("_site", "_url_path").distinct()
+    return keyed.join(blocked, ["_site", "_url_path"], "left_anti").select(*urls.columns)
 
 
 def parse_lastmod(c) -> Column:

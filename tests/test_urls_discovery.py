@@ -71,3 +71,23 @@ def test_rank(spark):
     got = [r["url"] for r in D.discover(urls, None, ["api", "zzz"], 3).collect()]
     assert got == ["http://x/docs/api/q", "http://x/a", "http://x/b"]
     assert D.discover(urls, None, None, 10, dedupe=True).count() == 3
+
+
+def test_one_host_with_many_rules_and_urls(spark):
+    """All joins have full keys, and the rows of the one host are dealt over the tasks."""
+    import random
+
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    rules = [("http://h", "disallow", "/" + "/".join(part() for _ in range(rng.randint(1, 4)))) for _ in range(3000)]
+    rules += [("http://other", "disallow", "/"), ("http://h", "sitemap", "/a")]
+    urls = [("http://h/" + "/".join(part() for _ in range(rng.randint(1, 5))), i) for i in range(3000)]
+    urls += [("http://other/x", 1), ("http://third/x", 2), ("http://h", 3), (urls[0][0], 4)]
+    out = D.robots_allowed(spark.createDataFrame(urls, "url string, n int"), spark.createDataFrame(rules, "host string, rule string, value string"))
+    paths = [v for h, r, v in rules if h == "http://h" and r == "disallow"]
+    want = [(u, n) for u, n in urls if not u.startswith("http://other") and not (u.startswith("http://h/") and any(u[8:].startswith(p) for p in paths))]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    joins = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Join" in line]
+    assert len(joins) == 3 and not any("startswith" in line.lower() for line in joins)
