@@ -45,7 +45,7 @@ def list_contexts(contexts: DataFrame, documents: DataFrame, name: str | None =
     """Contexts, newest first, with document count and text size."""
     chosen = contexts if name is None else contexts.where(F.col("name") == name)
     counts = documents.groupBy("context_id").agg(
-        F.count("*").alias("document_count"), F.sum(F.octet_length("content")).alias("_bytes")
+        F.count("*").alias("document_count"), F.sum(schema.text_size(documents, "content_bytes")).alias("_bytes")
     )
     size = F.round(F.coalesce("_bytes", F.lit(0)) / (1024 * 1024), 6)
     return (

@@ -44,7 +44,7 @@ def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def list_documents(documents: DataFrame, context_id: str, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of a context's documents, newest first; no content is read."""
-    columns = [c for c in documents.columns if c not in ("content", "context_id")]
+    columns = [c for c in documents.columns if c not in ("content", "context_id", *schema.DOCUMENT_SIZES)]
     own = documents.where(F.col("context_id") == context_id).select(*columns)
     return own.orderBy(F.desc("indexed_at"), "doc_id").offset(offset).limit(limit)
 
@@ -154,7 +154,7 @@ def _document_fields(documents: DataFrame) -> DataFrame:
         F.col("title").alias("doc_title"),
         F.col("url").alias("doc_url"),
         F.col("metadata").alias("doc_metadata"),
-        F.length("content").alias("parent_page_size"),
+        schema.text_size(documents, "content_length").alias("parent_page_size"),
     )
 
 

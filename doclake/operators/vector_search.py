@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.vectors import cosine_to, matrix, matrix_blocks, unit_rows
+from doclake.schema import text_size
 
 LIMIT = 10
 MIN_SIMILARITY = 0.7
@@ -57,7 +58,7 @@ def with_document(hits: DataFrame, documents: DataFrame) -> DataFrame:
         "doc_id",
         "title",
         "url",
-        F.length("content").alias("parent_page_size"),
+        text_size(documents, "content_length").alias("parent_page_size"),
         *([F.col("chunk_count").alias("parent_total_chunks")] if "chunk_count" in documents.columns else []),
         *([F.col("metadata").alias("doc_metadata")] if "metadata" in documents.columns else []),
     )

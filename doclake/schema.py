@@ -16,7 +16,8 @@ TABLES = {
     ),
     "documents": (
         "context_id string, doc_id string, url string, title string, content string, "
-        "metadata map<string,string>, indexed_at timestamp, source_type string, chunk_count int"
+        "metadata map<string,string>, indexed_at timestamp, source_type string, chunk_count int, "
+        "content_length int, content_bytes long"
     ),
     "raw_documents": "context_id string, doc_id string, raw_content string, created_at timestamp",
     "chunks": (
@@ -36,6 +37,15 @@ TABLES = {
     ),
 }
 
+#: Sizes of a stored document's text, written with it so that no look-up or listing has to read the text.
+DOCUMENT_SIZES = {"content_length": lambda: F.length("content"), "content_bytes": lambda: F.octet_length("content").cast("long")}
+
+
+def text_size(documents, size: str) -> Column:
+    """A size from the stored column where there is one, otherwise from the text."""
+    return F.col(size) if size in documents.columns else DOCUMENT_SIZES[size]()
+
+
 DEFAULT_EMBEDDING_MODEL = "text-embedding-3-large"
 SOURCE_TYPES = ("url", "file")
 SEARCH_MODES = ("vector", "fulltext", "hybrid")

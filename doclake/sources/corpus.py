@@ -185,6 +185,8 @@ class Corpus:
         with self.change() as version:
             keys = [*self._keys(table), "version"]
             rows = self._bucketed(table, self._conform(table, df)).withColumn("version", F.lit(version))
+            if table == "documents":
+                rows = rows.withColumns({name: size() for name, size in schema.DOCUMENT_SIZES.items()})
             # AQE splits large and merges small write partitions, whatever the skew of contexts and buckets.
             spread = rows.hint("rebalance", *[F.col(k) for k in keys[:-1]])
             # The writer sorts by partition anyway; sorting on by owner lets look-ups by id skip row groups.

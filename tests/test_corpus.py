@@ -169,6 +169,21 @@ def test_deletes(corpus, spark):
     assert all(corpus.read(t).count() == 0 for t in TABLES)
 
 
+def test_listings_and_look_ups_read_no_text(corpus, spark):
+    """Sizes come from their own columns; the texts of documents are in no scan."""
+    cid = corpus.context_id("a")
+    texts = {r["doc_id"]: r["content"] for r in corpus.read("documents", cid).collect()}
+    listed = corpus.list_contexts("a")
+    assert listed.first()["size_mb"] == round(sum(len(t.encode()) for t in texts.values()) / 2**20, 6)
+    chunks, snippets = (corpus.read(t, cid).drop("content") for t in ("chunks", "code_snippets"))
+    detailed = D.chunk_details(chunks, corpus.read("documents", cid), snippets.withColumn("content", F.lit("")), chunks.select("chunk_id"))
+    assert all(r["parent_page_size"] == len(texts[r["doc_id"]]) for r in detailed.collect())
+    for frame in (listed, corpus.statistics(), detailed):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "ReadSchema" in line or "FileScan" in line]
+        assert scans and not any("content:string" in line or "content#" in line for line in scans)
+
+
 def test_names(corpus, spark):
     for bad in ("a", "", "x" * 101):
         with pytest.raises(ValueError):
