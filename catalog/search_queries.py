@@ -17,8 +17,10 @@ from doclake.operators import vector_search as V
 from doclake.operators.cells import Cells, build_cells
 from doclake.operators.documents import attach_snippets
 from doclake.operators.snippets import extract_snippets
-from doclake.plans.search import search_code_frames, search_frames
+from doclake.plans import indexes
+from doclake.plans.search import search, search_code_frames, search_frames
 from doclake.session import shared_dir, spread
+from doclake.sources.corpus import Corpus
 
 _QUERY = "the tion ment est"
 
@@ -391,6 +393,33 @@ def _cells_batch(spark, sf):
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "search_indexed",
+    f"""
+    WITH {_VECTOR_SQL}, hits AS (SELECT * FROM ch WHERE cos > 0.1 ORDER BY round(cos, 9) DESC, CAST(chunk_id AS VARCHAR) LIMIT 10)
+    SELECT CAST(chunk_id AS VARCHAR) AS chunk_id, d.title, d.url, CAST(length(d.content) AS INT) AS parent_page_size, round(cos, 6) AS score
+    FROM hits h JOIN docs d ON d.doc_id = h.doc_id
+    """,
+)
+def _search_indexed(spark, sf):
+    """A stored context searched through its cells, when French documents were added after these were built."""
+    corpus = Corpus(spark, shared_dir(spark, "corpus"), buckets=4)
+    corpus.register(spark.createDataFrame([("all",)], "name string"))
+    owner = F.lit(corpus.context_id("all")).alias("context_id")
+    chunks = chunk_frame(spark, sf).select(owner, "doc_id", "chunk_id", "content", "embedding", F.lit(0).alias("chunk_index"))
+    documents = corpus_documents(spark, sf).drop("context_id").withColumn("context_id", owner)
+    french = documents.where("lang = 'fr'").select("doc_id")
+    with corpus.change():
+        corpus.append("documents", documents.where("lang <> 'fr'"))
+        corpus.append("chunks", chunks.join(french, "doc_id", "left_anti"))
+    indexes.index_vectors(corpus, "all")
+    with corpus.change():
+        corpus.append("documents", documents.where("lang = 'fr'"))
+        corpus.append("chunks", chunks.join(french, "doc_id", "left_semi"))
+    hits = search(corpus, "all", _QUERY, "vector", 10, embedder=FixedEmbedder(query_vector(spark, sf)))
+    return hits.select("chunk_id", "title", "url", F.col("metadata.document.parent_page_size").alias("parent_page_size"), F.round("score", 6).alias("score"))
+
+
 _BLOCKS: dict[tuple[str, str], str] = {}
 
 
