@@ -159,17 +159,29 @@ def count_features(texts: DataFrame, features: np.ndarray) -> tuple[np.ndarray,
     return np.array([rows.get(i, 0) for i in range(len(features))], np.int64), rows.get(-1, 0)
 
 
-def chosen_features(sample: DataFrame, texts: DataFrame, n_pos: int) -> np.ndarray:
-    """Features whose share among the toxic texts of a sample (positive, features) is far above that among all ``texts``."""
-    counts = sample.where("positive").select(F.explode("features").alias("feature")).groupBy("feature").count()
-    often = counts.where(F.col("count") >= LEAST_TEXTS).toPandas().sort_values("feature")
-    features, positive = often["feature"].to_numpy(np.int64), often["count"].to_numpy(np.int64)
+def _apart(positive: np.ndarray, n_pos: int, others: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the share of each feature among toxic texts lies above that among ``n`` others: in deviations and as a ratio."""
+    share_p, share_u = positive / n_pos, (others + 1) / (n + 1)
+    return (share_p - share_u) / np.sqrt(share_u * np.maximum(1 - share_u, 1e-9) / n_pos), share_p / share_u
+
+
+def chosen_features(sample: DataFrame, texts: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+    """Features whose share among the toxic texts of a sample (positive, unlabelled, features) is far above that among all ``texts``.
+
+    Features that do not reach half of both limits in the sample are not counted further.
+    """
+    role = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    counts = sample.select("positive", "unlabelled", F.explode("features").alias("feature"))
+    counts = counts.groupBy("feature").agg(role("positive"), role("unlabelled")).where(F.col("positive") >= LEAST_TEXTS)
+    often = counts.toPandas().sort_values("feature")
+    features, positive, unlabelled = (often[c].to_numpy(np.int64) for c in ("feature", "positive", "unlabelled"))
+    z, ratio = _apart(positive, n_pos, unlabelled, n_unl)
+    likely = (z >= Z_LEAST / 2) & (ratio >= RATIO_LEAST / 2)
+    features, positive = features[likely], positive[likely]
     if not len(features):
         return features
-    everywhere, n = count_features(texts, features)
-    share_p, share_u = positive / n_pos, (everywhere + 1) / (n + 1)
-    z = (share_p - share_u) / np.sqrt(share_u * np.maximum(1 - share_u, 1e-9) / n_pos)
-    return features[(z >= Z_LEAST) & (share_p >= RATIO_LEAST * share_u)]
+    z, ratio = _apart(positive, n_pos, *count_features(texts, features))
+    return features[(z >= Z_LEAST) & (ratio >= RATIO_LEAST)]
 
 
 def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
@@ -275,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.max(F.when(F.col("role") == 3, F.col("toxic"))).alias("toxic"),
     )
     roles = stored(roles, "toxicity-roles")
-    n_pos = roles.where("positive").count()
+    n_pos, n_unl = (roles.where(c).count() for c in ("positive", "unlabelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = texts.join(F.broadcast(roles.select("doc_id")), "doc_id")
     found = chosen.mapInArrow(run, "doc_id long, features array<int>").dropDuplicates(["doc_id"]).join(roles, "doc_id")
     sample = stored(found, "toxicity-sample")
-    kept = chosen_features(sample, texts, max(n_pos, 1))
+    kept = chosen_features(sample, texts, max(n_pos, 1), n_unl)
     if not n_pos or not len(kept):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
 
