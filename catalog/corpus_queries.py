@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog.registry import DOCS_SQL, corpus_documents, markdown_documents, query, table
@@ -460,6 +460,36 @@ def _copy_chunks(spark, sf):
     return out.select("doc_id", "chunk_index", "chunk_id", F.md5("content").alias("digest"))
 
 
+@query(
+    "copy_chunks_remapped",
+    f"""
+    WITH {_MAPPED_SQL}, ch AS (SELECT doc_id, CAST(i AS INT) AS chunk_index, substr(content, i * 1000 + 1, 1000) AS content,
+      (length(content) + 999) // 1000 AS n FROM docs, unnest(range(0, (length(content) + 999) // 1000)) AS u(i)),
+    held AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS doc_id, chunk_index FROM ch),
+    new AS (SELECT m.new_doc_id AS doc_id, c.chunk_index, c.content,
+        sha256(concat_ws(chr(1), m.new_doc_id, CAST(c.chunk_index * 1000 AS VARCHAR), 'code_block')) AS here,
+        sha256(concat_ws(chr(1), m.new_doc_id, CAST((c.n - 1 - c.chunk_index) * 1000 AS VARCHAR), 'code_block')) AS far
+      FROM mapped m JOIN ch c ON c.doc_id = m.doc_no)
+    SELECT doc_id, chunk_index, here || ',gone' AS links, md5('[CODE_SNIPPET: snippet_id=' || far || ']' || content || '[CODE_SNIPPET: snippet_id='
+      || here || '][CODE_SNIPPET: snippet_id=' || far || '] snippet_id=unknown') AS digest FROM new
+    WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = new.doc_id AND h.chunk_index = new.chunk_index)
+    """,
+)
+def _copy_chunks_remapped(spark, sf):
+    """Chunks that name their own snippet and the one as far from the end, under new ids in text and links."""
+    docs, held = _merge_frames(spark, sf)
+    ids = M.id_map(M.map_to_target(M.collect_documents(docs, _SOURCES), held, _TARGET))
+    last = Window.partitionBy("doc_id")
+    named = chunk_frame(spark, sf).withColumn("_far", F.max("chunk_index").over(last) - F.col("chunk_index"))
+    mark = lambda at: F.concat(F.lit("[CODE_SNIPPET: snippet_id="), F.concat_ws("/", "doc_id", at), F.lit("]"))
+    text = F.concat(mark("_far"), "content", mark("chunk_index"), mark("_far"), F.lit(" snippet_id=unknown"))
+    chunks = _keyed(named.withColumn("content", text).drop("_far"))
+    pairs = M.snippet_id_pairs(ids, _keyed(snippet_frame(spark, sf)))
+    out = M.copy_chunks(ids, chunks, chunks.where(F.col("context_id") == _TARGET), _TARGET, pairs)
+    links = F.array_join("code_snippet_ids", ",")
+    return out.select("doc_id", "chunk_index", links.alias("links"), F.md5("content").alias("digest"))
+
+
 @query(
     "copy_snippets",
     f"""

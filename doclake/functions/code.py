@@ -123,6 +123,20 @@ def placeholder(content: Column, snippet: Column) -> Column:
     )
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of the elements of array<int> up to each, by doubling: n log n steps, where a fold would copy n arrays."""
+
+    def doubled(sums: Column, width: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - width), F.lit(0))).cast("array<int>")
+
+    def scan(v: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int"))
+        widths = F.transform(rounds, lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(widths, v.cast("array<int>"), doubled)
+
+    return let(values, scan)
+
+
 def matches(c, pattern: str, group: int, flags: str = "") -> Column:
     """All matches of a pattern as array<struct<start_pos, end_pos, original, inner>>, offsets in code points.
 
@@ -133,24 +147,14 @@ def matches(c, pattern: str, group: int, flags: str = "") -> Column:
 
     def locate(s: Column) -> Column:
         found, gaps = s["found"], s["gaps"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-        def step(acc: Column, i: Column) -> Column:
-            at = (acc["at"] + F.length(F.get(gaps, i))).cast("int")
-            return F.struct(
-                (at + F.length(F.get(found, i))).cast("int").alias("at"),
-                F.concat(acc["starts"], F.array(at)).alias("starts"),
-            )
-
-        order = F.transform(found, lambda _, i: i)
-        starts = F.aggregate(order, start, step, lambda acc: acc["starts"])
+        lengths = F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("int"))
         return let(
-            starts,
-            lambda at: F.transform(
+            running_sums(lengths),
+            lambda ends: F.transform(
                 found,
                 lambda m, i: F.struct(
-                    F.get(at, i).alias("start_pos"),
-                    (F.get(at, i) + F.length(m)).cast("int").alias("end_pos"),
+                    (F.get(ends, i) - F.length(m)).cast("int").alias("start_pos"),
+                    F.get(ends, i).alias("end_pos"),
                     m.alias("original"),
                     F.get(s["inner"], i).alias("inner"),
                 ),

@@ -83,6 +83,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Characters of a block of a text that is cut many times.
+BLOCK = 4096
+
+
+def blocks(text) -> Column:
+    """The text in blocks, for ``cut``."""
+    return F.regexp_extract_all(column(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (0-based, end exclusive) of a text in blocks.
+
+    ``substring`` counts from the front of the text, so cutting a long one into its parts is quadratic; here only the
+    blocks that are touched are looked at.
+    """
+    first = F.floor(start / BLOCK).cast("int")
+    touched = F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(0))
+    near = F.array_join(F.slice(pieces, first + 1, touched), "")
+    return F.substring(near, start - first * BLOCK + 1, end - start)
+
+
 def where_found(text: Column, needles: list[str], step, searched: Column | None = None) -> Column:
     """``step(text)`` where one of the needles occurs, else the text as it is.
 

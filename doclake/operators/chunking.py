@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions.chunks import token_estimate
-from doclake.functions.patterns import column
+from doclake.functions.patterns import blocks, column, cut, let
 from doclake.functions.splitting import SPAN_TYPE, split_batch
 
 CHUNK_SIZE = 4000
@@ -28,10 +28,9 @@ def chunk_spans(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> C
 
 def chunks_of(text, spans, overlap: int = CHUNK_OVERLAP, kind: str = "text") -> Column:
     """Array of chunk structs cut from the text at the given spans, in the JVM."""
-    text = column(text)
 
-    def record(s: Column, i: Column) -> Column:
-        content = F.substring(text, s["char_start"] + 1, s["char_end"] - s["char_start"])
+    def record(pieces: Column, s: Column, i: Column) -> Column:
+        content = cut(pieces, s["char_start"], s["char_end"])
         size = s["char_end"] - s["char_start"]
         return F.struct(
             i.cast("int").alias("chunk_index"),
@@ -50,7 +49,7 @@ def chunks_of(text, spans, overlap: int = CHUNK_OVERLAP, kind: str = "text") ->
             ).alias("metadata"),
         )
 
-    return F.transform(column(spans), record)
+    return let(blocks(text), lambda pieces: F.transform(column(spans), lambda s, i: record(pieces, s, i)))
 
 
 def chunk_documents(
@@ -62,8 +61,8 @@ def chunk_documents(
     kind: str = "text",
 ) -> DataFrame:
     """One row per chunk. A narrow transformation: no shuffle, however long or repeated the documents are."""
-    cut = df.select(*keys, text, chunk_spans(text, size, overlap).alias("_spans"))
-    rows = cut.select(*keys, F.explode(chunks_of(text, "_spans", overlap, kind)).alias("_chunk"))
+    spanned = df.select(*keys, text, chunk_spans(text, size, overlap).alias("_spans"))
+    rows = spanned.select(*keys, F.explode(chunks_of(text, "_spans", overlap, kind)).alias("_chunk"))
     return rows.select(*keys, "_chunk.*")
 
 

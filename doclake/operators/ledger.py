@@ -1,7 +1,8 @@
 """Ingest ledger: an append-only table of job events folded into job states, progress and phases.
 
-Per-job windows are cut into time slices, so a job that holds a third of all events is still many small sorts; values
-that cross a slice border come from a summary with one row per job and slice.
+Per-job windows are prefix scans over ranges of (job, time, event) with about equal numbers of rows, so a job that holds a
+third of all events, or has all of them in one minute, is still many small sorts; values that cross a border come from a
+summary with one row per job and range. Events without a time come first, those without a job form one.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from doclake.session import stored
 
 FINAL = ("completed", "failed")
 FOLDED = ("type", "context_id", "status", "progress", "metadata", "error_message", "result_data")
-SLICE_SECONDS = 3600
 RETENTION_DAYS = 7
 
 
@@ -81,60 +84,71 @@ def failed_documents(results: DataFrame) -> DataFrame:
     return results.where(F.col("status") != "processed").select("url", "title", "error")
 
 
-def _sliced(df: DataFrame, seconds: int) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000)))
+def ranged(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of (key, time, event), numbered by ``_part``; by default as many as shuffle partitions.
+
+    Written once, as summaries and rows have to see the same borders.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, key, "ts", "event_id").withColumn("_part", F.spark_partition_id())
+    return stored(cut, "ranges")
+
+
+def _with_border(rows: DataFrame, borders: DataFrame, key: str) -> DataFrame:
+    renamed = borders.withColumnsRenamed({key: "_key", "_part": "_in"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in"))
+    return rows.join(renamed, same).drop("_key", "_in")
+
+
+def _inside(key: str) -> WindowSpec:
+    return Window.partitionBy(key, "_part").orderBy("ts", "event_id")
 
 
-def running_count(df: DataFrame, key: str, seconds: int = SLICE_SECONDS) -> DataFrame:
+def running_count(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Adds ``done`` (position of the event within its key) and ``total`` (events of the key)."""
-    sliced = _sliced(df, seconds)
-    per_slice = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
+    cut = ranged(df, key, parts)
+    sizes = cut.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
         key,
-        "_slice",
+        "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(key)).alias("total"),
     )
-    inside = F.row_number().over(Window.partitionBy(key, "_slice").orderBy("ts", "event_id"))
-    joined = sliced.join(offsets, [key, "_slice"])
-    return joined.withColumn("done", F.col("_before") + inside).drop("_slice", "_before")
+    counted = _with_border(cut.withColumn("_at", F.row_number().over(_inside(key))), offsets, key)
+    return counted.withColumn("done", F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
 
 
-def progress(events: DataFrame, key: str = "job_id", stage: str = "processing", seconds: int = SLICE_SECONDS) -> DataFrame:
+def progress(events: DataFrame, key: str = "job_id", stage: str = "processing", parts: int | None = None) -> DataFrame:
     """Progress after each event: 0.1 to 0.8 while processing, 0.8 to 1.0 while storing."""
     base, span = {"processing": (0.1, 0.7), "storing": (0.8, 0.2)}[stage]
-    counted = running_count(events, key, seconds)
+    counted = running_count(events, key, parts)
     return counted.withColumn("progress", F.lit(base) + F.lit(span) * F.col("done") / F.col("total"))
 
 
-def previous_value(df: DataFrame, key: str, value: str, name: str, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Adds the value of the previous event of the key (NULL for its first), exact across slice borders."""
-    sliced = _sliced(df, seconds)
-    last = sliced.groupBy(key, "_slice").agg(F.max_by(value, _order()).alias("_last"))
-    border = last.select(key, "_slice", F.lag("_last").over(Window.partitionBy(key).orderBy("_slice")).alias("_border"))
-    position = Window.partitionBy(key, "_slice").orderBy("ts", "event_id")
-    joined = sliced.join(border, [key, "_slice"])
-    inside = F.when(F.row_number().over(position) == 1, F.col("_border")).otherwise(F.lag(value).over(position))
-    return joined.withColumn(name, inside).drop("_slice", "_border")
+def previous_value(cut: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Adds to ``ranged`` rows the value of the previous event of the key (NULL for its first), across borders too."""
+    last = cut.groupBy(key, "_part").agg(F.max_by(value, _order()).alias("_last"))
+    border = last.select(key, "_part", F.lag("_last").over(Window.partitionBy(key).orderBy("_part")).alias("_border"))
+    near = cut.withColumn("_at", F.row_number().over(_inside(key))).withColumn(name, F.lag(value).over(_inside(key)))
+    joined = _with_border(near, border, key)
+    return joined.withColumn(name, F.when(F.col("_at") == 1, F.col("_border")).otherwise(F.col(name))).drop("_at", "_border")
 
 
-def next_time(df: DataFrame, key: str, name: str, seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Adds the time of the next event of the key (NULL for its last), exact across slice borders."""
-    sliced = _sliced(df, seconds)
-    first = sliced.groupBy(key, "_slice").agg(F.min("ts").alias("_first"))
-    border = first.select(key, "_slice", F.lead("_first").over(Window.partitionBy(key).orderBy("_slice")).alias("_border"))
-    position = Window.partitionBy(key, "_slice").orderBy("ts", "event_id")
-    joined = sliced.join(border, [key, "_slice"])
-    inside = F.coalesce(F.lead("ts").over(position), F.col("_border"))
-    return joined.withColumn(name, inside).drop("_slice", "_border")
+def next_time(cut: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds to ``ranged`` rows the time of the next event of the key (NULL for its last), across borders too."""
+    first = cut.groupBy(key, "_part").agg(F.min("ts").alias("_first"))
+    border = first.select(key, "_part", F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_border"))
+    joined = _with_border(cut.withColumn(name, F.lead("ts").over(_inside(key))), border, key)
+    return joined.withColumn(name, F.coalesce(name, "_border")).drop("_border")
 
 
-def phase_timeline(events: DataFrame, key: str = "job_id", phase: str = "phase", seconds: int = SLICE_SECONDS) -> DataFrame:
+def phase_timeline(events: DataFrame, key: str = "job_id", phase: str = "phase", parts: int | None = None) -> DataFrame:
     """One row per stretch of equal phases: its phase, start, end (start of the next) and seconds elapsed."""
-    compared = previous_value(events, key, phase, "_previous", seconds)
+    cut = ranged(events.select(key, phase, "ts", "event_id"), key, parts)
+    compared = previous_value(cut, key, phase, "_previous")
     starts = compared.where(F.col("_previous").isNull() | (F.col("_previous") != F.col(phase)))
-    timed = next_time(starts.select(key, F.col(phase).alias("phase"), "ts", "event_id"), key, "ended_at", seconds)
+    timed = next_time(starts.select(key, F.col(phase).alias("phase"), "ts", "event_id", "_part"), key, "ended_at")
     elapsed = (F.unix_micros(F.col("ended_at")) - F.unix_micros(F.col("ts"))) / 1_000_000
     return timed.select(
         key, "phase", F.col("ts").alias("started_at"), "ended_at", "event_id", elapsed.alias("elapsed_seconds")

@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclake import schema
+from doclake.functions.patterns import let
 from doclake.operators.relations import first_per_key
 
+# Fixed value: what precedes a snippet id in a placeholder.
+MARK = "snippet_id="
+#: An id ends at the bracket that closes its placeholder, or at white space.
+MARKED = MARK + r"([^\]\s]+)"
+
 
 def _source_order(sources: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("context_id")).cast("int")
@@ -77,21 +83,40 @@ def copy_snippets(ids: DataFrame, snippets: DataFrame, target_snippets: DataFram
 
 
 def snippet_id_pairs(ids: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Per old document, a map from old to new snippet ids."""
+    """doc_id, old_id and new_id of the snippets of the old documents."""
     new_id = schema.snippet_id("new_doc_id", "start_pos", "snippet_type")
-    pairs = snippets.select("doc_id", "snippet_id", "start_pos", "snippet_type").join(ids, "doc_id")
-    pairs = pairs.select("doc_id", F.struct(F.col("snippet_id").alias("old"), new_id.alias("new")).alias("_pair"))
-    return pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_set("_pair")).alias("id_pairs"))
-
-
-def remap_links(links, pairs) -> Column:
-    return F.transform(links, lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+    pairs = snippets.select("doc_id", F.col("snippet_id").alias("old_id"), "start_pos", "snippet_type").join(ids, "doc_id")
+    return pairs.groupBy("doc_id", "old_id").agg(F.min(new_id).alias("new_id"))
 
 
-def remap_text(text: Column, pairs: Column) -> Column:
-    """Old snippet ids in placeholders replaced by the new ones."""
-    swap = lambda t, p: F.replace(t, F.concat(F.lit("snippet_id="), p["key"]), F.concat(F.lit("snippet_id="), p["value"]))
-    return F.when(pairs.isNull(), text).otherwise(F.aggregate(F.map_entries(pairs), text, swap))
+def remap_snippets(
+    df: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "content", links: str | None = None
+) -> DataFrame:
+    """``df`` with old snippet ids replaced by the new ones, in the placeholders of a text and in an array of links.
+
+    The text is split at its placeholders once. The ids between the pieces are mapped by a join on (document, id) and go
+    back by position, so the work grows with the text, and no row meets pairs it does not name. Ids without a pair, and
+    texts that are NULL, stay as they are. ``keys`` name a row and begin with doc_id.
+    """
+    none = F.array().cast("array<string>")
+    marked = F.coalesce(F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)), none)
+    linked = none if links is None else F.coalesce(links, none)
+    named = df.select(*keys, F.posexplode(F.concat(marked, linked)).alias("_at", "old_id"))
+    renamed = named.join(pairs, ["doc_id", "old_id"], "left").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new_id", "old_id").alias("id"))))["id"].alias("_ids")
+    )
+    moved = df.join(renamed, list(keys), "left")
+    piece = lambda gap, i: F.concat(gap, F.coalesce(F.concat(F.lit(MARK), F.get("_ids", i)), F.lit("")))
+    gaps = F.split(text, MARKED, -1)
+    n = F.size(marked)
+    body = let(gaps, lambda g: F.concat(
+        F.array_join(F.transform(F.slice(g, F.lit(1), F.size(g) - 1), piece), ""), F.element_at(g, -1)
+    ))
+    changed = {text: F.when(F.col(text).isNotNull() & F.col("_ids").isNotNull() & (n > 0), body).otherwise(F.col(text))}
+    if links is not None:
+        own = F.slice("_ids", n + 1, F.size(linked))
+        changed[links] = F.when(F.col(links).isNotNull() & F.col("_ids").isNotNull(), own).otherwise(F.col(links))
+    return moved.withColumns(changed).drop("_ids")
 
 
 def copy_chunks(
@@ -105,9 +130,7 @@ def copy_chunks(
     target = F.lit(target) if isinstance(target, str) else target
     moved = chunks.join(ids, "doc_id")
     if pairs is not None:
-        moved = moved.join(pairs, "doc_id", "left")
-        moved = moved.withColumn("content", remap_text(F.col("content"), F.col("id_pairs")))
-        moved = moved.withColumn("code_snippet_ids", remap_links("code_snippet_ids", F.col("id_pairs"))).drop("id_pairs")
+        moved = remap_snippets(moved, pairs, ("doc_id", "chunk_index"), links="code_snippet_ids")
     moved = moved.withColumn("doc_id", F.col("new_doc_id")).withColumn("context_id", target).drop("new_doc_id")
     moved = moved.withColumn("chunk_id", schema.chunk_id("doc_id", "chunk_index"))
     key = ["doc_id", "chunk_index"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclake import schema
 from doclake.functions import code
-from doclake.functions.patterns import column, let
+from doclake.functions.patterns import blocks, column, cut, let
 
 #: Width of the position buckets of the overlap join; about one chunk.
 BUCKET_WIDTH = 4096
@@ -75,16 +75,19 @@ def placeholder_text(text, snippets, mode: str = "exact") -> Column:
             F.when(free, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    def splice(kept: Column) -> Column:
+    def splice(kept: Column, pieces: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
             begin = F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(0)
-            return F.concat(F.substring(text, begin + 1, s["start"] - begin), s["mark"])
+            return F.concat(cut(pieces, begin, s["start"]), s["mark"])
 
-        tail = F.substring(text, F.try_element_at(kept, F.lit(-1))["end"] + 1, F.lit(2**31 - 1))
+        tail = cut(pieces, F.try_element_at(kept, F.lit(-1))["end"], F.length(text))
         whole = F.concat(F.array_join(F.transform(kept, piece), ""), tail)
         return F.when(F.size(kept) > 0, whole).otherwise(text)
 
-    return let(F.aggregate(ordered, seed, keep, lambda acc: acc["kept"]), splice)
+    def spliced(kept: Column) -> Column:
+        return let(blocks(F.when(F.size(kept) > 0, text)), lambda pieces: splice(kept, pieces))
+
+    return let(F.aggregate(ordered, seed, keep, lambda acc: acc["kept"]), spliced)
 
 
 def cleaned_content(df: DataFrame, text: str = "content", doc: str = "doc_id", mode: str = "exact") -> DataFrame:

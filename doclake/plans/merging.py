@@ -58,8 +58,7 @@ def _merge(
     raw = of_sources("raw_documents").join(moves, "doc_id").withColumn("doc_id", F.col("new_doc_id"))
     raw = raw.join(stored["raw_documents"].select("doc_id"), "doc_id", "left_anti")
     raw.withColumn("context_id", F.lit(into)).write.parquet(f"{work}/raw_documents")
-    fresh = mapped.where("is_new").join(pairs, "doc_id", "left")
-    fresh = fresh.withColumn("content", m.remap_text(F.col("content"), F.col("id_pairs")))
+    fresh = m.remap_snippets(mapped.where("is_new"), pairs)
     m.documents_to_insert(fresh, into, stored["documents"].columns).write.parquet(f"{work}/new_documents")
 
     new_snippets = spark.read.parquet(f"{work}/code_snippets")

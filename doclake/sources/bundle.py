@@ -69,10 +69,7 @@ def remap_bundle(tables: dict[str, DataFrame], context: str) -> dict[str, DataFr
         snippets = snippets.withColumn("preview", F.coalesce("preview", "summary")).drop("summary")
     snippets = snippets.withColumn("preview", F.coalesce("preview", F.lit("")))
     pairs = m.snippet_id_pairs(ids, snippets)
-    moved = documents.join(ids, "doc_id").join(pairs, "doc_id", "left")
-    moved = moved.withColumn("content", m.remap_text(F.col("content"), F.col("id_pairs"))).withColumn(
-        "doc_id", F.col("new_doc_id")
-    )
+    moved = m.remap_snippets(documents.join(ids, "doc_id"), pairs).withColumn("doc_id", F.col("new_doc_id"))
     raw = tables["raw_documents"].join(ids, "doc_id").withColumn("doc_id", F.col("new_doc_id"))
     owner = F.lit(context)
     return {

@@ -39,20 +39,20 @@ def test_fold(events):
         assert (got[job]["started_at"], got[job]["updated_at"]) == (rows[0]["ts"], rows[-1]["ts"])
 
 
-@pytest.mark.parametrize("seconds", [60, 1800, 10**7])
-def test_progress_across_slices(events, seconds):
-    got = {r["event_id"]: r for r in L.running_count(events, "job_id", seconds).collect()}
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_progress_across_ranges(events, parts):
+    got = {r["event_id"]: r for r in L.running_count(events, "job_id", parts).collect()}
     for rows in by_job(events).values():
         for n, r in enumerate(rows, 1):
             assert (got[r["event_id"]]["done"], got[r["event_id"]]["total"]) == (n, len(rows))
-    assert {round(r["progress"], 9) for r in L.progress(events, stage="storing", seconds=seconds).collect()} <= {
+    assert {round(r["progress"], 9) for r in L.progress(events, stage="storing", parts=parts).collect()} <= {
         round(0.8 + 0.2 * n / len(rows), 9) for rows in by_job(events).values() for n in range(1, len(rows) + 1)
     }
 
 
-@pytest.mark.parametrize("seconds", [60, 1800, 10**7])
-def test_phases_across_slices(events, seconds):
-    got = {r["event_id"]: r for r in L.phase_timeline(events, seconds=seconds).collect()}
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_phases_across_ranges(events, parts):
+    got = {r["event_id"]: r for r in L.phase_timeline(events, parts=parts).collect()}
     want = {}
     for rows in by_job(events).values():
         starts = [r for p, r in zip([None, *rows], rows) if p is None or p["phase"] != r["phase"]]
@@ -61,6 +61,20 @@ def test_phases_across_slices(events, seconds):
     assert {k: (r["phase"], r["ended_at"]) for k, r in got.items()} == want
 
 
+def test_one_job_in_one_minute_is_cut(spark):
+    hot = F.when(F.col("id") % 3 == 0, None).otherwise("hot")
+    phase = F.format_string("p%s", F.floor(F.col("id") / 700) % 2)
+    df = spark.range(9000).select(
+        F.format_string("%06d", "id").alias("event_id"), hot.alias("job_id"), F.lit(START).alias("ts"), phase.alias("phase")
+    )
+    sizes = [r["count"] for r in L.ranged(df, "job_id", 9).groupBy("_part").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 2000
+    done = [r for r in L.running_count(df, "job_id", 9).orderBy("event_id").collect()]
+    assert [r["done"] for r in done if r["job_id"] == "hot"] == list(range(1, 6001))
+    assert [r["done"] for r in done if r["job_id"] is None] == list(range(1, 3001))
+    assert L.phase_timeline(df, parts=9).where("job_id = 'hot'").count() == 13
+
+
 def test_retention(spark):
     rows = [("a", "completed", START), ("b", "failed", START + timedelta(days=9)), ("c", "processing", None), ("d", None, None)]
     state = spark.createDataFrame(rows, "job_id string, status string, completed_at timestamp")
