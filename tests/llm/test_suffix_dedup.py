@@ -74,6 +74,18 @@ def test_edges_of_windows(spark):
     check(spark, rows)
 
 
+def test_shared_ends_shorter_than_a_window(spark):
+    """Texts that end alike on less than a window share no window, though the last of them are followed by nothing."""
+    rng = random.Random(3)
+    rows = []
+    for n in (95, 96, 97, 98, 99, 100):
+        for _ in range(6):
+            shared = "".join(rng.choice("abcdefgh") for _ in range(n))
+            rows += [(len(rows) + k, "".join(rng.choice("klmnop") for _ in range(59)) + "ij"[k] + shared) for k in range(2)]
+    want = check(spark, rows)
+    assert {w[1] for w in want if w[2]} == {160}
+
+
 def test_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 500)
     rng = random.Random(4)
