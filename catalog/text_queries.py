@@ -61,9 +61,7 @@ def _url_key(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.url_key(F.concat("url", F.lit("//"))).alias("url_key"))
 
 
-@query(
-    "url_title",
-    """
+_URL_TITLE_SQL = """
     WITH p AS (
       SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages
     ), s AS (
@@ -73,8 +71,10 @@ def _url_key(spark, sf):
       list_aggregate(list_transform(regexp_extract_all(seg, '[\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+'),
         lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') END AS title
     FROM s
-    """,
-)
+    """
+
+
+@query("url_title", _URL_TITLE_SQL)
 def _url_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.url_title("url").alias("title"))
 
@@ -102,13 +102,15 @@ def _pages_markdown(spark, sf):
     return pages_to_markdown(texts(spark, sf, "pages", "page_id", "url", "html"))
 
 
+# As in HTML, the semicolon of these four references may be missing; a page without a title gets one from its URL.
 @query(
     "page_titles",
-    """
-    SELECT page_id, array_to_string(list_filter(string_split_regex(
-      replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'),
-      '&quot;', '"'), '&amp;', '&'), '\\s+'), lambda w: w <> ''), ' ') AS title
-    FROM pages
+    f"""
+    WITH t AS (SELECT page_id, array_to_string(list_filter(string_split_regex(
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
+      '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS title
+      FROM pages), u AS ({_URL_TITLE_SQL})
+    SELECT page_id, coalesce(nullif(t.title, ''), u.title) AS title FROM t JOIN u USING (page_id)
     """,
 )
 def _page_titles(spark, sf):
