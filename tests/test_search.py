@@ -108,3 +108,26 @@ def test_dispatch_checks(texts):
         args = {"query": "x", "mode": "fulltext", "limit": 5, **bad}
         with pytest.raises(ValueError):
             search_frames(texts, docs, args["query"], args["mode"], args["limit"])
+
+
+def test_batch_blocks_are_scored_in_steps(monkeypatch):
+    """Queries of a block come in steps; ties go by id across steps and matrix blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from doclake.operators import vector_search as V
+
+    monkeypatch.setattr(V, "QUERIES_AT_ONCE", 3)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(1500, 4)).astype(np.float32)
+    vectors[1100:1110] = vectors[:10]  # equal vectors in another matrix block
+    ids = rng.permutation(1500)
+    column = pa.array(vectors.tolist(), pa.list_(pa.float32()))
+    items = pa.table({"id": pa.array(ids), "embedding": column})
+    queries = pa.table({"query_id": pa.array(range(10)), "embedding": column.slice(0, 10)})
+    got = V._block_top(items, queries, 5, 0.1, "id").to_pylist()
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    for q in range(10):
+        scores = np.round(unit @ unit[q], 9)
+        want = ids[np.lexsort((ids, -scores))[:5]].tolist()
+        assert [r["id"] for r in got if r["query_id"] == q] == want
