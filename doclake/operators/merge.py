@@ -89,23 +89,26 @@ def snippet_id_pairs(ids: DataFrame, snippets: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "old_id").agg(F.min(new_id).alias("new_id"))
 
 
-def remap_snippets(
-    df: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "content", links: str | None = None
-) -> DataFrame:
-    """``df`` with old snippet ids replaced by the new ones, in the placeholders of a text and in an array of links.
-
-    The text is split at its placeholders once. The ids between the pieces are mapped by a join on (document, id) and go
-    back by position, so the work grows with the text, and no row meets pairs it does not name. Ids without a pair, and
-    texts that are NULL, stay as they are. ``keys`` name a row and begin with doc_id.
-    """
+def _names(text: str, links: str | None) -> tuple[Column, Column]:
+    """Snippet ids in the placeholders of a text, and in an array of links."""
     none = F.array().cast("array<string>")
     marked = F.coalesce(F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)), none)
-    linked = none if links is None else F.coalesce(links, none)
-    named = df.select(*keys, F.posexplode(F.concat(marked, linked)).alias("_at", "old_id"))
-    renamed = named.join(pairs, ["doc_id", "old_id"], "left").groupBy(*keys).agg(
+    return marked, none if links is None else F.coalesce(links, none)
+
+
+def new_names(
+    df: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "content", links: str | None = None
+) -> DataFrame:
+    """Per row that names snippets its keys and ``_ids``: what each place names from now on. No text is shuffled."""
+    named = df.select(*keys, F.posexplode(F.concat(*_names(text, links))).alias("_at", "old_id"))
+    return named.join(pairs, ["doc_id", "old_id"], "left").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_at", F.coalesce("new_id", "old_id").alias("id"))))["id"].alias("_ids")
     )
-    moved = df.join(renamed, list(keys), "left")
+
+
+def renamed(df: DataFrame, text: str = "content", links: str | None = None) -> DataFrame:
+    """``df`` with the ids of ``_ids`` (NULL: none named) in its placeholders and links."""
+    marked, linked = _names(text, links)
     piece = lambda gap, i: F.concat(gap, F.coalesce(F.concat(F.lit(MARK), F.get("_ids", i)), F.lit("")))
     gaps = F.split(text, MARKED, -1)
     n = F.size(marked)
@@ -116,7 +119,28 @@ def remap_snippets(
     if links is not None:
         own = F.slice("_ids", n + 1, F.size(linked))
         changed[links] = F.when(F.col(links).isNotNull() & F.col("_ids").isNotNull(), own).otherwise(F.col(links))
-    return moved.withColumns(changed).drop("_ids")
+    return df.withColumns(changed).drop("_ids")
+
+
+def remap_snippets(
+    df: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "content", links: str | None = None
+) -> DataFrame:
+    """``df`` with old snippet ids replaced by the new ones, in the placeholders of a text and in an array of links.
+
+    The text is split at its placeholders once. The ids between the pieces are mapped by a join on (document, id) and go
+    back by position, so the work grows with the text, and no row meets pairs it does not name. Ids without a pair, and
+    texts that are NULL, stay as they are; rows that name no snippet are not joined. ``keys`` name a row and begin with doc_id.
+    """
+    names = F.size(F.concat(*_names(text, links)))
+    some = df.where(names > 0).join(new_names(df, pairs, keys, text, links), list(keys), "left")
+    return renamed(some, text, links).unionByName(df.where(names == 0))
+
+
+def _by_chunk(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """A join on (document, chunk index), in which a missing index equals another."""
+    other = right.withColumnsRenamed({"doc_id": "_doc", "chunk_index": "_index"})
+    same = (F.col("doc_id") == F.col("_doc")) & F.col("chunk_index").eqNullSafe(F.col("_index"))
+    return left.join(other, same, how).drop("_doc", "_index")
 
 
 def copy_chunks(
@@ -128,10 +152,14 @@ def copy_chunks(
 ) -> DataFrame:
     """Chunks of the merged documents under their new ids; a (document, index) the target already has is skipped."""
     target = F.lit(target) if isinstance(target, str) else target
-    moved = chunks.join(ids, "doc_id")
-    if pairs is not None:
-        moved = remap_snippets(moved, pairs, ("doc_id", "chunk_index"), links="code_snippet_ids")
-    moved = moved.withColumn("doc_id", F.col("new_doc_id")).withColumn("context_id", target).drop("new_doc_id")
-    moved = moved.withColumn("chunk_id", schema.chunk_id("doc_id", "chunk_index"))
+    # Which chunks move, and what they name, is settled on keys; the chunks themselves are joined once.
     key = ["doc_id", "chunk_index"]
-    return moved.join(target_chunks.select(*key), key, "left_anti").select(*chunks.columns)
+    had = target_chunks.select(F.col("doc_id").alias("new_doc_id"), "chunk_index")
+    wanted = chunks.select(*key).distinct().join(ids, "doc_id").join(had, ["new_doc_id", "chunk_index"], "left_anti")
+    if pairs is None:
+        moved = _by_chunk(chunks, wanted)
+    else:
+        names = new_names(chunks, pairs, ("doc_id", "chunk_index"), links="code_snippet_ids")
+        moved = renamed(_by_chunk(chunks, _by_chunk(wanted, names, "left")), links="code_snippet_ids")
+    moved = moved.withColumn("doc_id", F.col("new_doc_id")).withColumn("context_id", target).drop("new_doc_id")
+    return moved.withColumn("chunk_id", schema.chunk_id("doc_id", "chunk_index")).select(*chunks.columns)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from doclake import schema
 from doclake.operators import merge as m
-from doclake.session import discard, shared_dir
 from doclake.sources.corpus import Corpus
 
 SCHEMA_VERSION = "1.0"
@@ -69,7 +68,7 @@ def remap_bundle(tables: dict[str, DataFrame], context: str) -> dict[str, DataFr
         snippets = snippets.withColumn("preview", F.coalesce("preview", "summary")).drop("summary")
     snippets = snippets.withColumn("preview", F.coalesce("preview", F.lit("")))
     pairs = m.snippet_id_pairs(ids, snippets)
-    moved = m.remap_snippets(documents.join(ids, "doc_id"), pairs).withColumn("doc_id", F.col("new_doc_id"))
+    moved = m.remap_snippets(documents, pairs).withColumn("doc_id", schema.document_id(F.lit(context), F.col("url")))
     raw = tables["raw_documents"].join(ids, "doc_id").withColumn("doc_id", F.col("new_doc_id"))
     owner = F.lit(context)
     return {
@@ -103,23 +102,18 @@ def import_context(
     if taken and not overwrite:
         raise ValueError(f"context {target!r} exists; use overwrite=True to replace it")
 
-    # Written before anything is deleted: the bundle may have been exported from this very corpus.
-    work = shared_dir(spark, "import")
-    moved = remap_bundle(tables, _id_of(spark, target))
-    for table, df in moved.items():
-        df.write.parquet(f"{work}/{table}")
+    context = _id_of(spark, target)
+    moved = remap_bundle(tables, context)
     described = [(target, row["description"], row["embedding_model"] or schema.DEFAULT_EMBEDDING_MODEL)]
-    counts = {}
-    # One version: the old context gives way to the imported one in a single step.
+    # One version: the old context gives way to the imported one in a single step. Rows go from the bundle straight into
+    # the corpus; an import that stops leaves rows that no reader counts.
     with corpus.change():
         if taken:
             corpus.delete_context(target)
         corpus.register(spark.createDataFrame(described, "name string, description string, embedding_model string"), now)
         for table in BUNDLE_TABLES:
-            rows = spark.read.parquet(f"{work}/{table}")
-            corpus.append(table, rows)
-            counts[table] = rows.count()
-    discard(spark, work)
+            corpus.append(table, moved[table])
+        counts = {t: corpus.read(t, context).count() for t in ("documents", "chunks", "code_snippets")}
     return spark.createDataFrame(
         [(target, counts["documents"], counts["chunks"], counts["code_snippets"])],
         "context_name string, documents_imported long, chunks_imported long, code_snippets_imported long",

@@ -79,3 +79,45 @@ def test_a_long_document_with_many_snippets(spark):
     assert all(text[s["start_pos"] : s["end_pos"]] == s["original"] for s in row["snippets"])
     assert len(re.findall(r"\[CODE_SNIPPET: ", row["cleaned_content"])) == n
     assert re.sub(r"\[CODE_SNIPPET:.*?\]", "", row["cleaned_content"]) == re.sub(r"(?s)```.*?\n```", "", text)
+
+
+def _shuffled_texts(df):
+    """Exchanges of a plan that carry texts of chunks."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    parts = [p for p in plan.split("\n\n") if p.lstrip().startswith("(") and ") Exchange" in p.split("\n")[0]]
+    return sum("content#" in p for p in parts)
+
+
+def test_chunks_are_shuffled_once(spark):
+    """Ids are settled on keys; without broadcasts the texts met three joins, each with a shuffle of its own."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(3).selectExpr("concat('d', id) doc_id", "concat('n', id) new_doc_id")
+        fields = "doc_id string, chunk_index int, context_id string, chunk_id string, content string, code_snippet_ids array<string>"
+        rows = [("d0", 0, "c", "x", "see [snippet_id=a] b", ["a", "z"]), ("d1", None, "c", "y", "no", None), ("d9", 0, "c", "w", "no", None), ("d2", 4, "c", "v", None, [])]
+        chunks = spark.createDataFrame(rows, fields)
+        had = spark.createDataFrame([("n2", 4)], "doc_id string, chunk_index int")
+        pairs = spark.createDataFrame([("d0", "a", "A")], "doc_id string, old_id string, new_id string")
+        out = m.copy_chunks(ids, chunks, had, "t", pairs)
+        assert _shuffled_texts(out) == 1
+        got = {(r["doc_id"], r["chunk_index"], r["context_id"], r["content"], tuple(r["code_snippet_ids"] or ())) for r in out.collect()}
+        assert got == {("n0", 0, "t", "see [snippet_id=A] b", ("A", "z")), ("n1", None, "t", "no", ())}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_buckets_are_written_without_a_shuffle(spark, tmp_path):
+    from doclake.sources.corpus import Corpus
+
+    seen = []
+    for buckets in (2, 64):
+        corpus = Corpus(spark, str(tmp_path / str(buckets)), buckets=buckets)
+        corpus.register(spark.createDataFrame([("a",)], "name string"))
+        cid = corpus.context_id("a")
+        rows = spark.range(0, 40, 1, 4).selectExpr(f"'{cid}' context_id", "cast(id as string) doc_id", "concat('u', id) url", "'text' content")
+        corpus.append("documents", rows)
+        assert corpus.read("documents", cid).count() == 40
+        seen.append(len(list((tmp_path / str(buckets) / "documents").rglob("*.parquet"))))
+    # Four tasks with rows of both buckets each, as they were read.
+    assert seen[0] == 8 and seen[1] <= 40
