@@ -22,12 +22,12 @@ def merge_contexts(
     """
     schema.check_choice(mode, schema.MERGE_MODES, "mode")
     ids = [corpus.context_id(s) for s in sources]
-    with corpus.change():
-        return _merge(corpus, sources, ids, target, mode, now)
+    with corpus.change() as version:
+        return _merge(corpus, sources, ids, target, mode, now, version)
 
 
 def _merge(
-    corpus: Corpus, sources: list[str], ids: list[str], target: str, mode: str, now: datetime | None
+    corpus: Corpus, sources: list[str], ids: list[str], target: str, mode: str, now: datetime | None, version: int
 ) -> DataFrame:
     spark = corpus.spark
     if corpus.has_context(target):
@@ -43,7 +43,10 @@ def _merge(
 
     work = shared_dir(spark, "merge")
     stored = {t: corpus.read(t, into) for t in ("documents", "raw_documents", "chunks", "code_snippets")}
-    chosen = m.collect_documents(corpus.read("documents", ids), ids, mode)
+    # Which documents, under which ids, is settled without their texts. All frames are planned before anything is
+    # appended, and so keep to the files of now, also where the target is one of the sources.
+    own = corpus.read("documents", ids)
+    chosen = m.collect_documents(own.select("context_id", "doc_id", "url"), ids, mode)
     m.map_to_target(chosen, stored["documents"], into).write.parquet(f"{work}/documents")
     mapped = spark.read.parquet(f"{work}/documents")
     moves = m.id_map(mapped).where(F.col("doc_id") != F.col("new_doc_id"))
@@ -53,22 +56,21 @@ def _merge(
 
     snippets = of_sources("code_snippets")
     pairs = m.snippet_id_pairs(moves, snippets)
-    m.copy_snippets(moves, snippets, stored["code_snippets"], into).write.parquet(f"{work}/code_snippets")
-    m.copy_chunks(moves, of_sources("chunks"), stored["chunks"], into, pairs).write.parquet(f"{work}/chunks")
+    new_snippets = m.copy_snippets(moves, snippets, stored["code_snippets"], into)
+    new_chunks = m.copy_chunks(moves, of_sources("chunks"), stored["chunks"], into, pairs)
     raw = of_sources("raw_documents").join(moves, "doc_id").withColumn("doc_id", F.col("new_doc_id"))
     raw = raw.join(stored["raw_documents"].select("doc_id"), "doc_id", "left_anti")
-    raw.withColumn("context_id", F.lit(into)).write.parquet(f"{work}/raw_documents")
-    fresh = m.remap_snippets(mapped.where("is_new"), pairs)
-    m.documents_to_insert(fresh, into, stored["documents"].columns).write.parquet(f"{work}/new_documents")
+    fresh = mapped.where("is_new").select("context_id", "doc_id", "new_doc_id", "is_new")
+    fresh = own.join(fresh.join(m.new_names(own, pairs), "doc_id", "left"), ["context_id", "doc_id"])
+    new_documents = m.documents_to_insert(m.renamed(fresh), into, stored["documents"].columns)
 
-    new_snippets = spark.read.parquet(f"{work}/code_snippets")
-    new_chunks = spark.read.parquet(f"{work}/chunks")
     corpus.append("code_snippets", new_snippets)
     corpus.append("chunks", new_chunks)
-    corpus.append("raw_documents", spark.read.parquet(f"{work}/raw_documents"))
-    corpus.append("documents", spark.read.parquet(f"{work}/new_documents"))
+    corpus.append("raw_documents", raw.withColumn("context_id", F.lit(into)))
+    corpus.append("documents", new_documents)
 
-    counts = (mapped.count(), new_chunks.count(), new_snippets.count())
+    added = {t: corpus.read(t, into, since=version - 1).count() for t in ("chunks", "code_snippets")}
+    counts = (mapped.count(), added["chunks"], added["code_snippets"])
     discard(spark, work)
     return spark.createDataFrame(
         [(target, mode, len(sources), *counts)],
