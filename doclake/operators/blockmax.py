@@ -12,13 +12,17 @@ equals that of a scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclake.functions.text import STOP_WORDS, query_lexemes
-from doclake.operators.fulltext import K1, TERM_BUCKETS, B, _nothing, idf, squash, term_bucket
+from doclake.functions.text import STOP_WORDS, lexemes, query_lexemes
+from doclake.operators.fulltext import K1, TERM_BUCKETS, B, _nothing, _word_slices, idf, squash, term_bucket
 from doclake.operators.vector_search import LIMIT, SCORE_DIGITS, by_score
 
 #: Texts of a block, about, and blocks evaluated before the k-th score is known, at least.
@@ -42,6 +46,81 @@ def build_blocks(postings: DataFrame, statistics, id_col: str = "chunk_id", bloc
     )
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    """Postings (lexeme, id, tf, text_length) of some texts (id, words)."""
+    for low, high in _word_slices(batch.column("words")):
+        part = batch.slice(low, high - low)
+        lists = part.column("words")
+        table = pa.table({"row": lists.value_parent_indices(), "lexeme": lists.flatten()})
+        grouped = table.group_by(["row", "lexeme"], use_threads=False).aggregate([([], "count_all")])
+        row = grouped.column("row").combine_chunks()
+        columns = [part.column("id").take(row), grouped.column("count_all").cast(pa.int32()), lists.value_lengths().take(row)]
+        yield pa.table([grouped.column("lexeme"), *columns], names=["lexeme", "id", "tf", "text_length"])
+
+
+def _block_rows(block: int, parts: list[pa.Table]) -> pa.RecordBatch:
+    """The postings of a block, one row per lexeme."""
+    table = pa.concat_tables(parts)
+    table = table.take(pc.sort_indices(table.column("lexeme")))
+    lexeme, *fields = (table.column(c).combine_chunks() for c in ("lexeme", "id", "tf", "text_length"))
+    first = np.append(True, pc.not_equal(lexeme[1:], lexeme[:-1]).to_numpy(zero_copy_only=False))
+    starts = np.flatnonzero(first).astype(np.int32)
+    held = pa.StructArray.from_arrays(fields, names=["id", "tf", "text_length"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(lexeme)))), held)
+    blocks = pa.array(np.full(len(starts), block, np.int32))
+    return pa.RecordBatch.from_arrays([lexeme.take(pa.array(starts)), blocks, lists], names=["lexeme", "block", "postings"])
+
+
+def text_blocks(
+    items: DataFrame,
+    statistics,
+    id_col: str = "chunk_id",
+    text: str = "content",
+    stemming: bool = False,
+    stop_words: frozenset[str] | None = STOP_WORDS,
+    buckets: int = TERM_BUCKETS,
+    block_texts: int = BLOCK_TEXTS,
+) -> DataFrame:
+    """The posting blocks of ``build_blocks``, from the texts (``fulltext.text_statistics`` gives their statistics).
+
+    The texts are dealt out by block, and a block's postings are grouped where its texts are: what is shuffled are the texts,
+    not their postings, of which there are several times as many bytes.
+    """
+    blocks = max(1, int(statistics["n_texts"]) // block_texts)
+    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")
+    id_type = items.schema[id_col].dataType.simpleString()
+    dealt = items.select(F.col(id_col).alias("id"), F.col(text).alias("text"), block)
+    dealt = dealt.repartition(F.col("block")).sortWithinPartitions("block")
+    words = dealt.select("id", "block", lexemes("text", stop_words, stemming).alias("words"))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows of a block follow each other, but may go on in the next batch.
+        current, parts = -1, []
+        for batch in batches:
+            number = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low and number[low] != current:
+                    if parts:
+                        yield _block_rows(current, parts)
+                    current, parts = int(number[low]), []
+                parts += _counted(batch.slice(low, high - low))
+        if parts:
+            yield _block_rows(current, parts)
+
+    held = f"array<struct<id:{id_type},tf:int,text_length:int>>"
+    rows = words.mapInArrow(group, f"lexeme string, block int, postings {held}")
+    peaks = F.transform("postings", lambda p: impact(p["tf"], p["text_length"], statistics["mean_length"]))
+    return rows.select(
+        term_bucket(F.col("lexeme"), buckets).alias("term_bucket"),
+        "lexeme",
+        "block",
+        F.size("postings").cast("long").alias("n"),
+        F.array_max(peaks).alias("peak"),
+        "postings",
+    )
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """Partitioned by term bucket, sorted by lexeme and block, so that a query for a few of them skips row groups and pages."""
     spread = blocks.hint("rebalance", F.col("term_bucket")).sortWithinPartitions("term_bucket", "lexeme", "block")

@@ -18,7 +18,6 @@ from doclake.operators import fulltext as FT
 from doclake.operators.cells import Cells, build_cells
 from doclake.operators.hybrid import merge_hits
 from doclake.operators.vector_search import CHUNK_COLUMNS, LIMIT, SEARCH_MIN_SIMILARITY, ranked, with_document
-from doclake.session import discard, shared_dir
 from doclake.sources.corpus import Corpus
 
 ID_OF = {"chunks": "chunk_id", "code_snippets": "snippet_id"}
@@ -51,14 +50,11 @@ def index_text(
     items = corpus.read(table, context)
     home = _home(corpus, context, f"text-{table}-{'stemmed' if stemming else 'plain'}")
     place = f"{home}/version={version}"
-    work = shared_dir(corpus.spark, "postings")
-    FT.build_postings(items, ID_OF[table], stemming=stemming, buckets=buckets).drop("positions").write.parquet(work)
-    postings = corpus.spark.read.parquet(work)
     how = {"stemming": F.lit(stemming), "buckets": F.lit(buckets)}
-    FT.posting_statistics(postings, items).withColumns(how).write.mode("overwrite").parquet(f"{place}/statistics")
+    FT.text_statistics(items, stemming=stemming).withColumns(how).write.mode("overwrite").parquet(f"{place}/statistics")
     statistics = corpus.spark.read.parquet(f"{place}/statistics").first()
-    blockmax.write_blocks(blockmax.build_blocks(postings, statistics, ID_OF[table]), f"{place}/blocks")
-    discard(corpus.spark, work)
+    blocks = blockmax.text_blocks(items, statistics, ID_OF[table], stemming=stemming, buckets=buckets)
+    blockmax.write_blocks(blocks, f"{place}/blocks")
     _mark(corpus, home, version)
 
 

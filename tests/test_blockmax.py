@@ -38,3 +38,26 @@ def test_blocks_below_the_kth_score_are_left_out(index):
     items, blocks, stats = index
     assert blockmax.block_search(blocks, stats, "rare", 3, "doc_id")[1] < 0.5
     assert blockmax.block_search(blocks, stats, "common rare", 3, "doc_id")[1] < 1
+
+
+def test_blocks_of_texts_are_those_of_postings(spark):
+    """Also across Arrow batches and slices of words; the texts are shuffled, the postings are not."""
+    rows = [(i, None if i % 9 == 0 else " ".join(f"w{(i * k) % 23}" for k in range(1, 2 + i % 13))) for i in range(200)]
+    items = spark.createDataFrame(rows, "chunk_id long, content string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        postings = FT.build_postings(items).cache()
+        stats = FT.text_statistics(items).first()
+        assert stats == FT.posting_statistics(postings, items).first()
+        built = blockmax.text_blocks(items, stats, block_texts=16)
+        shown = lambda df: sorted(
+            (r["lexeme"], r["block"], r["n"], round(r["peak"], 12), r["term_bucket"], sorted(map(tuple, r["postings"]))) for r in df.collect()
+        )
+        plan = built._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+        got = shown(built)
+        assert len({r[1] for r in got}) > 5
+        assert got == shown(blockmax.build_blocks(postings, stats, block_texts=16))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
