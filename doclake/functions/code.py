@@ -110,13 +110,13 @@ def placeholder_ids(c) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^[\"']+|[\"']+$", "")))
 
 
-def placeholder(content: Column, snippet: Column) -> Column:
-    """Text that stands for a snippet in the cleaned document."""
+def placeholder(content: Column, snippet: Column, shown: Column | None = None) -> Column:
+    """Text that stands for a snippet in the cleaned document; ``shown`` is its preview where that is known."""
     return F.concat(
         F.lit("[CODE_SNIPPET: size="),
         F.length(content).cast("string"),
         F.lit('_chars, preview="'),
-        preview(content),
+        preview(content) if shown is None else shown,
         F.lit('", snippet_id='),
         snippet,
         F.lit("]"),
@@ -182,20 +182,22 @@ def snippets(c, patterns: tuple[str, ...] = ("fence", "inline")) -> Column:
     """
     text = column(c)
 
-    def shape(found: Column, kind: str, shortest: int, one_line: bool) -> Column:
+    def shape(found: Column, before: Column, kind: str, shortest: int, one_line: bool) -> Column:
         def record(m: Column) -> Column:
-            content = strip(m["inner"])
-            return F.struct(
-                F.lit(kind).alias("snippet_type"),
-                content.alias("content"),
-                m["start_pos"].alias("start_pos"),
-                m["end_pos"].alias("end_pos"),
-                F.length(content).alias("char_count"),
-                (F.lit(1) if one_line else F.size(F.split(content, "\n", -1))).alias("line_count"),
-                m["original"].alias("original"),
-            )
-
-        keep = lambda s: is_code(s["content"]) & (s["char_count"] > shortest)
+            def fields(content: Column) -> Column:
+                return F.struct(
+                    F.lit(kind).alias("snippet_type"),
+                    content.alias("content"),
+                    (before + m["start_pos"]).alias("start_pos"),
+                    (before + m["end_pos"]).alias("end_pos"),
+                    F.length(content).alias("char_count"),
+                    (F.lit(1) if one_line else F.size(F.split(content, "\n", -1))).alias("line_count"),
+                    m["original"].alias("original"),
+                )
+
+            return let(strip(m["inner"]), fields)
+
+        keep = lambda s: (s["char_count"] > shortest) & is_code(s["content"])
         return F.filter(F.transform(found, record), keep).cast(SNIPPET)
 
     known = {
@@ -204,10 +206,19 @@ def snippets(c, patterns: tuple[str, ...] = ("fence", "inline")) -> Column:
         "indented": (INDENTED, 1, "m", "code_block", 0, False),
         "inline": (INLINE, 1, "", "inline_code", MIN_INLINE_LENGTH, True),
     }
-    parts = []
-    for name in patterns:
-        regex, group, flags, kind, shortest, one_line = known[name]
-        parts.append(shape(matches(text, regex, group, flags), kind, shortest, one_line))
     empty = F.array().cast(SNIPPET)
-    marked = text.contains("`") if set(patterns) <= {"fence", "inline"} else text.isNotNull()
-    return F.when(marked, F.concat(*parts)).otherwise(empty)
+
+    def found(part: Column, before: Column) -> Column:
+        shapes = []
+        for name in patterns:
+            regex, group, flags, kind, shortest, one_line = known[name]
+            shapes.append(shape(matches(part, regex, group, flags), before, kind, shortest, one_line))
+        return F.concat(*shapes)
+
+    if not set(patterns) <= {"fence", "inline"}:
+        return F.when(text.isNotNull(), found(text, F.lit(0))).otherwise(empty)
+    # Both patterns begin and end with a backtick: text before the first one and after the last one is not matched.
+    before, behind = (F.length(F.substring_index(text, "`", n)) for n in (1, -1))
+    outer = F.struct(before.alias("before"), F.substring(text, before + 1, F.length(text) - before - behind).alias("part"))
+    inside = let(outer, lambda o: let(o["part"], lambda part: found(part, o["before"])))
+    return F.when(text.contains("`"), inside).otherwise(empty)

@@ -8,8 +8,6 @@ search in the sorted list of piece edges.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import numpy as np
 import pyarrow as pa
 
@@ -17,50 +15,51 @@ import pyarrow as pa
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _marks(codes: np.ndarray, lo: int, hi: int, sep: str) -> list[int]:
+def _marks(codes: np.ndarray, lo: int, hi: int, sep: str) -> np.ndarray:
     """Start offsets of the non-overlapping occurrences of a separator in [lo, hi)."""
-    at = (np.flatnonzero(codes[lo:hi] == ord(sep[0])) + lo).tolist()
-    if len(sep) == 1:
+    at = np.flatnonzero(codes[lo:hi] == ord(sep[0])) + lo
+    if len(sep) == 1 or not len(at):
         return at
-    pairs, last = [], -2
-    for here, following in zip(at, at[1:]):
-        if following == here + 1 and here > last + 1:
-            pairs.append(here)
-            last = here
-    return pairs
+    # In a run of the sign every second one begins an occurrence, but for the last of an odd run.
+    new = np.append(True, np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(at)))
+    inside = np.arange(len(at)) - np.repeat(first, sizes)
+    return at[(inside % 2 == 0) & (inside + 1 < np.repeat(sizes, sizes))]
 
 
-def _windows(edges: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+def _windows(edges: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
     """Greedy merge of neighbouring pieces, each shorter than ``size``."""
-    out, first, end, last = [], 0, 0, len(edges) - 1
+    out, first, last = [], 0, len(edges) - 1
     while last > 0:
-        end = bisect_right(edges, edges[first] + size, lo=end) - 1
-        out.append((edges[first], edges[end]))
+        end = int(edges.searchsorted(edges[first] + size, side="right")) - 1
+        out.append((int(edges[first]), int(edges[end])))
         if end == last:
             break
         need = max(edges[end] - overlap, edges[end + 1] - size)
-        first = min(bisect_left(edges, need, lo=first), end)
+        # Never before ``first``: what is needed begins behind it.
+        first = min(max(int(edges.searchsorted(need)), first), end)
     return out
 
 
-def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+def split_spans(text: str, size: int, overlap: int, codes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spans (start, end) of the chunks, white space at both ends left out."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = code_points(text) if codes is None else codes
     raw: list[tuple[int, int]] = []
 
     def cut(lo: int, hi: int, separators: tuple[str, ...]) -> None:
         for depth, sep in enumerate(separators):
-            marks = _marks(codes, lo, hi, sep) if sep else range(lo, hi)
-            if marks or not sep:
+            marks = _marks(codes, lo, hi, sep) if sep else np.arange(lo, hi)
+            if len(marks) or not sep:
                 break
-        edges = [lo, *(m for m in marks if m > lo), hi] if hi > lo else []
+        edges = np.concatenate([[lo], marks[marks > lo], [hi]]) if hi > lo else np.zeros(0, np.int64)
         start = 0
         for k in np.flatnonzero(np.diff(edges) >= size).tolist():
             raw.extend(_windows(edges[start : k + 1], size, overlap))
             if depth + 1 < len(separators):
-                cut(edges[k], edges[k + 1], separators[depth + 1 :])
+                cut(int(edges[k]), int(edges[k + 1]), separators[depth + 1 :])
             else:
-                raw.append((edges[k], edges[k + 1]))
+                raw.append((int(edges[k]), int(edges[k + 1])))
             start = k + 1
         raw.extend(_windows(edges[start:], size, overlap))
 
@@ -75,6 +74,10 @@ def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 SPAN_TYPE = "array<struct<char_start:int,char_end:int,start_line:int,end_line:int,error:string>>"
 
 
@@ -83,16 +86,17 @@ def split_batch(texts: pa.Array, size: int, overlap: int) -> pa.Array:
     offsets, starts, ends, first, last, errors = [0], [], [], [], [], []
     for text in texts.to_pylist():
         if text is not None:
+            codes = code_points(text)
             try:
-                spans, error = split_spans(text, size, overlap), None
+                spans, error = split_spans(text, size, overlap, codes), None
             except Exception as problem:
                 spans, error = [(0, len(text))], str(problem)
-            breaks = [i for i, ch in enumerate(text) if ch == "\n"] if "\n" in text else []
+            breaks = np.flatnonzero(codes == ord("\n"))
             for lo, hi in spans:
                 starts.append(lo)
                 ends.append(hi)
-                first.append(bisect_left(breaks, lo) + 1)
-                last.append(bisect_left(breaks, max(hi - 1, lo)) + 1)
+                first.append(int(breaks.searchsorted(lo)) + 1)
+                last.append(int(breaks.searchsorted(max(hi - 1, lo))) + 1)
                 errors.append(error)
         offsets.append(len(starts))
     ints = [pa.array(v, pa.int32()) for v in (starts, ends, first, last)]

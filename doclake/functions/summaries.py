@@ -40,16 +40,22 @@ class LeadSummarizer:
         return strip(replace(text, r"\s+", " "))
 
     def summaries(self, text: Column) -> Column:
+        return let(strip(text), self._lead)
+
+    def _lead(self, text: Column) -> Column:
         # The pattern ends with the last wanted sentence; the rest of a long text is not looked at.
-        lead = F.regexp_extract(strip(text), rf"\A[.!?]*((?:[^.!?]+(?:[.!?]+|$)){{1,{self.sentences}}})", 1)
+        lead = F.regexp_extract(text, rf"\A[.!?]*((?:[^.!?]+(?:[.!?]+|$)){{1,{self.sentences}}})", 1)
         pieces = F.regexp_extract_all(self._plain(lead), F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0))
         return F.array_join(F.transform(pieces, strip), " ")
 
     def replies(self, text: Column) -> Column:
         words = jvm(rf"\A[^\s]+(?:\s+[^\s]+){{0,{self.title_words - 1}}}")
-        title = self._plain(F.regexp_extract(strip(text), words, 0))
-        reply = F.concat(F.lit("Title: "), title, F.lit("\nSummary: "), self.summaries(text))
-        return F.when(text.isNotNull(), reply)
+
+        def reply(t: Column) -> Column:
+            title = self._plain(F.regexp_extract(t, words, 0))
+            return F.concat(F.lit("Title: "), title, F.lit("\nSummary: "), self._lead(t))
+
+        return let(strip(text), reply)
 
 
 class BatchSummarizer:

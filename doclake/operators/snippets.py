@@ -51,7 +51,7 @@ def placeholder_text(text, snippets, mode: str = "exact") -> Column:
         s["start_pos"].alias("start"),
         s["end_pos"].alias("end"),
         s["original"].alias("original"),
-        code.placeholder(s["content"], s["snippet_id"]).alias("mark"),
+        code.placeholder(s["content"], s["snippet_id"], s["preview"]).alias("mark"),
     )
     ordered = F.array_sort(F.transform(snippets, span))
     if mode == "compat":
