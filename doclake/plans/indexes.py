@@ -136,10 +136,12 @@ def indexed_search(
 def with_fields(corpus: Corpus, context: str, hits: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` chunk hits with their texts and documents, which are looked for in their buckets only."""
     rows = hits.collect()
-    few = corpus.spark.createDataFrame(rows, hits.schema)
+    # Rows from the driver count as a table of any size: without the hint all texts would be shuffled to meet them.
+    few = F.broadcast(corpus.spark.createDataFrame(rows, hits.schema))
     chunks = corpus.read("chunks", context).select("chunk_id", "doc_id", *CHUNK_COLUMNS)
-    detailed = ranked(chunks.join(few, "chunk_id"), limit).collect()
+    met = chunks.join(few, "chunk_id")
+    detailed = ranked(met, limit).collect()
     owners = sorted({r["doc_id"] for r in detailed})
-    kinds = chunks.join(few, "chunk_id").schema
+    kinds = met.schema
     found = corpus.spark.createDataFrame(detailed, kinds)
     return ranked(with_document(found, corpus.read("documents", context, owners)), limit)
