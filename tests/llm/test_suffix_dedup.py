@@ -116,3 +116,59 @@ def test_merge_orders_suffixes(level):
     own = np.array([rank.get(int(p), 0) for p in at])
     order = merged(level, kinds, list(grid.view(">u8").astype(np.uint64).T), np.where(kinds == 0, one, own), np.where(kinds == 1, one, two))
     assert [int(p) for p in at[order]] == sorted(map(int, at), key=lambda p: bytes(text[p:]))
+
+
+def passages_in_texts(n):
+    rng = random.Random(8)
+    shared = [words(rng, 25) for _ in range(12)]
+    return [(i, " ".join([words(rng, 30), rng.choice(shared), words(rng, 30), rng.choice(shared)])) for i in range(n)]
+
+
+def test_no_row_for_each_anchor_or_phrase(spark, monkeypatch):
+    """Spark handles packed rows: no table has more rows than there are texts and stretches."""
+    counts = {}
+    write = suffix_dedup._Tables.write
+
+    def counting(self, name, df):
+        out = write(self, name, df)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup._Tables, "write", counting)
+    want = check(spark, passages_in_texts(300))
+    assert sum(w[2] > 0 for w in want) > 250
+    assert max(n for name, n in counts.items() if name != "stretches") <= 300
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Blocks of few texts, several in a task, with copies, empty texts and one text longer than a block."""
+    for name, n in (("BLOCK_BYTES", 1500), ("TASK_BYTES", 9000), ("MEETING", 400)):
+        monkeypatch.setattr(suffix_dedup, name, n)
+    rows = passages_in_texts(60)
+    rows += [rows[7]] * 3 + [(None, rows[3][1])] * 2 + [(100 + i, None) for i in range(5)] + [(200, rows[5][1] * 30), (201, "")]
+    random.Random(2).shuffle(rows)
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("gram", [36, 80, 96])
+def test_anchors_across_slices(gram):
+    """Every wanted window holds an anchor; equal windows hold it at the same place, also where slices meet."""
+    rng = np.random.default_rng(gram)
+    n = 3 * suffix_dedup.SLICE
+    data = rng.integers(97, 123, n, dtype=np.uint8)
+    data[n - 40_000 :] = data[100:40_100]
+    wanted = np.ones(n - WINDOW + 1, bool)
+    wanted[50_000:50_500] = False
+    places, grams = suffix_dedup.anchors(data, wanted, gram)
+    assert (np.diff(places) > 0).all()
+    at = np.searchsorted(places, np.flatnonzero(wanted))
+    assert (places[at] <= np.flatnonzero(wanted) + WINDOW - gram).all()
+    first, again = places[(places >= 300) & (places < 39_700)], places[places >= n - 39_800]
+    assert set((again - (n - 40_000) + 100).tolist()) >= set(first.tolist())
+
+
+def test_anchors_are_dealt_evenly():
+    data = np.random.default_rng(1).integers(97, 123, 400_000, dtype=np.uint8)
+    places, grams = suffix_dedup.anchors(data, np.ones(len(data) - WINDOW + 1, bool))
+    sizes = [len(row[3]) // 8 for row in suffix_dedup._dealt(0, 50, places, grams)]
+    assert len(sizes) == 50 and max(sizes) < 1.5 * len(grams) / 50
