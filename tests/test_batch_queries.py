@@ -29,6 +29,14 @@ def test_vector_batch_asks_with_every_vector(spark):
     assert {r["query_id"] for r in got if r["vec_id"] == r["query_id"]} == every  # a vector is its own best hit, or ties with it
 
 
+def test_hybrid_batch_asks_with_every_vector(spark):
+    every, asked = asked_by_sql("hybrid_batch")
+    got = entry.queries()["hybrid_batch"](spark, FOLDER).collect()
+    assert every <= asked  # benchmark texts ask as well
+    assert {r["query_id"] for r in got} == asked
+    assert {r["query_id"] for r in got if r["doc_id"] == r["query_id"] and r["score"] >= 0.7} >= every
+
+
 def test_best_keeps_the_smallest_places_among_many_copies():
     """The bar of a batch search drops no tie that a smaller place wins, in whatever order the blocks come."""
     import numpy as np
